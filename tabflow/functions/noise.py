@@ -84,3 +84,24 @@ def np_uniform_from_hex(hexes):
     """Vectorised u from md5 hex digests computed elsewhere (tests)."""
     import numpy as np
     return (np.array([int(h[:13], 16) for h in hexes], dtype=np.float64) + 0.5) / SCALE
+
+
+def np_hash_normal(seed: int, keys, step: int, col: int):
+    """Per-cell N(0,1) inside Arrow batches from a splitmix64 counter hash of
+    (seed, key, step, column): independent of batching and partitioning."""
+    import numpy as np
+    with np.errstate(over="ignore"):
+        k = np.asarray(keys, dtype=np.int64).astype(np.uint64)
+        base = (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step * 1_000_003 + col) & 0xFFFFFFFF)
+                + np.uint64((seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
+
+        def mix(z):
+            z = z + np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return z ^ (z >> np.uint64(31))
+        a = mix(base)
+        b = mix(a)
+        u1 = ((a >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+        u2 = ((b >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
