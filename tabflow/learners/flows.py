@@ -31,6 +31,16 @@ from ..spec import ColumnSpec, TableSpec
 from .hist_boost import BoostedForest, BoostParams, fit_boosted, predict_margin
 
 INF = float("inf")
+ROWS_PER_PARTITION = 1_000_000  # expanded training rows per task
+
+
+def spread(df: DataFrame, n_rows: int, expansion: int, key: str = "row_id") -> DataFrame:
+    """Hash-partition the real rows before the K x n_t expansion so that
+    every task expands a slice: ``explode`` never splits a partition, so a
+    one-file table would otherwise be expanded and boosted by a single task."""
+    sc = df.sparkSession.sparkContext
+    parts = max(sc.defaultParallelism, -(-n_rows * expansion // ROWS_PER_PARTITION))
+    return df.repartition(parts, key)
 
 
 # ---- binning -------------------------------------------------------------------
@@ -177,7 +187,8 @@ class SequentialFlow:
         xcols = [f"x{k}" for k in range(c)]
         fixed = quantile_edges(prep.real, xcols, self.n_bins, n_codes)
         L = len(prep.label_values)
-        real = prep.real.withColumn("fb", F.array(*[bin_expr(F.col(f"x{k}"), fixed[f"x{k}"]) for k in range(c)]))
+        real = spread(prep.real, prep.n_rows, self.K * self.n_t * max(len(reg_feats), 1))
+        real = real.withColumn("fb", F.array(*[bin_expr(F.col(f"x{k}"), fixed[f"x{k}"]) for k in range(c)]))
 
         # regressors: one per (regression column, label, level)
         reg_forest, xt_edges = None, {}
@@ -418,7 +429,8 @@ class JointFlow:
                          *[encode.scale_expr(F.col(m).cast("double"), *bounds[m]).alias(f"x{j}")
                            for j, m in enumerate(model_cols)],
                          *[F.col(cv).cast("double").alias(f"cov{i}") for i, cv in enumerate(covs)])
-        real = real.persist(StorageLevel.MEMORY_AND_DISK)
+        n_real = real.count()
+        real = spread(real, n_real, self.K * self.n_t * max(len(model_cols), 1)).persist(StorageLevel.MEMORY_AND_DISK)
         real.count()
         cov_edges = quantile_edges(real, [f"cov{i}" for i in range(len(covs))], self.n_bins, {}) if covs else {}
         L = len(label_values)
@@ -639,3 +651,91 @@ def _impute_batch(pdf, pay, seed):
     for j in range(p):
         res[f"x{j}"] = out[:, j]
     return pd.DataFrame(res)
+
+
+# ---- model tables (FIXTURES: feature, label, level, output, round, nodes) ---------
+
+def _tree_rows(forest, key, thr, meta):
+    feat, sb, dl, leaf = forest.feat[key], forest.sbin[key], forest.dleft[key], forest.leaf[key]
+    out = []
+    for r in range(forest.n_rounds):
+        th = [float(thr[f, b]) if f >= 0 else None for f, b in zip(feat[r], sb[r])]
+        out.append((*meta, int(r), [int(x) for x in feat[r]], th, [bool(x) for x in dl[r]],
+                    [float(x) for x in leaf[r]], float(forest.base.get(key, 0.0))))
+    return out
+
+
+MODEL_SCHEMA = ("kind string, feature string, label string, level int, output string, round int, "
+                "split_input array<int>, threshold array<double>, default_left array<boolean>, "
+                "leaf array<double>, base double")
+
+
+def sequential_model_table(fitted: "FittedSequential"):
+    """One row per tree: velocity regressors and category classifiers."""
+    pay = fitted._payload()
+    prep, L, n_t = fitted.prep, len(fitted.prep.label_values), fitted.params.n_t
+    recs = []
+    for kpos, k in enumerate(fitted.reg_feats):
+        for lv in range(L):
+            for level in range(n_t):
+                key = ((kpos * L + lv) * n_t + level, 0)
+                if fitted.reg_forest is None or key not in fitted.reg_forest.feat:
+                    continue
+                thr = np.vstack([pay["xt_thr"][(kpos, level)][None, :], pay["fixed_thr"][:k]])
+                recs += _tree_rows(fitted.reg_forest, key, thr,
+                                   ("velocity", prep.names[k], str(prep.label_values[lv]), level, "velocity"))
+    for cpos, k in enumerate(fitted.clf_feats):
+        for lv in range(L):
+            for j, val in enumerate(prep.dictionaries[prep.names[k]]):
+                key = (cpos * L + lv, j)
+                if fitted.clf_forest is None or key not in fitted.clf_forest.feat:
+                    continue
+                recs += _tree_rows(fitted.clf_forest, key, pay["fixed_thr"][:k],
+                                   ("category", prep.names[k], str(prep.label_values[lv]), None, str(val)))
+    return prep.real.sparkSession.createDataFrame(recs, MODEL_SCHEMA)
+
+
+def joint_model_table(fitted: "FittedJoint", spark):
+    pay = fitted._payload()
+    p, L, n_t = len(fitted.model_cols), len(fitted.label_values), fitted.params.n_t
+    recs = []
+    for lv in range(L):
+        for level in range(n_t):
+            for k in range(p):
+                key = ((lv * n_t + level) * p + k, 0)
+                if key not in fitted.forest.feat:
+                    continue
+                recs += _tree_rows(fitted.forest, key, pay["thr"][level],
+                                   ("velocity", fitted.model_cols[k], str(fitted.label_values[lv]), level,
+                                    fitted.model_cols[k]))
+    return spark.createDataFrame(recs, MODEL_SCHEMA)
+
+
+def velocity_frame(fitted: "FittedSequential", k: int, level: int, seed: int = 0) -> DataFrame:
+    """velocity of column ``k`` at ``level`` for every real row's x_t
+    (row routed to its label's model), scored in Arrow batches."""
+    prep = fitted.prep
+    real = prep.real
+    t = forward.level_time(F.lit(level), fitted.params.n_t)
+    z = hash_normal("x0", seed, F.col("row_id"), F.lit(0), k)
+    rows = real.select("row_id", "lab", (t * F.col(f"x{k}") + (F.lit(1.0) - t) * z).alias("xt"),
+                       *[f"x{j}" for j in range(k)])
+    bc = real.sparkSession.sparkContext.broadcast(fitted._payload())
+    kpos = fitted.reg_feats.index(k)
+
+    def run(batches, _bc=bc):
+        import pandas as pd
+        pay = _bc.value
+        L, n_t = pay["L"], pay["n_t"]
+        for pdf in batches:
+            lab = pdf["lab"].to_numpy(dtype=np.int64)
+            X = np.column_stack([pdf["xt"].to_numpy(dtype=np.float64)]
+                                + [pdf[f"x{j}"].to_numpy(dtype=np.float64) for j in range(k)])
+            thr = np.vstack([pay["xt_thr"][(kpos, level)][None, :], pay["fixed_thr"][:k]])
+            v = np.zeros(len(pdf))
+            for lv in range(L):
+                mask = lab == lv
+                if mask.any():
+                    v[mask] = predict_margin(pay["reg"], ((kpos * L + lv) * n_t + level, 0), X[mask], thr)
+            yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "xt": X[:, 0], "velocity": v})
+    return rows.mapInPandas(run, "row_id long, xt double, velocity double")

@@ -283,6 +283,7 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
     n_int = 2 ** p.depth - 1
     max_j = n_inputs or (rows.agg(F.max("nin")).first()[0] or 1)
     nb = n_bins or (rows.select(F.max(F.array_max("bins"))).first()[0] or 1)
+    release = []
     for r in range(p.n_rounds):
         gs = _grad_hess(state, p.objective).withColumn("node", F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
         cur = gs
@@ -295,11 +296,19 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
             bound = slots * (2 ** d) * max_j * (nb + 1)
             if bound <= LOCAL_HIST_ROWS:
                 hp = hist.toPandas()
+                if d == 0:
+                    for x in release:
+                        x.unpersist()
+                    release = []
                 best = _best_splits_local(hp, p)
                 tots = _node_totals_local(hp) if d == p.depth - 1 else None
                 best_rows = best.to_dict("records")
             else:
                 best_rows = [b.asDict() for b in _best_splits(hist, p).limit(MAX_SPLIT_ROWS + 1).collect()]
+                if d == 0:
+                    for x in release:
+                        x.unpersist()
+                    release = []
                 if len(best_rows) > MAX_SPLIT_ROWS:
                     raise RuntimeError("too many tree nodes to route at once; lower depth or split the models")
                 tots = None
@@ -359,9 +368,12 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
         if (r + 1) % p.checkpoint_every == 0 and r + 1 < p.n_rounds:
             new = materialize(new)
         new = new.persist(StorageLevel.MEMORY_AND_DISK)  # filled by the next round's first pass
-        state.unpersist()
-        gs.unpersist()
+        # the old caches are released only after that pass, or the new state
+        # would be recomputed from the very first round
+        release = [state, gs]
         state = new
+    for x in release:
+        x.unpersist()
     state.unpersist()
     return forest
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_basic, q_draws, q_metrics  # noqa: F401
+from . import q_basic, q_draws, q_metrics, q_models  # noqa: F401
 from .registry import HEADLINE, ORACLE, QUERIES  # noqa: F401
 
 
