@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.noise import hash_normal, hash_uniform, sql_normal, sql_uniform
 from ..metrics import neighbors, report, scores, transport
 from ..operators import encode, project
+from ..sampling import draws
 from ..session import scratch_path
 from ..sources import readers
 from ..sources.registry import table
@@ -387,3 +388,70 @@ def q_read_results_csv(spark, sf):
     path = scratch_path(spark, "results_csv_in")
     readers.write_results(_round_all(_means(spark, sf)), path, "csv")
     return readers.read_results(spark, path)
+
+
+# ---- flagship: coverage of real orders by an independent-marginal sampler ------
+
+PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+STATUS = ["F", "O", "P"]
+FLAG_COLS = ["o_totalprice", *[encode.dummy_name("o_orderstatus", v) for v in STATUS],
+             *[encode.dummy_name("o_orderpriority", v) for v in PRIOS]]
+
+
+def marginal_fake_orders(spark, sf):
+    """One synthetic order per real order key: status and priority drawn from
+    their observed frequencies (F1, E3), price uniform between the observed
+    bounds (F2/C2 with a uniform prior)."""
+    o = table(spark, sf, "orders")
+    b = encode.data_bounds(o, ["o_totalprice"])["o_totalprice"]
+    rows = o.select(F.col("o_orderkey").alias("row_id"))
+    rows = draws.draw_from_frequencies(rows, o, "o_orderstatus", hash_uniform("fs", F.col("row_id")))
+    rows = draws.draw_from_frequencies(rows, o, "o_orderpriority", hash_uniform("fp", F.col("row_id")))
+    z = hash_uniform("fprice", F.col("row_id")) * 2.0 - 1.0
+    return rows.withColumn("o_totalprice", encode.unscale_expr(z, *b))
+
+
+def flagship(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice",
+                                          "o_orderstatus", "o_orderpriority")
+    fake = marginal_fake_orders(spark, sf)
+    real_m, fake_m, _, _ = encode.metric_space(o, fake.select(*o.columns), ["o_totalprice"],
+                                               ["o_orderstatus", "o_orderpriority"])
+    v = neighbors.coverage(real_m, fake_m, FLAG_COLS, 5)
+    return spark.createDataFrame([(round(float(v), 6),)], "coverage double")
+
+
+def _flag_sql():
+    def dums(col, vals, src):
+        return ", ".join(f"CASE WHEN {src}.{col} = '{v}' THEN 0.5 ELSE 0.0 END AS \"{col}_{v}\"" for v in vals)
+    cols = ["o_totalprice"] + [f'"o_orderstatus_{v}"' for v in STATUS] + \
+        [f'"o_orderpriority_{v}"' for v in PRIOS]
+    l1 = " + ".join(f"abs(a.{c} - b.{c})" for c in cols)
+    shares_s = ("SELECT o_orderstatus AS cat, CAST(coalesce(sum(n) OVER (ORDER BY o_orderstatus ROWS BETWEEN "
+                "UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS lo, "
+                "CAST(sum(n) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)"
+                " / CAST(sum(n) OVER () AS DOUBLE) AS hi FROM (SELECT o_orderstatus, count(*) AS n FROM orders "
+                "GROUP BY o_orderstatus)")
+    shares_p = shares_s.replace("o_orderstatus", "o_orderpriority")
+    return f"""WITH b AS (SELECT min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders),
+ss AS ({shares_s}), sp AS ({shares_p}),
+fk AS (SELECT o.o_orderkey AS row_id, ss.cat AS o_orderstatus, sp.cat AS o_orderpriority,
+              (({sql_uniform('fprice', 'o.o_orderkey')} * 2.0 - 1.0) - -1.0) / 2.0
+              * (CASE WHEN b.mx - b.mn = 0 THEN 1.0 ELSE b.mx - b.mn END) + b.mn AS o_totalprice
+       FROM orders o CROSS JOIN b
+       LEFT JOIN ss ON {sql_uniform('fs', 'o.o_orderkey')} >= ss.lo AND {sql_uniform('fs', 'o.o_orderkey')} < ss.hi
+       LEFT JOIN sp ON {sql_uniform('fp', 'o.o_orderkey')} >= sp.lo AND {sql_uniform('fp', 'o.o_orderkey')} < sp.hi),
+ms AS (SELECT 'r' AS side, o_orderkey AS row_id, {_scaled_sql('o_totalprice', 'mn', 'mx', 0.0, 1.0)} AS o_totalprice,
+              {dums('o_orderstatus', STATUS, 'orders')}, {dums('o_orderpriority', PRIOS, 'orders')} FROM orders, b
+       UNION ALL
+       SELECT 'f', row_id, {_scaled_sql('fk.o_totalprice', 'mn', 'mx', 0.0, 1.0)},
+              {dums('o_orderstatus', STATUS, 'fk')}, {dums('o_orderpriority', PRIOS, 'fk')} FROM fk, b),
+r AS (SELECT * FROM ms WHERE side = 'r'), f AS (SELECT * FROM ms WHERE side = 'f'),
+p AS (SELECT a.row_id, {l1} AS d FROM r a, r b),
+k AS (SELECT row_id, d, row_number() OVER (PARTITION BY row_id ORDER BY d) AS rn FROM p),
+rad AS (SELECT row_id, d AS radius FROM k WHERE rn = 6),
+nn AS (SELECT a.row_id, min({l1}) AS dmin FROM r a, f b GROUP BY a.row_id)
+SELECT round(avg(CASE WHEN dmin < radius THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM rad JOIN nn USING (row_id)"""
+
+
+query("orders_coverage_marginal", sql=_flag_sql(), headline=True)(flagship)
