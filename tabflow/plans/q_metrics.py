@@ -110,7 +110,7 @@ def _kth_query(k_rank, name):
     def fn(spark, sf):
         real, _ = _customer_metric_space(spark, sf)
         pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
-        d = neighbors.kth_distance(pts.select("pid", "s", *MS_COLS), pts, MS_COLS, k_rank)
+        d = neighbors.kth_distance(pts.select("pid", "__s", *MS_COLS), pts, MS_COLS, k_rank)
         back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
         return back.join(d, on="pid").select(F.col("row_id").alias("c_custkey"), r6("dist").alias(name))
     return fn
