@@ -77,3 +77,22 @@ def interpolate_at_t(df: DataFrame, row_id: str, features: Sequence[str], level:
     t = level_time(F.lit(level), n_t, t0)
     return d.select(row_id, "feature", (t * F.col("x1") + (F.lit(1.0) - t) * z).alias("xt"),
                     (F.col("x1") - z).alias("ut"))
+
+
+def minibatch_expand(df: DataFrame, row_id: str, features: Sequence[str], n_batch: int, epochs: int,
+                     n_t: int, seed: int, t0: float = T0) -> DataFrame:
+    """The expansion a mini-batch trainer sees -- slice ``floor(u * n_batch)``
+    by row hash, fresh noise per epoch -- as rows, never stored by the trainer.
+
+    Output: row_id, slice, epoch, level, feature, xt, ut."""
+    from ..functions.noise import hash_uniform
+    arr = F.array(*[F.col(c).cast("double") for c in features])
+    d = df.select(row_id, F.floor(hash_uniform("slice", seed, F.col(row_id)) * F.lit(n_batch))
+                  .cast("long").alias("slice"), arr.alias("__x"))
+    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    d = d.select(row_id, "slice", "epoch", F.posexplode("__x").alias("feature", "x1"))
+    z = hash_normal("x0-mb", seed, F.col(row_id), F.col("epoch"), F.col("feature"))
+    d = noise_levels(d.withColumn("z", z), n_t, t0)
+    return d.select(row_id, "slice", "epoch", "level", "feature",
+                    (F.col("t") * F.col("x1") + (F.lit(1.0) - F.col("t")) * F.col("z")).alias("xt"),
+                    (F.col("x1") - F.col("z")).alias("ut"))

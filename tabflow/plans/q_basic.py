@@ -501,3 +501,20 @@ def q_interpolate_at_t(spark, sf):
     p = forward.interpolate_at_t(s, "c_custkey", ["x0", "x1"], 2, N_T_SMALL, SEED, epoch=1)
     return p.select("c_custkey", F.col("feature").cast("long").alias("feature"), r6("xt").alias("xt"),
                     r6("ut").alias("ut"))
+
+
+@query("minibatch_expand", sql=CUST_SCALED_SQL + f"""
+, e AS (SELECT c_custkey, CAST(floor({sql_uniform('slice', SEED, 'c_custkey')} * 3) AS BIGINT) AS slice,
+               epoch, feature, CASE WHEN feature = 0 THEN x0 ELSE x1 END AS x1v,
+               {sql_normal('x0-mb', SEED, 'c_custkey', 'epoch', 'feature')} AS z
+        FROM s CROSS JOIN range(2) AS r(epoch) CROSS JOIN range(2) AS f(feature))
+SELECT c_custkey, slice, CAST(epoch AS BIGINT) AS epoch, CAST(level AS BIGINT) AS level,
+       CAST(feature AS BIGINT) AS feature, round({T_SQL} * x1v + (1.0 - {T_SQL}) * z, 6) AS xt,
+       round(x1v - z, 6) AS ut
+FROM e CROSS JOIN range({N_T_SMALL}) AS l(level)""")
+def q_minibatch_expand(spark, sf):
+    s = _customer_scaled(spark, sf)
+    p = forward.minibatch_expand(s, "c_custkey", ["x0", "x1"], 3, 2, N_T_SMALL, SEED)
+    return p.select("c_custkey", "slice", F.col("epoch").cast("long").alias("epoch"),
+                    F.col("level").cast("long").alias("level"), F.col("feature").cast("long").alias("feature"),
+                    r6("xt").alias("xt"), r6("ut").alias("ut"))
