@@ -253,37 +253,41 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
                        F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
     forest = BoostedForest(depth=p.depth, n_rounds=p.n_rounds, objective=p.objective)
     if p.objective == "squared":
-        bases = {int(r["model"]): float(r["b"]) for r in
-                 rows.groupBy("model").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("b")).collect()}
-        n_models = max(bases) + 1 if bases else 1
+        base_rows = rows.withColumn("cls", F.lit(0))
         cmax = 1
-        base_arr = [bases.get(m, 0.0) for m in range(n_models)]
-        state = rows.withColumn("cls", F.lit(0)).withColumn(
-            "F", F.element_at(lit_array(base_arr, "double"), F.col("model") + 1))
-        for m, b in bases.items():
-            forest.base[(m, 0)] = b
     else:
         n_class = {int(k): int(v) for k, v in (n_class or {}).items()}
         forest.n_class = n_class
         n_models = max(n_class) + 1 if n_class else 1
         cmax = max(n_class.values()) if n_class else 1
         ncls_arr = [n_class.get(m, 1) for m in range(n_models)]
-        b0 = 0.0 if p.base_score is None else p.base_score
-        state = (rows.withColumn("cls", F.explode(F.sequence(
+        base_rows = rows.withColumn("cls", F.explode(F.sequence(
             F.lit(0), F.element_at(lit_array(ncls_arr, "int"), F.col("model") + 1) - 1)))
-            .withColumn("F", F.lit(b0)))
-        state = state.repartition("model", "rid")  # class rows of a training row stay together
+        base_rows = base_rows.repartition("model", "rid")  # class rows of a training row stay together
+    base_rows = base_rows.withColumn("ki", (F.col("model") * cmax + F.col("cls")).cast("int")) \
+        .select("model", "rid", "cls", "ki", "bins", "nin", "y", "w").persist(StorageLevel.MEMORY_AND_DISK)
+    if p.objective == "squared":
+        # base score = weighted mean target per model, read from the cached rows
+        bases = {int(r["model"]): float(r["b"]) for r in
+                 base_rows.groupBy("model").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("b")).collect()}
+        n_models = max(bases) + 1 if bases else 1
+        base_arr = [bases.get(m, 0.0) for m in range(n_models)]
+        state = base_rows.withColumn("F", F.element_at(lit_array(base_arr, "double"), F.col("model") + 1))
+        for m, b in bases.items():
+            forest.base[(m, 0)] = b
+    else:
+        b0 = 0.0 if p.base_score is None else p.base_score
+        state = base_rows.withColumn("F", F.lit(b0))
         for m, c in n_class.items():
             for k in range(c):
                 forest.base[(m, k)] = b0
     slots = n_models * cmax
-    state = state.withColumn("ki", (F.col("model") * cmax + F.col("cls")).cast("int"))
     cols = ["model", "rid", "cls", "ki", "bins", "nin", "y", "w", "F"]
-    state = state.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    state = state.select(*cols)
     n_int = 2 ** p.depth - 1
     max_j = n_inputs or (rows.agg(F.max("nin")).first()[0] or 1)
     nb = n_bins or (rows.select(F.max(F.array_max("bins"))).first()[0] or 1)
-    release = []
+    release = [base_rows]
     for r in range(p.n_rounds):
         gs = _grad_hess(state, p.objective).withColumn("node", F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
         cur = gs
@@ -366,15 +370,13 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
             new = (cur.join(F.broadcast(ldf), on=["model", "cls", "node"], how="left")
                    .withColumn("F", F.col("F") + F.coalesce(F.col("lv"), F.lit(0.0))).select(*cols))
         if (r + 1) % p.checkpoint_every == 0 and r + 1 < p.n_rounds:
-            new = materialize(new)
-        new = new.persist(StorageLevel.MEMORY_AND_DISK)  # filled by the next round's first pass
-        # the old caches are released only after that pass, or the new state
-        # would be recomputed from the very first round
-        release = [state, gs]
+            new = materialize(new)  # reliable checkpoint: bounded recomputation after a lost executor
+        # one cached frame per round (gradients of the next round); this
+        # round's cache is released only after the next one is filled
+        release.append(gs)
         state = new
     for x in release:
         x.unpersist()
-    state.unpersist()
     return forest
 
 
