@@ -32,6 +32,14 @@ from .hist_boost import BoostedForest, BoostParams, fit_boosted, predict_margin
 
 INF = float("inf")
 ROWS_PER_PARTITION = 1_000_000  # expanded training rows per task
+GENERATED_PER_PARTITION = 200_000  # generated rows per sampling task (each runs n_t model steps)
+
+
+def generation_partitions(spark, n: int, partitions: int | None = None) -> int:
+    """Tasks for ``spark.range(n)``: grows with n, at least the parallelism."""
+    if partitions:
+        return partitions
+    return max(spark.sparkContext.defaultParallelism, -(-n // GENERATED_PER_PARTITION))
 
 
 def spread(df: DataFrame, n_rows: int, expansion: int, key: str = "row_id") -> DataFrame:
@@ -104,8 +112,20 @@ class Prepared:
     n_rows: int
 
 
+def effective_spec(spec: TableSpec, label_cond: bool) -> TableSpec:
+    """Without label conditioning (or with a non-categorical label) the label is
+    generated like any other column, appended last (B6)."""
+    lab = spec.label
+    if lab is None or (label_cond and lab.kind == "categorical"):
+        return spec
+    from dataclasses import replace
+    cols = [c for c in spec.columns if c.name != lab.name] + [replace(lab, role="target")]
+    return replace(spec, columns=tuple(cols))
+
+
 def prepare(df: DataFrame, spec: TableSpec, label_cond: bool, scale_categorical: bool = False,
             drop_missing: bool = True) -> Prepared:
+    spec = effective_spec(spec, label_cond)
     gen = spec.generated
     names = [c.name for c in gen]
     kinds = [c.kind for c in gen]
@@ -282,7 +302,7 @@ class FittedSequential:
         if isinstance(n, DataFrame):
             rows = n.select(F.col(n.columns[0]).cast("long").alias("row_id"))
         else:
-            rows = spark.range(0, n, numPartitions=partitions or spark.sparkContext.defaultParallelism) \
+            rows = spark.range(0, n, numPartitions=generation_partitions(spark, n, partitions)) \
                 .withColumnRenamed("id", "row_id")
         rows = _draw_codes(rows, self.label_shares, hash_uniform("label", seed, F.col("row_id")), "lab")
         c = len(self.prep.names)
@@ -403,6 +423,7 @@ class JointFlow:
     reg: BoostParams = field(default_factory=lambda: BoostParams(n_rounds=100, depth=7, eta=0.3, lam=0.0))
 
     def fit(self, df: DataFrame, spec: TableSpec) -> "FittedJoint":
+        spec = effective_spec(spec, self.label_cond)
         gen = spec.generated
         covs = [c.name for c in spec.covariates]
         label = spec.label.name if (self.label_cond and spec.label is not None) else None
@@ -542,7 +563,7 @@ class FittedJoint:
         else:
             if self.covs:
                 raise ValueError("a model with covariates generates one row per covariate row: pass a DataFrame")
-            rows = spark.range(0, n, numPartitions=partitions or spark.sparkContext.defaultParallelism) \
+            rows = spark.range(0, n, numPartitions=generation_partitions(spark, n, partitions)) \
                 .withColumnRenamed("id", "row_id")
         rows = _draw_codes(rows, self.label_shares, hash_uniform("label", seed, F.col("row_id")), "lab")
         p = len(self.model_cols)

@@ -167,6 +167,16 @@ def _best_splits_local(h, p: BoostParams):
     return cand.drop_duplicates(["model", "cls", "node"], keep="first")
 
 
+def _decode_local(pk, width, max_j, nbk, cmax):
+    import pandas as pd
+    hk = pk["hk"].to_numpy(dtype=np.int64)
+    slot = hk // (width * max_j * nbk)
+    return pd.DataFrame({"model": (slot // cmax).astype(np.int64), "cls": (slot % cmax).astype(np.int64),
+                         "node": (hk // (max_j * nbk)) % width + (width - 1),
+                         "j": (hk // nbk) % max_j, "bin": hk % nbk,
+                         "G": pk["G"].to_numpy(dtype=np.float64), "H": pk["H"].to_numpy(dtype=np.float64)})
+
+
 def _node_totals_local(h):
     t = h[h["j"] == 0].groupby(["model", "cls", "node"])[["G", "H"]].sum().reset_index()
     return t
@@ -293,13 +303,25 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
         cur = gs
         leaf_vals = {}
         for d in range(p.depth):
-            ex = cur.select("model", "cls", "node", "g", "h", F.posexplode("bins").alias("j", "bin")) \
+            # one packed long key per (slot, node, input, bin): a single-column hash aggregation
+            width, nbk = 2 ** d, nb + 1
+            ex = cur.select("ki", "node", "g", "h", F.posexplode("bins").alias("j", "bin")) \
                 .where(F.col("j") < F.col("nin"))
-            hist = ex.groupBy("model", "cls", "node", "j", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+            key = (((F.col("ki").cast("long") * width + (F.col("node") - (width - 1))) * max_j + F.col("j"))
+                   * nbk + F.col("bin"))
+            packed = ex.select(key.alias("hk"), "g", "h").groupBy("hk").agg(F.sum("g").alias("G"),
+                                                                          F.sum("h").alias("H"))
+            hk = F.col("hk")
+            slot = F.floor(hk / F.lit(width * max_j * nbk))
+            hist = packed.select(
+                (slot / cmax).cast("int").alias("model"), (slot % cmax).cast("int").alias("cls"),
+                (F.floor(hk / F.lit(max_j * nbk)) % width + (width - 1)).cast("int").alias("node"),
+                (F.floor(hk / F.lit(nbk)) % max_j).cast("int").alias("j"), (hk % nbk).cast("int").alias("bin"),
+                "G", "H")
             # histogram size depends on models, nodes, inputs and bins only -- checked before collecting
-            bound = slots * (2 ** d) * max_j * (nb + 1)
+            bound = slots * width * max_j * nbk
             if bound <= LOCAL_HIST_ROWS:
-                hp = hist.toPandas()
+                hp = _decode_local(packed.toPandas(), width, max_j, nbk, cmax)
                 if d == 0:
                     for x in release:
                         x.unpersist()

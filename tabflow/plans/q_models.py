@@ -182,10 +182,17 @@ def _split(spark, sf):
     return s.where(F.col("is_test") == 0).drop("is_test"), s.where(F.col("is_test") == 1).drop("is_test")
 
 
+def _four_scores(spark, sf):
+    """G15 on the real split, computed once per application and data folder."""
+    def build():
+        tr, te = _split(spark, sf)
+        return utility.score_four_models(tr, te, FEATS, CATS, TARGET, True, UP)
+    return _cached(spark, sf, "four-scores", build)
+
+
 def _predict_query(learner):
     def fn(spark, sf):
-        tr, te = _split(spark, sf)
-        s = utility.score_four_models(tr, te, FEATS, CATS, TARGET, True, UP, learners=(learner,))
+        s = _four_scores(spark, sf)
         return spark.createDataFrame([(learner, float(s[learner]))], "learner string, f1 double")
     return fn
 
@@ -197,8 +204,7 @@ for _name, _learner in (("predict_linear", "lin"), ("predict_adaboost", "linboos
 
 @query("score_four_models")
 def q_score_four_models(spark, sf):
-    tr, te = _split(spark, sf)
-    s = utility.score_four_models(tr, te, FEATS, CATS, TARGET, True, UP)
+    s = _four_scores(spark, sf)
     return spark.createDataFrame([(k, float(v)) for k, v in s.items()], "learner string, f1 double")
 
 
@@ -210,11 +216,23 @@ def _fake(spark, sf, train):
     return _cached(spark, sf, "fake-train", build)
 
 
+def _utility(spark, sf):
+    """G16 once per application and data folder (the real side reuses G15)."""
+    def build():
+        tr, te = _split(spark, sf)
+        _, fake = _fake(spark, sf, tr)
+        fake_c = fake.cache()
+        both = tr.select(*FEATS, TARGET).unionByName(fake_c.select(*FEATS, TARGET))
+        res = {"real": _four_scores(spark, sf)}
+        for side, t in (("fake", fake_c), ("comb", both)):
+            res[side] = utility.score_four_models(t, te, FEATS, CATS, TARGET, True, UP)
+        return res
+    return _cached(spark, sf, "utility", build)
+
+
 @query("utility_real_fake_both")
 def q_utility_real_fake_both(spark, sf):
-    tr, te = _split(spark, sf)
-    _, fake = _fake(spark, sf, tr)
-    res = utility.utility_real_fake_both(tr, fake, te, FEATS, CATS, TARGET, True, UP)
+    res = _utility(spark, sf)
     rows = [(side, k, float(v)) for side, d in res.items() for k, v in d.items()]
     return spark.createDataFrame(rows, "side string, learner string, f1 double")
 
@@ -239,7 +257,7 @@ def run_experiment(spark, sf, method="HS3F_Euler"):
     w_test = transport.wasserstein1_lower(tes, fkm, cols).first()[0]
     cov_train = neighbors.coverage(trm, fkm, cols, None)
     cov_test = neighbors.coverage(tes, fkm, cols, None)
-    util = utility.utility_real_fake_both(tr, fake, te, FEATS, CATS, TARGET, True, UP)
+    util = _utility(spark, sf)
     vals = {"W_train": w_train, "W_test": w_test, "coverage_train": cov_train, "coverage_test": cov_test,
             "time": elapsed, "R2_real": 0.0, "R2_fake": 0.0, "R2_comb": 0.0,
             "F1_real": util["real"]["mean"], "F1_fake": util["fake"]["mean"], "F1_comb": util["comb"]["mean"]}
