@@ -102,7 +102,7 @@ def q_sliced_w1(spark, sf):
 SELECT r.c_custkey AS row_id, round(min({_l1_sql('r', 'f')}), 6) AS nearest FROM r, f GROUP BY r.c_custkey""")
 def q_pairwise_l1(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
-    d = neighbors.nearest_distance(real, fake, MS_COLS, "row_id")
+    d = neighbors.nearest_distance(real, fake, MS_COLS, "row_id", [SEG_COLS], 0.5)
     return d.select("row_id", r6("nearest").alias("nearest"))
 
 
@@ -110,7 +110,7 @@ def _kth_query(k_rank, name):
     def fn(spark, sf):
         real, _ = _customer_metric_space(spark, sf)
         pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
-        d = neighbors.kth_distance(pts.select("pid", "__s", *MS_COLS), pts, MS_COLS, k_rank)
+        d = neighbors.kth_distance(pts.select("pid", "__s", *MS_COLS), pts, MS_COLS, k_rank, [SEG_COLS], 0.5)
         back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
         return back.join(d, on="pid").select(F.col("row_id").alias("c_custkey"), r6("dist").alias(name))
     return fn
@@ -123,7 +123,7 @@ query("kth_smallest", sql=MS_SQL + _kth_sql(3).format(name="kth"))(_kth_query(3,
 def q_knn_radius(spark, sf):
     real, _ = _customer_metric_space(spark, sf)
     pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
-    rad = neighbors.knn_radius(pts, MS_COLS, 5)
+    rad = neighbors.knn_radius(pts, MS_COLS, 5, [SEG_COLS], 0.5)
     back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
     return back.join(rad, on="pid").select(F.col("row_id").alias("c_custkey"), r6("radius").alias("radius"))
 
@@ -149,14 +149,14 @@ WHERE cov >= 0.95"""
 @query("coverage", sql=_coverage_sql(MS_SQL, MS_COLS, "c_custkey", "SELECT 5 AS k"))
 def q_coverage(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
-    v = neighbors.coverage(real, fake, MS_COLS, 5)
+    v = neighbors.coverage(real, fake, MS_COLS, 5, "row_id", [SEG_COLS], 0.5)
     return spark.createDataFrame([(round(float(v), 6),)], "coverage double")
 
 
 @query("coverage_auto_k", sql=_coverage_sql(MS_SQL, MS_COLS, "c_custkey", _auto_k_sql(MS_COLS)))
 def q_coverage_auto_k(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
-    cp = neighbors.covered_points(real, fake, MS_COLS, neighbors.auto_k(real, MS_COLS), "row_id")
+    cp = neighbors.covered_points(real, fake, MS_COLS, neighbors.auto_k(real, MS_COLS), "row_id", [SEG_COLS], 0.5)
     return cp.agg(F.round(F.sum(F.when(F.col("covered"), F.col("m")).otherwise(0)) / F.sum("m"), 6)
                   .alias("coverage"))
 
@@ -417,7 +417,8 @@ def flagship(spark, sf):
     fake = marginal_fake_orders(spark, sf)
     real_m, fake_m, _, _ = encode.metric_space(o, fake.select(*o.columns), ["o_totalprice"],
                                                ["o_orderstatus", "o_orderpriority"])
-    v = neighbors.coverage(real_m, fake_m, FLAG_COLS, 5)
+    blocks = [FLAG_COLS[1:4], FLAG_COLS[4:]]
+    v = neighbors.coverage(real_m, fake_m, FLAG_COLS, 5, "row_id", blocks, 0.5)
     return spark.createDataFrame([(round(float(v), 6),)], "coverage double")
 
 

@@ -255,8 +255,9 @@ def run_experiment(spark, sf, method="HS3F_Euler"):
     tes = encode.onehot(encode.minmax_scale(te.select("row_id", *keep), bnds, 0.0, 1.0), d1, value=0.5)
     w_train = transport.wasserstein1_lower(trm, fkm, cols).first()[0]
     w_test = transport.wasserstein1_lower(tes, fkm, cols).first()[0]
-    cov_train = neighbors.coverage(trm, fkm, cols, None)
-    cov_test = neighbors.coverage(tes, fkm, cols, None)
+    blocks = neighbors.onehot_blocks(cols, d1)
+    cov_train = neighbors.coverage(trm, fkm, cols, None, "row_id", blocks, 0.5)
+    cov_test = neighbors.coverage(tes, fkm, cols, None, "row_id", blocks, 0.5)
     util = _utility(spark, sf)
     vals = {"W_train": w_train, "W_test": w_test, "coverage_train": cov_train, "coverage_test": cov_test,
             "time": elapsed, "R2_real": 0.0, "R2_fake": 0.0, "R2_comb": 0.0,

@@ -105,3 +105,23 @@ def test_solvers_closed_form():
 
 def test_rk4_half_step_levels():
     assert [solvers.level_of(i, True, 50) for i in range(4)] == [0, 2, 2, 4]
+
+
+def test_blocked_knn_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    n = 150
+    cont = rng.random(n).round(3)
+    cat = rng.integers(0, 3, n)
+    X = np.column_stack([cont, *[(cat == j) * 0.5 for j in range(3)]])
+    X[::5] = X[1]
+    Fk = np.column_stack([rng.random(100).round(3), *[(rng.integers(0, 3, 100) == j) * 0.5 for j in range(3)]])
+    cols = ["x", "d0", "d1", "d2"]
+    real = spark.createDataFrame(pd.DataFrame(X, columns=cols).assign(row_id=np.arange(n)))
+    fake = spark.createDataFrame(pd.DataFrame(Fk, columns=cols).assign(row_id=np.arange(len(Fk))))
+    D = np.abs(X[:, None, :] - X[None, :, :]).sum(-1)
+    for k in (2, 5):
+        radius = np.sort(D, axis=1)[:, k]
+        dmin = np.abs(X[:, None, :] - Fk[None, :, :]).sum(-1).min(axis=1)
+        want = float(np.mean(dmin < radius))
+        got = neighbors.coverage(real, fake, cols, k, blocks=[["d0", "d1", "d2"]], gap=0.5)
+        assert abs(got - want) < 1e-12
