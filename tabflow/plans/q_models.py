@@ -87,11 +87,21 @@ def q_fit_joint_velocity_missing(spark, sf):
     return flows.joint_model_table(_cached(spark, sf, "joint-missing", build), spark)
 
 
+def fitted_rf(spark, sf):
+    def build():
+        df, spec = _orders(spark, sf)
+        return RandomForestFlow(n_t=5, K=2, num_trees=10, max_depth=5).fit(df, spec)
+    return _cached(spark, sf, "rf", build)
+
+
 @query("fit_random_forest")
 def q_fit_random_forest(spark, sf):
-    df, spec = _orders(spark, sf)
-    rf = RandomForestFlow(n_t=5, K=2, num_trees=10, max_depth=5).fit(df, spec)
-    return rf.summary(spark)
+    return fitted_rf(spark, sf).summary(spark)
+
+
+@query("random_forest_generate")
+def q_random_forest_generate(spark, sf):
+    return fitted_rf(spark, sf).sample(_n_rows(spark, sf), seed=1)
 
 
 @query("fit_minibatch")

@@ -112,3 +112,10 @@ def test_joint_sample_and_imputation_keeps_known_cells(spark, orders):
     known = src["o_totalprice"].notna()
     assert np.allclose(imp.loc[known, "o_totalprice"], src.loc[known, "o_totalprice"])
     assert (imp["o_orderpriority"] == src["o_orderpriority"]).all()
+
+
+def test_random_forest_flow_generates_valid_rows(spark, orders):
+    from tabflow.learners.mllib import RandomForestFlow
+    df, spec = orders
+    rf = RandomForestFlow(n_t=3, K=1, num_trees=3, max_depth=3).fit(df, spec)
+    _check_sample(rf.sample(120, seed=2), df, spec, 120)
