@@ -28,7 +28,7 @@ from ..operators import clean, encode, forward
 from ..sampling import draws, solvers
 from ..sampling.postprocess import Postprocessor
 from ..spec import ColumnSpec, TableSpec
-from .hist_boost import BoostedForest, BoostParams, fit_boosted, predict_margin
+from .hist_boost import BoostedForest, BoostParams, fit_boosted, fit_boosted_many, predict_margin
 
 INF = float("inf")
 ROWS_PER_PARTITION = 1_000_000  # expanded training rows per task
@@ -211,7 +211,7 @@ class SequentialFlow:
         real = real.withColumn("fb", F.array(*[bin_expr(F.col(f"x{k}"), fixed[f"x{k}"]) for k in range(c)]))
 
         # regressors: one per (regression column, label, level)
-        reg_forest, xt_edges = None, {}
+        reg_job, xt_edges = None, {}
         if reg_feats:
             kpos_of = {k: i for i, k in enumerate(reg_feats)}
             feats = F.array(*[F.struct(F.lit(kpos_of[k]).alias("kpos"), F.lit(k).alias("k"),
@@ -238,10 +238,10 @@ class SequentialFlow:
             rows = ex.select(model.alias("model"), (F.col("row_id") * self.K + F.col("dup")).alias("rid"),
                              F.concat(F.array(xtb), F.slice("fb", 1, F.col("k"))).alias("bins"),
                              (F.col("k") + 1).cast("int").alias("nin"), "y")
-            reg_forest = fit_boosted(rows, self.reg, n_inputs=c, n_bins=self.n_bins)
+            reg_job = (rows, self.reg, None)
 
         # classifiers: one per (categorical column k >= 1, label) -- rows used once (weight 1)
-        clf_forest = None
+        clf_job = None
         if clf_feats:
             cpos_of = {k: i for i, k in enumerate(clf_feats)}
             feats = F.array(*[F.struct(F.lit(cpos_of[k]).alias("cpos"), F.lit(k).alias("k"),
@@ -251,7 +251,13 @@ class SequentialFlow:
                              F.col("row_id").alias("rid"), F.slice("fb", 1, F.col("f.k")).alias("bins"),
                              F.col("f.k").cast("int").alias("nin"), F.col("f.code").alias("y"))
             ncls = {cpos_of[k] * L + l: n_codes[f"x{k}"] for k in clf_feats for l in range(L)}
-            clf_forest = fit_boosted(rows, self._clf_params(), n_class=ncls, n_inputs=c, n_bins=self.n_bins)
+            clf_job = (rows, self._clf_params(), ncls)
+
+        # regressors and classifiers: two independent boosting runs
+        jobs = [j for j in (reg_job, clf_job) if j is not None]
+        forests = fit_boosted_many(jobs, n_inputs=c, n_bins=self.n_bins)
+        reg_forest = forests[0] if reg_job is not None else None
+        clf_forest = forests[-1] if clf_job is not None else None
 
         label_shares = _shares(prep.real, "lab")
         first_shares = _shares(prep.real.withColumn("c0", F.col("x0").cast("int")), "c0") \

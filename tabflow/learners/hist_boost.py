@@ -254,6 +254,20 @@ def _route_literal(df: DataFrame, d: int, slots: int, best_rows) -> DataFrame:
     return df.withColumn("node", F.col("node") * 2 + 1 + right.cast("int"))
 
 
+def fit_boosted_many(jobs, n_inputs: int | None = None, n_bins: int | None = None) -> list:
+    """Several independent boosting runs ``[(rows, params, n_class), ...]``
+    under one setting of the session confs.  (Submitting them from parallel
+    driver threads was measured: no gain, the passes are CPU-bound.)"""
+    if not jobs:
+        return []
+    spark = jobs[0][0].sparkSession
+    default_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, min(default_parts, spark.sparkContext.defaultParallelism))
+    with _session_conf(spark, {"spark.sql.adaptive.enabled": "false",
+                               "spark.sql.shuffle.partitions": str(parts)}):
+        return [_fit_boosted(r, p, nc, n_inputs, n_bins) for r, p, nc in jobs]
+
+
 def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
                  n_inputs: int | None = None, n_bins: int | None = None) -> BoostedForest:
     spark = rows.sparkSession
