@@ -177,6 +177,20 @@ def _decode_local(pk, width, max_j, nbk, cmax):
                          "G": pk["G"].to_numpy(dtype=np.float64), "H": pk["H"].to_numpy(dtype=np.float64)})
 
 
+def _with_right_children(parent, left):
+    """Full histogram of a depth from the parent depth's and the left children's."""
+    import pandas as pd
+    keys = ["model", "cls", "j", "bin"]
+    par = parent.assign(lnode=2 * parent["node"] + 1)
+    lf = left.rename(columns={"node": "lnode", "G": "GL", "H": "HL"})
+    m = par.merge(lf, on=keys + ["lnode"], how="left")
+    m[["GL", "HL"]] = m[["GL", "HL"]].fillna(0.0)
+    right = pd.DataFrame({"model": m["model"], "cls": m["cls"], "node": 2 * m["node"] + 2, "j": m["j"],
+                          "bin": m["bin"], "G": m["G"] - m["GL"], "H": m["H"] - m["HL"]})
+    right = right[right["H"] > 1e-9]  # bins whose rows all went left
+    return pd.concat([left, right], ignore_index=True)
+
+
 def _node_totals_local(h):
     t = h[h["j"] == 0].groupby(["model", "cls", "node"])[["G", "H"]].sum().reset_index()
     return t
@@ -316,11 +330,23 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
         gs = _grad_hess(state, p.objective).withColumn("node", F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
         cur = gs
         leaf_vals = {}
+        prev_hp = None
         for d in range(p.depth):
             # one packed long key per (slot, node, input, bin): a single-column hash aggregation
             width, nbk = 2 ** d, nb + 1
-            ex = cur.select("ki", "node", "g", "h", F.posexplode("bins").alias("j", "bin")) \
-                .where(F.col("j") < F.col("nin"))
+            bound = slots * width * max_j * nbk
+            local = bound <= LOCAL_HIST_ROWS
+            # histogram subtraction: below the root only left children are
+            # aggregated; a right child is its parent minus its left sibling
+            subtract = local and d > 0 and prev_hp is not None
+            ex = cur.select("ki", "node", "g", "h", "nin", F.posexplode("bins").alias("j", "bin"))
+            keep = F.col("j") < F.col("nin")
+            if subtract:
+                # the predicate also reads the exploded column, so filter pushdown
+                # cannot move it below the routing projection (it would copy the
+                # whole routing expression into the filter)
+                keep = keep & ((F.col("node") % 2 == 1) | (F.col("j") < 0))
+            ex = ex.where(keep)
             key = (((F.col("ki").cast("long") * width + (F.col("node") - (width - 1))) * max_j + F.col("j"))
                    * nbk + F.col("bin"))
             packed = ex.select(key.alias("hk"), "g", "h").groupBy("hk").agg(F.sum("g").alias("G"),
@@ -333,9 +359,11 @@ def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
                 (F.floor(hk / F.lit(nbk)) % max_j).cast("int").alias("j"), (hk % nbk).cast("int").alias("bin"),
                 "G", "H")
             # histogram size depends on models, nodes, inputs and bins only -- checked before collecting
-            bound = slots * width * max_j * nbk
-            if bound <= LOCAL_HIST_ROWS:
+            if local:
                 hp = _decode_local(packed.toPandas(), width, max_j, nbk, cmax)
+                if subtract:
+                    hp = _with_right_children(prev_hp, hp)
+                prev_hp = hp
                 if d == 0:
                     for x in release:
                         x.unpersist()
