@@ -518,3 +518,20 @@ def q_minibatch_expand(spark, sf):
     return p.select("c_custkey", "slice", F.col("epoch").cast("long").alias("epoch"),
                     F.col("level").cast("long").alias("level"), F.col("feature").cast("long").alias("feature"),
                     r6("xt").alias("xt"), r6("ut").alias("ut"))
+
+
+@query("label_decode_sorted", sql="""
+WITH d AS (SELECT o_orderpriority,
+                  CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS code
+           FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL)),
+c AS (SELECT o_orderkey, CAST(floor(({sql}) * 5) AS BIGINT) AS code FROM orders)
+SELECT c.o_orderkey, c.code, d.o_orderpriority AS decoded FROM c LEFT JOIN d ON c.code = d.code""".replace(
+    "{sql}", sql_uniform("dec-code", "o_orderkey")))
+def q_label_decode_sorted(spark, sf):
+    """A9 inverse: codes (here hash-drawn) back to category values through the dictionary."""
+    o = table(spark, sf, "orders")
+    dic = encode.sorted_dictionary(o, "o_orderpriority", "code")
+    codes = o.select("o_orderkey", F.floor(hash_uniform("dec-code", F.col("o_orderkey")) * 5).cast("long")
+                     .alias("code"))
+    out = encode.label_decode(codes, "code", dic.select("o_orderpriority", "code"), "o_orderpriority")
+    return out.select("o_orderkey", "code", F.col("o_orderpriority").alias("decoded"))
