@@ -7,11 +7,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.noise import hash_normal, hash_uniform, sql_normal, sql_uniform
+from ..functions.noise import hash_uniform, sql_normal, sql_uniform
 from ..operators import encode
 from ..sampling import draws, solvers
 from ..sources.registry import load_dataset, table
-from .q_basic import _scaled_sql
 from .registry import query, r6
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
