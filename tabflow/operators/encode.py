@@ -63,17 +63,13 @@ def label_shift(col: Column | str, gap_from: int | None = None) -> Column:
 
 
 def validate_category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Codes must be exactly 0..max.  One row per column."""
-    parts = []
-    for c in cols:
-        parts.append(df.agg(
-            F.lit(c).alias("column"),
-            F.min(c).cast("long").alias("min_code"),
-            F.max(c).cast("long").alias("max_code"),
-            F.countDistinct(c).cast("long").alias("n_codes")))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
+    """Codes must be exactly 0..max.  One aggregate pass over all
+    columns, then one row per column."""
+    row = df.agg(*[F.struct(F.lit(c).alias("column"), F.min(c).cast("long").alias("min_code"),
+                            F.max(c).cast("long").alias("max_code"),
+                            F.countDistinct(c).cast("long").alias("n_codes")).alias(f"s{i}")
+                   for i, c in enumerate(cols)])
+    res = row.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
     return res.withColumn("valid", (F.col("min_code") == 0) & (F.col("n_codes") == F.col("max_code") + 1))
 
 
