@@ -68,8 +68,9 @@ def running_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
         *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__o{i}") for i, t in enumerate(tmp)],
         *([F.lead(F.col("__first")).over(wb).alias("__nextfirst")] if nxt else []),
     )
-    # offsets table has one row per (group, bucket): bounded by the bucket count
-    joined = base.join(F.broadcast(offs) if bucket_col is None else offs, on=keys, how="inner")
+    # offsets: one row per (group, bucket); no forced broadcast -- with many
+    # groups it is not small, and adaptive execution broadcasts it when it is
+    joined = base.join(offs, on=keys, how="inner")
     frame = (Window.partitionBy(*keys).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     w_in = Window.partitionBy(*keys).orderBy(*order_cols)
