@@ -66,3 +66,38 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabflow`` importable in Python workers (functions of the package
+    used in ``mapInPandas`` / pandas UDFs are pickled by reference): zip the
+    package into the shared checkpoint folder and ``addPyFile`` it, once per
+    application.  A cluster that installs the package on its nodes needs none
+    of this; it is harmless there."""
+    import io
+    import zipfile
+
+    from pyarrow import fs as pafs
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, top))
+    target = scratch_path(spark, "tabflow-code") + ".zip"
+    filesystem, path = pafs.FileSystem.from_uri(target if "://" in target or target.startswith("file:")
+                                                else "file://" + target)
+    filesystem.create_dir(os.path.dirname(path), recursive=True)
+    with filesystem.open_output_stream(path) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
