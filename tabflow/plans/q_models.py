@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.noise import hash_uniform
 from ..learners import flows
 from ..learners.hist_boost import BoostParams
-from ..learners.mllib import RandomForestFlow
+from ..learners.mllib import RandomForestSampler
 from ..metrics import neighbors, report, transport, utility
 from ..operators import encode
 from ..sampling import draws
@@ -90,7 +90,7 @@ def q_fit_joint_velocity_missing(spark, sf):
 def fitted_rf(spark, sf):
     def build():
         df, spec = _orders(spark, sf)
-        return RandomForestFlow(n_t=5, K=2, num_trees=10, max_depth=5).fit(df, spec)
+        return RandomForestSampler(n_t=5, K=2, num_trees=10, max_depth=5).fit(df, spec)
     return _cached(spark, sf, "rf", build)
 
 

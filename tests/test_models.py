@@ -115,9 +115,9 @@ def test_joint_sample_and_imputation_keeps_known_cells(spark, orders):
 
 
 def test_random_forest_flow_generates_valid_rows(spark, orders):
-    from tabflow.learners.mllib import RandomForestFlow
+    from tabflow.learners.mllib import RandomForestSampler
     df, spec = orders
-    rf = RandomForestFlow(n_t=3, K=1, num_trees=3, max_depth=3).fit(df, spec)
+    rf = RandomForestSampler(n_t=3, K=1, num_trees=3, max_depth=3).fit(df, spec)
     _check_sample(rf.sample(120, seed=2), df, spec, 120)
 
 
