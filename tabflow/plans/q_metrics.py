@@ -92,7 +92,27 @@ def q_wasserstein1_lower(spark, sf):
     return transport.wasserstein1_lower(real, fake, MS_COLS).select(r6("w1_lower").alias("w1_lower"))
 
 
-@query("sliced_w1")
+def _sliced_sql(n_proj=8, seed=1):
+    projs = []
+    for j in range(n_proj):
+        w = [sql_normal("slice", seed, j, i) for i in range(len(MS_COLS))]
+        norm = "sqrt(" + " + ".join(f"({x}) * ({x})" for x in w) + ")"
+        num = " + ".join(f"({x}) * {c}" for x, c in zip(w, MS_COLS))
+        projs.append(f"SELECT 'proj_{j}' AS column_name, ({num}) / {norm} AS v, is_real FROM m")
+    return MS_SQL + f""", l AS ({' UNION ALL '.join(projs)}),
+g AS (SELECT column_name, v, sum(CASE WHEN is_real THEN 1 ELSE 0 END) AS cp,
+             sum(CASE WHEN is_real THEN 0 ELSE 1 END) AS cq FROM l GROUP BY column_name, v),
+w AS (SELECT column_name, v, lead(v) OVER (PARTITION BY column_name ORDER BY v) AS nv,
+             CAST(sum(cp) OVER (PARTITION BY column_name ORDER BY v ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS fp,
+             CAST(sum(cq) OVER (PARTITION BY column_name ORDER BY v ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS fq,
+             CAST(sum(cp) OVER (PARTITION BY column_name) AS DOUBLE) AS np,
+             CAST(sum(cq) OVER (PARTITION BY column_name) AS DOUBLE) AS nq FROM g),
+per AS (SELECT column_name, sum(abs(fp / np - fq / nq) * (nv - v)) AS w1 FROM w WHERE nv IS NOT NULL
+        GROUP BY column_name)
+SELECT round(avg(w1), 6) AS sliced_w1 FROM per"""
+
+
+@query("sliced_w1", sql=_sliced_sql())
 def q_sliced_w1(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
     return transport.sliced_w1(real, fake, MS_COLS, n_proj=8, seed=1).select(r6("sliced_w1").alias("sliced_w1"))
