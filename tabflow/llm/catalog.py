@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.llm import decontaminate, gru_lm, langid, pieces, sharding, superkmers, syncmers, toxicity
+from tabflow.llm import oracles
 from tabflow.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
         return fn
     return deco
 
@@ -33,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "train_tokens", "base_score", "score")
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -45,7 +48,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query("op6_decontaminate")
+@query("op6_decontaminate", oracles.DECONTAMINATE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",

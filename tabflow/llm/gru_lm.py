@@ -279,7 +279,7 @@ def _expand(blob: bytes, kinds: list) -> list[np.ndarray]:
 
 
 def _count_chunk(buckets: int):
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         uniq, form, index, first = _chunk_words(t.column("text"))
         learn = np.repeat(t.column("learn").to_numpy(), np.diff(first))
         n = np.bincount(index[learn], minlength=len(uniq)).astype(np.uint32)
@@ -447,7 +447,7 @@ def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, trai
     sent = spark.sparkContext.broadcast((vocab, weights))
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left, right):
         vocab, weights = sent.value
         uniq, form, index, first = _chunk_words(left.column("text"))
         order = pc.sort_indices(right, sort_keys=[("bucket", "ascending")])
