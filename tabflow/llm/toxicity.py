@@ -10,7 +10,8 @@ machine value of its words.
 Learning uses only labelled rows where ``learn`` holds, at most about ``per_class``
 texts of each label (smallest id hash; the bound is this parameter):
 * witnesses: words that occur in toxic and hardly in clean texts, chosen greedily until
-  the toxic texts are covered (a label marks a text, not a word);
+  the toxic texts are covered (a label marks a text, not a word; insults may be whole
+  families of words with one stem, which the kernel carries over to unseen members);
 * landmarks: the witnesses and frequent clean words; features K(x, L) K(L, L)^-1/2;
 * a linear SVM on words: witnesses, also with one character inserted, against clean
   words, with the clean words that score highest added in a second round;
@@ -41,23 +42,34 @@ from tabflow.session import materialize
 
 DECAY, SPAN = 0.6, 6
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-#: Symbols 0-25 letters, 26-35 digits, 36 any byte of another letter.
-SYMBOLS = 37
+#: Symbols 0-25 letters, 26-35 digits, 36-67 accented Latin letters, 68-71 all others.
+SYMBOLS = 72
+FLOOR = -1.0                            # word values below this count as this
 _SYM = np.full(256, 255, np.uint8)
 for _c in range(26):
     _SYM[65 + _c] = _SYM[97 + _c] = _c
 for _c in range(10):
     _SYM[48 + _c] = 26 + _c
-_SYM[192:] = 36                         # first byte of a character outside ASCII
+_SYM[192:] = 36                         # first byte of a character outside ASCII (see _symbols_of)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LIGHT = np.array([sum(max(0, n - b) * DECAY ** (2 * (b + 1)) for _, b in OFFSETS) for n in range(4096)])
 
 
+def _symbols_of(buf: np.ndarray) -> np.ndarray:
+    """Symbol of every byte (255: none)."""
+    sym = _SYM[buf]
+    wide = np.flatnonzero(sym == 36)
+    if len(wide):
+        tail = buf[np.minimum(wide + 1, len(buf) - 1)] & 63
+        sym[wide] = np.where(buf[wide] == 0xC3, 36 + (tail & 31), 68 + (buf[wide] + tail) % 4)
+    return sym
+
+
 def symbols(buf: np.ndarray, offs: np.ndarray):
     """Symbols of the text with marks and spaces left out, each one's place, and two word numbers per symbol:
     runs of symbols (single ones joined) and white-space words."""
-    sym = _SYM[buf]
+    sym = _symbols_of(buf)
     keep = sym != 255
     inner = (buf >= 128) & (buf < 192)                   # later bytes of a character: neither symbol nor mark
     solid = keep | inner
@@ -102,7 +114,8 @@ def _grams(sym: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 def profile(word: str) -> dict[int, float]:
     """Gapped-triple features of one word (marks and spaces left out)."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    sym = _SYM[raw][_SYM[raw] != 255].astype(np.int64)
+    sym = _symbols_of(raw)
+    sym = sym[sym != 255].astype(np.int64)
     out: dict[int, float] = {}
     for _, t, w in _grams(sym, np.zeros(len(sym), np.int64)):
         for k in t.tolist():
@@ -112,14 +125,18 @@ def profile(word: str) -> dict[int, float]:
 
 def kernel(words: list[str], marks: list[dict[int, float]]) -> np.ndarray:
     """Normalised kernel of every word with every landmark profile."""
+    place = {k: i for i, k in enumerate(sorted({k for m in marks for k in m}))}
+    table = np.zeros((len(place) + 1, len(marks)))
+    for j, m in enumerate(marks):
+        for k, v in m.items():
+            table[place[k], j] = v
+        table[:, j] /= np.linalg.norm(table[:, j]) or 1.0
     out = np.zeros((len(words), len(marks)))
-    norms = [np.sqrt(sum(v * v for v in m.values())) or 1.0 for m in marks]
     for i, w in enumerate(words):
         p = profile(w)
-        size = np.sqrt(sum(v * v for v in p.values())) or 1.0
-        for j, m in enumerate(marks):
-            small, large = (p, m) if len(p) < len(m) else (m, p)
-            out[i, j] = sum(v * large.get(k, 0.0) for k, v in small.items()) / (size * norms[j])
+        if p:
+            v = np.fromiter(p.values(), float, len(p))
+            out[i] = v @ table[[place.get(k, len(place)) for k in p]] / np.linalg.norm(v)
     return out
 
 
@@ -138,9 +155,9 @@ class Model:
         return np.bincount(word, value, n_words), np.bincount(word, minlength=n_words)
 
     def text_values(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Largest machine value of each row's words; words below zero count as zero (before the bias)."""
+        """Largest machine value of each row's words, ``FLOOR`` at least."""
         n = len(offs) - 1
-        best = np.zeros(n)
+        best = np.full(n, FLOOR - self.bias)
         sym, at, *kinds = symbols(buf, offs)
         if len(sym):
             for word in kinds:
@@ -150,7 +167,7 @@ class Model:
                 bound = num / np.sqrt(np.maximum(_LIGHT[np.minimum(size, len(_LIGHT) - 1)], 1e-12))
                 row = np.searchsorted(offs, at[first], side="right") - 1
                 # the norm is at least the bound's: only words that could matter get their exact norm
-                for k in np.flatnonzero((num > 0) & (bound > 0.25)).tolist():
+                for k in np.flatnonzero((num > 0) & (bound + self.bias > FLOOR)).tolist():
                     own = sym[first[k]:first[k] + size[k]]
                     exact = num[k] / _norm(own)
                     if exact > best[row[k]]:
@@ -201,8 +218,8 @@ def _word_rows(sample: DataFrame) -> DataFrame:
         .filter(F.length("word").between(3, 40))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, clean_words: int = 4000,
-        landmarks: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, clean_words: int = 3000,
+        landmarks: int = 160, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     sample = _labelled_sample(docs, labels, learn, per_class, id_col, text_col, label_col)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(True):
@@ -211,14 +228,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
     words = _word_rows(sample)
     counts = materialize(words.groupBy("word").agg(F.sum(F.col("toxic").cast("int")).alias("bad"),
                                                    F.sum((~F.col("toxic")).cast("int")).alias("good")))
-    # candidates: ten times as common in toxic texts; at most 256 of them
+    # candidates: ten times as common in toxic texts; at most 1024 of them
     likely = (counts.filter("bad > 1")
               .filter((F.col("bad") / n_toxic) > 10 * (F.col("good") + 0.5) / max(n_clean, 1))
-              .orderBy(F.desc("bad"), "word").limit(256).select("word"))
+              .orderBy(F.desc("bad"), "word").limit(1024).select("word"))
     texts_of = {r["word"]: set(r["t"]) for r in
                 words.filter("toxic").join(F.broadcast(likely), "word")
                 .groupBy("word").agg(F.collect_set("t").alias("t")).collect()}
-    witnesses = _cover(texts_of, least=max(2, 0.02 * n_toxic))
+    witnesses = _cover(texts_of, least=max(2, 0.002 * n_toxic))
     if not witnesses:
         return Model()
     return _fit_words(sample, counts, witnesses, clean_words, landmarks)
@@ -236,7 +253,7 @@ def _cover(texts_of: dict[str, set], least: float) -> list[str]:
     if out:
         common = np.median([len(texts_of[w]) for w in out])
         out += [w for w in sorted(texts_of) if w not in out and len(texts_of[w]) >= 0.5 * common]
-    return out
+    return sorted(out, key=lambda w: (-len(texts_of[w]), w))
 
 
 def _variants(word: str, rng) -> list[str]:
@@ -249,25 +266,24 @@ def _fit_words(sample: DataFrame, counts: DataFrame, witnesses: list[str], clean
                landmarks: int) -> Model:
     rng = np.random.default_rng(5)
     clean = counts.filter("good > 0 and bad <= good")
-    common = [r["word"] for r in clean.orderBy(F.desc("good"), "word").limit(landmarks).collect()]
+    common = [r["word"] for r in clean.orderBy(F.desc("good"), "word").limit(landmarks // 4).collect()]
     drawn = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(clean_words).select("word").collect()]
-    marks = [profile(w) for w in (witnesses + common)[:max(landmarks, len(witnesses))]]
-    marks = [m for m in marks if m]
-    names = (witnesses + common)
-    gram = kernel([w for w in names if profile(w)][:len(marks)], marks)
+    chosen = [w for w in witnesses[:landmarks - len(common)] + common if profile(w)]
+    marks = [profile(w) for w in chosen]
+    gram = kernel(chosen, marks)
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(len(marks)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
     good = [v for w in witnesses for v in _variants(w, rng)]
     bad = sorted(set(common + drawn) - set(witnesses))
     spark = sample.sparkSession
     model = Model()
-    for _ in range(2):
+    for _ in range(3):
         x = (kernel(good + bad, marks) @ root).astype(np.float32)
         times = max(len(bad) // max(len(good), 1), 1)
         y = np.array([1.0] * len(good) + [-1.0] * len(bad))
         x = np.vstack([x] + [x[:len(good)]] * (min(times, 20) - 1))
         y = np.append(y, np.ones(len(x) - len(y)))
-        w = linear_svm(x, y, c=10.0, epochs=20)
+        w = linear_svm(x, y, c=100.0, epochs=40)
         alpha = root @ w[:-1]
         table = np.zeros(SYMBOLS ** 3, np.float32)
         for a, m in zip(alpha, marks, strict=True):
@@ -278,7 +294,7 @@ def _fit_words(sample: DataFrame, counts: DataFrame, witnesses: list[str], clean
         sent = spark.sparkContext.broadcast(model)
         hard = (_values(clean.select(F.col("word").alias("text"), F.lit(False).alias("toxic")), sent)
                 .orderBy(F.desc("value"), "text").limit(500).collect())
-        bad = sorted(set(bad) | {r["text"] for r in hard if r["value"] > -0.5} - set(witnesses))
+        bad = sorted(set(bad) | {r["text"] for r in hard if r["value"] > FLOOR} - set(witnesses))
     sent = spark.sparkContext.broadcast(model)
     found = _values(sample.select("text", "toxic"), sent).select("value", "toxic").collect()
     v, t = np.array([r["value"] for r in found]), np.array([r["toxic"] for r in found], float)
