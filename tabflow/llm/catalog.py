@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm import decontaminate, gru_lm, langid, pieces, sharding, superkmers, syncmers, toxicity
+from tabflow.llm import decontaminate, gru_lm, jaccard, langid, pieces, sharding, superkmers, syncmers, toxicity
 from tabflow.llm import oracles
 from tabflow.llm.common import crc_mod, table
 
@@ -41,6 +41,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+@query("op4_jaccard_join", oracles.JACCARD_JOIN)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_sentencepiece")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -49,10 +49,10 @@ sh AS (SELECT DISTINCT doc_id, body FROM
        (SELECT doc_id, array_to_string(ws[p + 1:p + 5], ' ') AS body
         FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 5, 0) + 1)) AS p FROM w WHERE len(ws) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sh a JOIN sh b USING (body)
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b USING (body)
       WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
-      WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+      WHERE 100 * common >= 75 * (na.n + nb.n - common)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.least AS component_id
