@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm import decontaminate, gru_lm, jaccard, langid, pieces, sharding, superkmers, syncmers, toxicity
+from tabflow.llm import decontaminate, gru_lm, jaccard, langid, pieces, secrets, sharding, superkmers, syncmers, toxicity
 from tabflow.llm import oracles
 from tabflow.llm.common import crc_mod, table
 
@@ -29,6 +29,13 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "pos", "nth", F.length("found").alias("length"),
+                        F.sha2("found", 256).alias("found_sha256"), "score", "is_secret")
+
+
 @query("op2_lm_score")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gru_lm.score_table(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
