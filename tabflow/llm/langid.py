@@ -37,7 +37,7 @@ FAMILIES = {
 }
 BITS = 12
 ORDERS = (1, 2, 3)
-CHARS = 1 << 20
+CHARS = 1 << 17
 
 _U = np.uint64
 _ASCII = np.where([chr(c).isalpha() for c in range(128)], np.arange(128), 32).astype(np.uint32)
@@ -74,20 +74,24 @@ def features(texts: list[str]) -> np.ndarray:
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (last one: bias) of an L2-loss linear SVM, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    norm = (x.astype(np.float64) ** 2).sum(1) + 0.5 / c
+def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7,
+               rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last one: bias) of an L2-loss linear SVM on some rows of x, by dual coordinate descent."""
+    rows = np.arange(len(x)) if rows is None else rows
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
+    norm = np.einsum("ij,ij->i", x, x)[rows] + 1 + 0.5 / c
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c
+        for i in rng.permutation(len(rows)):
+            xi = x[rows[i]]
+            g = y[i] * (xi @ w + bias) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * xi
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, bias)
 
 
 @dataclass
@@ -176,18 +180,20 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 800, families: dict[
                 both = features([text, " ".join(words[at:at + 6])])
                 for x in both:
                     bins = np.flatnonzero(x)
-                    made.append((lang, h, bins.tolist(), x[bins].tolist()))
-            yield pd.DataFrame(made, columns=["lang", "h", "bins", "share"])
+                    made.append((lang, h, bins.astype(np.int32).tobytes() + x[bins].tobytes()))
+            yield pd.DataFrame(made, columns=["lang", "h", "grams"])
 
     order = Window.partitionBy("lang").orderBy("h")
     sample = (picked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
               .select("lang", "text", "h")
-              .mapInPandas(pieces, "lang string, h long, bins array<int>, share array<float>")
-              .orderBy("lang", "h").collect())
+              .mapInPandas(pieces, "lang string, h long, grams binary").toPandas()
+              .sort_values(["lang", "h", "grams"]))
     x = np.zeros((len(sample), 1 << BITS), np.float32)
-    for i, r in enumerate(sample):
-        x[i, r["bins"]] = r["share"]
-    lang = np.array([r["lang"] for r in sample])
+    for i, raw in enumerate(sample["grams"]):
+        half = len(raw) // 2
+        x[i, np.frombuffer(raw[:half], np.int32)] = np.frombuffer(raw[half:], np.float32)
+    lang = sample["lang"].to_numpy()
+    del sample
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
     x *= scale
     family = {k: families.get(k, k) for k in known}
@@ -202,10 +208,10 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 800, families: dict[
         if len(set(y)) < 2:
             y = np.append(y, -y[-1:])
             rows_of = np.append(rows_of, rows_of[-1:])
-        wt = linear_svm(x[rows_of], y)
+        wt = linear_svm(x, y, rows=rows_of)
         model.machines.append((a, b))
         w.append(np.append(wt[:-1] * scale, wt[-1]))
-        spread = np.median(np.abs(x[rows_of] @ wt[:-1] + wt[-1]))
+        spread = np.median(np.abs((x @ wt[:-1].astype(np.float32))[rows_of] + wt[-1]))
         steep.append(3.0 / max(spread, 1e-6))
     model.weights = np.array([v[:-1] for v in w], np.float32) if w else np.zeros((0, 1 << BITS), np.float32)
     model.bias, model.steep = np.array([v[-1] for v in w]), np.array(steep)

@@ -2,7 +2,7 @@
 
 Words are found on the UTF-8 bytes of a whole Arrow string column, never by a
 Python loop over characters; a word is known by a 64-bit polynomial hash of its
-bytes (finalised by a bit mixer).  Work is cut into slices of a few MB of text
+bytes (finalised by a bit mixer).  Work is cut into slices of half a MB of text
 at document boundaries, so memory is bounded by a slice plus one document.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240229).integers(1, 2 ** 63, 256, dtype=np.uint64) * _U(2) + _U(1)
