@@ -166,9 +166,7 @@ def _shares(df: DataFrame, col: str) -> list[tuple]:
 def _draw_codes(rows: DataFrame, shares: list[tuple], u: Column, out: str) -> DataFrame:
     spark = rows.sparkSession
     sh = spark.createDataFrame(shares, f"{out} int, lo double, hi double")
-    r = rows.withColumn("__u", u)
-    return (r.join(F.broadcast(sh), (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")), "left")
-            .drop("lo", "hi", "__u"))
+    return draws.interval_join(rows.withColumn("__u", u), sh, "__u").drop("__u")
 
 
 # ---- sequential flow (HS3F / CS3F) ---------------------------------------------
@@ -204,6 +202,7 @@ class SequentialFlow:
         reg_feats = [k for k in range(c) if not (hetero and is_cat[k])]
         clf_feats = [k for k in range(1, c) if hetero and is_cat[k]]
         n_codes = {f"x{k}": len(prep.dictionaries[prep.names[k]]) for k in range(c) if is_cat[k]}
+        width = max([self.n_bins, *n_codes.values()])  # a category has a bin of its own, however many there are
         xcols = [f"x{k}" for k in range(c)]
         fixed = quantile_edges(prep.real, xcols, self.n_bins, n_codes)
         L = len(prep.label_values)
@@ -240,7 +239,8 @@ class SequentialFlow:
                              (F.col("k") + 1).cast("int").alias("nin"), "y")
             reg_job = (rows, self.reg, None)
 
-        # classifiers: one per (categorical column k >= 1, label) -- rows used once (weight 1)
+        # classifiers: one per (categorical column k >= 1, label) -- rows used once with weight K,
+        # which is what K identical copies amount to
         clf_job = None
         if clf_feats:
             cpos_of = {k: i for i, k in enumerate(clf_feats)}
@@ -249,13 +249,14 @@ class SequentialFlow:
             cr = real.select("row_id", "lab", "fb", F.explode(feats).alias("f"))
             rows = cr.select(((F.col("f.cpos") * L + F.col("lab"))).cast("int").alias("model"),
                              F.col("row_id").alias("rid"), F.slice("fb", 1, F.col("f.k")).alias("bins"),
-                             F.col("f.k").cast("int").alias("nin"), F.col("f.code").alias("y"))
+                             F.col("f.k").cast("int").alias("nin"), F.col("f.code").alias("y"),
+                             F.lit(float(self.K)).alias("w"))
             ncls = {cpos_of[k] * L + l: n_codes[f"x{k}"] for k in clf_feats for l in range(L)}
             clf_job = (rows, self._clf_params(), ncls)
 
         # regressors and classifiers: two independent boosting runs
         jobs = [j for j in (reg_job, clf_job) if j is not None]
-        forests = fit_boosted_many(jobs, n_inputs=c, n_bins=self.n_bins)
+        forests = fit_boosted_many(jobs, n_inputs=c, n_bins=width)
         reg_forest = forests[0] if reg_job is not None else None
         clf_forest = forests[-1] if clf_job is not None else None
 
@@ -287,11 +288,12 @@ class FittedSequential:
         p = self.params
         c = len(self.prep.names)
         nb = p.n_bins
-        fixed_thr = np.stack([thresholds_from_edges(self.fixed_edges[f"x{k}"], nb) for k in range(c)]) \
-            if c else np.zeros((0, nb + 2))
+        wide = max([nb, *[len(e) + 1 for e in self.fixed_edges.values()]])
+        fixed_thr = np.stack([thresholds_from_edges(self.fixed_edges[f"x{k}"], wide) for k in range(c)]) \
+            if c else np.zeros((0, wide + 2))
         xt_thr = {}
         for (kpos, level), (mn, w) in self.xt_edges.items():
-            thr = np.full(nb + 2, INF)
+            thr = np.full(wide + 2, INF)
             thr[0] = -INF
             thr[1:nb] = mn + w * np.arange(1, nb)
             xt_thr[(kpos, level)] = thr
@@ -595,12 +597,14 @@ class FittedJoint:
         """fill missing cells of ``df`` (rows keyed by the spec's row id);
         known cells are kept and follow ``t x + (1 - t) noise`` on the path."""
         spec = self.spec
-        d = clean.nan_to_null(df, self.names)
+        d = clean.nan_to_null(df, self.names + ([self.label] if self.label else []))
+        if self.label:
+            clean.assert_label_present(d, self.label)  # a missing label cannot be made up (B4)
         d2 = _null_dummies(d.select(spec.row_id, *self.names, *self.covs, *([self.label] if self.label else [])),
                            self.dictionaries)
         lab = code_expr(self.label, self.label_values).cast("int") if self.label else F.lit(0)
         p = len(self.model_cols)
-        rows = d2.select(F.col(spec.row_id).cast("long").alias("row_id"), F.coalesce(lab, F.lit(0)).alias("lab"),
+        rows = d2.select(F.col(spec.row_id).cast("long").alias("row_id"), lab.alias("lab"),
                          *[encode.scale_expr(F.col(m).cast("double"), *self.bounds[m]).alias(f"k{j}")
                            for j, m in enumerate(self.model_cols)],
                          *[F.col(cv).cast("double").alias(f"cov{i}") for i, cv in enumerate(self.covs)],

@@ -18,13 +18,15 @@ aggregations of ``metrics.scores``.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode
@@ -43,6 +45,7 @@ class UtilityParams:
     boost_rounds: int = 100
     boost_depth: int = 7
     seed: int = 0
+    seeds: int = 5
 
 
 def design(train: DataFrame, tests: list[DataFrame], features: list[str], categorical: list[str],
@@ -73,16 +76,36 @@ def design(train: DataFrame, tests: list[DataFrame], features: list[str], catego
     return prep(train), [prep(t) for t in tests], classes, num + dummy_cols
 
 
+class _Rounds:
+    """Weighted training rows of a boosting loop: each round's weights are stored once and the previous
+    round's are released (every tenth goes to the checkpoint folder, which bounds recomputation)."""
+
+    def __init__(self, train: DataFrame):
+        n = train.count()
+        self.now = train.withColumn("w", F.lit(1.0 / max(n, 1))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.m = 0
+
+    def update(self, weighted: DataFrame) -> None:
+        """``weighted``: the same rows with new, not yet normalised weights ``w``."""
+        total = weighted.agg(F.sum("w")).first()[0]
+        new = weighted.select("row_no", "features", "label", (F.col("w") / F.lit(total)).alias("w"))
+        self.m += 1
+        new = materialize(new) if self.m % 10 == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
+        new.count()
+        self.now.unpersist()
+        self.now = new
+
+    def release(self) -> None:
+        self.now.unpersist()
+
+
 def _adaboost_samme(train, tests, n_classes, rounds, seed):
-    d = train.withColumn("w", F.lit(1.0))
-    n = d.count()
-    d = d.withColumn("w", F.lit(1.0 / n))
-    models = []
+    state, models = _Rounds(train), []
     for m in range(rounds):
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + m).fit(d)
-        pr = tree.transform(d)
+        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + m).fit(state.now)
         miss = (F.col("prediction") != F.col("label")).cast("double")
-        err = pr.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()["e"]
+        pr = tree.transform(state.now).withColumn("miss", miss)
+        err = pr.agg((F.sum(F.col("w") * F.col("miss")) / F.sum("w")).alias("e")).first()["e"] or 0.0
         if err <= 0:
             models.append((tree, 1.0))
             break
@@ -90,11 +113,8 @@ def _adaboost_samme(train, tests, n_classes, rounds, seed):
             break
         alpha = math.log((1 - err) / err) + math.log(n_classes - 1)
         models.append((tree, alpha))
-        d = pr.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss)).select("row_no", "features", "label", "w")
-        tot = d.agg(F.sum("w")).first()[0]
-        d = d.withColumn("w", F.col("w") / F.lit(tot))
-        if (m + 1) % 10 == 0:
-            d = materialize(d)  # cut the lineage of the weight updates
+        state.update(pr.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * F.col("miss"))))
+    state.release()
     outs = []
     for t in tests:
         votes = t
@@ -105,61 +125,50 @@ def _adaboost_samme(train, tests, n_classes, rounds, seed):
                       for i, (_, a) in enumerate(models)), F.lit(0.0)) for k in range(n_classes)]
         arr = F.array(*score)
         pred = (F.array_position(arr, F.array_max(arr)) - 1).cast("double")
-        outs.append(votes.select("label", pred.alias("prediction")))
+        outs.append(votes.select("row_no", "label", pred.alias("prediction")))
     return outs
 
 
 def _adaboost_r2(train, tests, rounds, seed):
-    n = train.count()
-    d = train.withColumn("w", F.lit(1.0 / n))
-    models = []
+    state, models = _Rounds(train), []
     for m in range(rounds):
-        tree = DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=seed + m).fit(d)
-        pr = tree.transform(d).withColumn("ae", F.abs(F.col("prediction") - F.col("label")))
-        mx = pr.agg(F.max("ae")).first()[0]
-        if not mx:
+        tree = DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=seed + m).fit(state.now)
+        pr = tree.transform(state.now).withColumn("ae", F.abs(F.col("prediction") - F.col("label")))
+        r = pr.agg(F.max("ae").alias("mx"), (F.sum(F.col("w") * F.col("ae")) / F.sum("w")).alias("mean")).first()
+        if not r["mx"]:
             models.append((tree, 1.0))
             break
-        pr = pr.withColumn("loss", F.col("ae") / F.lit(mx))
-        err = pr.agg((F.sum(F.col("w") * F.col("loss")) / F.sum("w"))).first()[0]
+        err = r["mean"] / r["mx"]
         if err >= 0.5:
             if not models:
                 models.append((tree, 1.0))
             break
         beta = max(err / (1 - err), 1e-12)
         models.append((tree, math.log(1 / beta)))
-        d = pr.withColumn("w", F.col("w") * F.pow(F.lit(beta), F.lit(1.0) - F.col("loss"))) \
-            .select("row_no", "features", "label", "w")
-        tot = d.agg(F.sum("w")).first()[0]
-        d = d.withColumn("w", F.col("w") / F.lit(tot))
-        if (m + 1) % 10 == 0:
-            d = materialize(d)
-    alphas = [a for _, a in models]
+        keep = F.lit(1.0) - F.col("ae") / F.lit(r["mx"])
+        state.update(pr.withColumn("w", F.col("w") * F.pow(F.lit(beta), keep)))
+    state.release()
     outs = []
     for t in tests:
         x = t
         for i, (tree, _) in enumerate(models):
             x = tree.setPredictionCol(f"p{i}").transform(x)
-        # weighted median of the rounds' predictions (Arrow batch helper)
-        med = _weighted_median_udf(alphas)
-        outs.append(x.select("label", med(F.array(*[F.col(f"p{i}") for i in range(len(models))])).alias("prediction")))
+        med = weighted_median([F.col(f"p{i}") for i in range(len(models))], [a for _, a in models])
+        outs.append(x.select("row_no", "label", med.alias("prediction")))
     return outs
 
 
-def _weighted_median_udf(alphas):
-    import pandas as pd
-
-    w = np.asarray(alphas, dtype=float)
+def weighted_median(values, weights) -> Column:
+    """Smallest value at which the running weight (values ascending) reaches half of all weight."""
+    pairs = F.array_sort(F.array(*[F.struct(v.alias("v"), F.lit(float(w)).alias("w"))
+                                   for v, w in zip(values, weights)]))
+    half = F.lit(0.5 * float(sum(weights)))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("m"))
 
-    @F.pandas_udf("double")
-    def med(preds: pd.Series) -> pd.Series:
-        P = np.stack(preds.to_numpy())
-        order = np.argsort(P, axis=1)
-        ws = w[order]
-        cum = np.cumsum(ws, axis=1)
-        idx = (cum >= 0.5 * w.sum()).argmax(axis=1)
-        return pd.Series(P[np.arange(len(P)), order[np.arange(len(P)), idx]])
-    return med
+    def step(acc, x):
+        c = acc["c"] + x["w"]
+        return F.struct(c.alias("c"), F.coalesce(acc["m"], F.when(c >= half, x["v"])).alias("m"))
+    return F.aggregate(pairs, start, step, lambda acc: acc["m"])
 
 
 def _boosted(train, tests, cols, classification, n_classes, p: UtilityParams):
@@ -188,8 +197,10 @@ def _boosted(train, tests, cols, classification, n_classes, p: UtilityParams):
                 pred = marg.argmax(axis=1).astype(np.float64)
             else:
                 pred = predict_margin(fr, (0, 0), X, th)
-            yield pd.DataFrame({"label": pdf["label"].to_numpy(dtype=np.float64), "prediction": pred})
-    return [t.select("label", *cols).mapInPandas(run, "label double, prediction double") for t in tests]
+            yield pd.DataFrame({"row_no": pdf["row_no"], "label": pdf["label"].to_numpy(dtype=np.float64),
+                                "prediction": pred})
+    return [t.select("row_no", "label", *cols).mapInPandas(run, "row_no long, label double, prediction double")
+            for t in tests]
 
 
 def predictions(learner: str, train, tests, cols, classification, n_classes, p: UtilityParams):
@@ -198,7 +209,7 @@ def predictions(learner: str, train, tests, cols, classification, n_classes, p:
         est = (LogisticRegression(maxIter=p.max_iter, regParam=0.0, family="multinomial") if classification
                else LinearRegression(regParam=0.0, solver="normal"))
         m = est.fit(train)
-        return [m.transform(t).select("label", "prediction") for t in tests]
+        return [m.transform(t).select("row_no", "label", "prediction") for t in tests]
     if learner == "linboost":
         return (_adaboost_samme(train, tests, n_classes, p.ada_rounds, p.seed) if classification
                 else _adaboost_r2(train, tests, p.ada_rounds, p.seed))
@@ -207,7 +218,7 @@ def predictions(learner: str, train, tests, cols, classification, n_classes, p:
                if classification else
                RandomForestRegressor(numTrees=p.forest_trees, maxDepth=min(p.forest_depth, 30), seed=p.seed))
         m = est.fit(train)
-        return [m.transform(t).select("label", "prediction") for t in tests]
+        return [m.transform(t).select("row_no", "label", "prediction") for t in tests]
     if learner == "treeboost":
         return _boosted(train, tests, cols, classification, n_classes, p)
     raise KeyError(learner)
@@ -219,21 +230,38 @@ def score(pred: DataFrame, classification: bool) -> float:
     return float(scores.r2(pred, "label", "prediction").first()["r2"] or 0.0)
 
 
+def prepare_parts(train: DataFrame, test: DataFrame, features, categorical, target, classification):
+    """Design matrices of both sides, kept while the learners run.  With no other column the target itself
+    is the only input (a one-column table)."""
+    features = [f for f in features if f != target] or [target]
+    if features == [target]:
+        train, test = (d.withColumn("__x", F.col(target)) for d in (train, test))
+        features, categorical = ["__x"], (["__x"] if target in categorical or classification else [])
+    tr, (te,), classes, cols = design(train, [test], features, [c for c in categorical if c in features], target,
+                                      classification)
+    return tr.persist(StorageLevel.MEMORY_AND_DISK), te.persist(StorageLevel.MEMORY_AND_DISK), classes, cols
+
+
 def score_four_models(train: DataFrame, test: DataFrame, features, categorical, target, classification,
                       p: UtilityParams | None = None, learners=LEARNERS) -> dict:
-    """Score of each learner plus their mean; classes of the test side
-    missing from the training side zero every score (G10)."""
+    """Score of each learner plus their mean, averaged over ``p.seeds`` seeds; classes of the test side
+    missing from the training side zero every score (G10).  Only the forest draws at random; the others give
+    the same result for every seed and run once."""
     p = p or UtilityParams()
     if classification:
         guard = scores.missing_classes(train, test, target).first()["guard"]
         if guard:
             return {**{m: 0.0 for m in learners}, "mean": 0.0}
-    tr, (te,), classes, cols = design(train, [test], features, categorical, target, classification)
+    tr, te, classes, cols = prepare_parts(train, test, features, categorical, target, classification)
     n_classes = len(classes) if classes else 0
     out = {}
     for m in learners:
-        (pr,) = predictions(m, tr, [te], cols, classification, n_classes, p)
-        out[m] = score(pr, classification)
+        runs = []
+        for s in range(p.seeds if m == "tree" else 1):
+            (pr,) = predictions(m, tr, [te], cols, classification, n_classes, replace(p, seed=p.seed + s))
+            runs.append(score(pr, classification))
+        out[m] = float(np.mean(runs))
+    tr.unpersist(), te.unpersist()
     out["mean"] = float(np.mean([out[m] for m in learners]))
     return out
 

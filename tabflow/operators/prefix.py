@@ -30,6 +30,13 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches NULL keys with NULL keys; one copy of the keys stays."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def running_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
                  partition: Sequence[str] = (), bucket_col: str | None = None,
                  num_buckets: int | None = None, inclusive: bool = True,
@@ -70,7 +77,8 @@ def running_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
     )
     # offsets: one row per (group, bucket); no forced broadcast -- with many
     # groups it is not small, and adaptive execution broadcasts it when it is
-    joined = base.join(offs, on=keys, how="inner")
+    # null-safe: rows of a NULL group or with a NULL order bucket keep their sums
+    joined = join_null_safe(base, offs, keys)
     frame = (Window.partitionBy(*keys).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     w_in = Window.partitionBy(*keys).orderBy(*order_cols)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.noise import hash_normal, hash_uniform
-from ..operators.prefix import hash_bucket, row_numbers
+from ..operators.prefix import hash_bucket, join_null_safe, row_numbers
 
-MAX_BROADCAST_CATEGORIES = 1_000_000
+SHARE_BUCKETS = 4096  # cells of (0,1) on which rows and category intervals meet
 
 
 def cumulative_shares(df: DataFrame, col: str) -> DataFrame:
@@ -30,11 +30,18 @@ def cumulative_shares(df: DataFrame, col: str) -> DataFrame:
          / tot.cast("double")).alias("hi"))
 
 
-def _bounded(shares: DataFrame) -> DataFrame:
-    n = shares.count()
-    if n > MAX_BROADCAST_CATEGORIES:
-        return shares
-    return F.broadcast(shares)
+def interval_join(rows: DataFrame, shares: DataFrame, u: str) -> DataFrame:
+    """Rows with the share row whose interval ``[lo, hi)`` holds ``u`` in (0,1).
+
+    An interval is listed under every cell of (0,1) it touches, so the join is an
+    equi-join on the cell (hash or sort-merge, whatever the number of categories);
+    a cell holds one category more than it has interval borders."""
+    first = F.floor(F.col("lo") * SHARE_BUCKETS)
+    last = F.least(F.floor(F.col("hi") * SHARE_BUCKETS), F.lit(SHARE_BUCKETS - 1))
+    cells = shares.withColumn("__cell", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    r = rows.withColumn("__cell", F.least(F.floor(F.col(u) * SHARE_BUCKETS), F.lit(SHARE_BUCKETS - 1)).cast("long"))
+    on = ((r["__cell"] == cells["__cell"]) & (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi")))
+    return r.join(cells, on, "left").drop(cells["__cell"]).drop("__cell", "lo", "hi")
 
 
 def draw_from_frequencies(rows: DataFrame, source: DataFrame, col: str, u: Column,
@@ -42,10 +49,8 @@ def draw_from_frequencies(rows: DataFrame, source: DataFrame, col: str, u: Colum
     """One category per row, drawn with the observed frequencies of
     ``source[col]``; ``u`` is the row's uniform in (0,1)."""
     out = out or col
-    shares = _bounded(cumulative_shares(source, col).withColumnRenamed(col, "__cat"))
-    r = rows.withColumn("__u", u)
-    joined = r.join(shares, (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")), "left")
-    return joined.drop("lo", "hi", "__u").withColumnRenamed("__cat", out)
+    shares = cumulative_shares(source, col).withColumnRenamed(col, "__cat")
+    return interval_join(rows.withColumn("__u", u), shares, "__u").drop("__u").withColumnRenamed("__cat", out)
 
 
 def prior_noise(seed: int, row_id: Column | str, feature: int) -> Column:
@@ -94,7 +99,7 @@ def train_test_split(df: DataFrame, row_id: str, seed: int, test_size: float = 0
     d = row_numbers(d, ["__u", row_id], partition=part, bucket_col="__bk", name="__rn")
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")) if part else None
     if sizes is not None:
-        d = d.join(sizes, on=part, how="inner")
+        d = join_null_safe(d, sizes, part)  # a missing class is a stratum of its own
     else:
         d = d.withColumn("__n", F.lit(df.count()))  # one scalar, no global window
     is_test = F.col("__rn") <= F.ceil(F.lit(test_size) * F.col("__n").cast("double"))
