@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.noise import hash_normal, hash_uniform, np_hash_normal
@@ -28,7 +28,7 @@ from ..operators import clean, encode, forward
 from ..sampling import draws, solvers
 from ..sampling.postprocess import Postprocessor
 from ..spec import TableSpec
-from .hist_boost import BoostedForest, BoostParams, fit_boosted, fit_boosted_many, predict_margin
+from .hist_boost import Block, BoostedForest, BoostParams, fit_expanded, predict_margin
 
 INF = float("inf")
 ROWS_PER_PARTITION = 1_000_000  # expanded training rows per task
@@ -110,6 +110,8 @@ class Prepared:
     bounds: dict
     real: DataFrame  # row_id, lab, x0..x{c-1} (model space)
     n_rows: int
+    clip: dict = field(default_factory=dict)    # given bounds: for clipping only
+    types: dict = field(default_factory=dict)   # declared types of the input columns
 
 
 def effective_spec(spec: TableSpec, label_cond: bool) -> TableSpec:
@@ -123,6 +125,16 @@ def effective_spec(spec: TableSpec, label_cond: bool) -> TableSpec:
     return replace(spec, columns=tuple(cols))
 
 
+def with_row_id(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
+    """``df`` with its key column; without one, equal rows are numbered and the key is a hash of row and number
+    (the same after a recomputation, whatever the partitioning)."""
+    if name in df.columns:
+        return df
+    h = F.xxhash64(*[F.col(c).cast("string") for c in cols])
+    n = F.row_number().over(Window.partitionBy("__h").orderBy("__h"))
+    return df.withColumn("__h", h).withColumn(name, F.xxhash64("__h", n)).drop("__h")
+
+
 def prepare(df: DataFrame, spec: TableSpec, label_cond: bool, scale_categorical: bool = False,
             drop_missing: bool = True) -> Prepared:
     spec = effective_spec(spec, label_cond)
@@ -141,7 +153,7 @@ def prepare(df: DataFrame, spec: TableSpec, label_cond: bool, scale_categorical:
     label_values = encode.category_values(d, label) if label else [0]
     num = [c.name for c in gen if c.kind != "categorical"]
     given = {c.name: (c.min, c.max) for c in gen if c.min is not None and c.max is not None}
-    bounds = encode.data_bounds(d, num, given) if num else {}
+    bounds = encode.data_bounds(d, num) if num else {}
     cols = []
     for i, c in enumerate(gen):
         if c.kind == "categorical":
@@ -149,12 +161,11 @@ def prepare(df: DataFrame, spec: TableSpec, label_cond: bool, scale_categorical:
         else:
             cols.append(encode.scale_expr(F.col(c.name).cast("double"), *bounds[c.name]).alias(f"x{i}"))
     lab = code_expr(label, label_values).cast("int") if label else F.lit(0)
-    row_id = spec.row_id if spec.row_id in df.columns else None
-    rid = F.col(row_id).cast("long") if row_id else F.monotonically_increasing_id()
-    real = d.select(rid.alias("row_id"), lab.alias("lab"), *cols)
+    d = with_row_id(d, spec.row_id, keep)
+    real = d.select(F.col(spec.row_id).cast("long").alias("row_id"), lab.alias("lab"), *cols)
     real = real.persist(StorageLevel.MEMORY_AND_DISK)
     n = real.count()
-    return Prepared(spec, names, kinds, label, label_values, dicts, bounds, real, n)
+    return Prepared(spec, names, kinds, label, label_values, dicts, bounds, real, n, given, dict(df.dtypes))
 
 
 def _shares(df: DataFrame, col: str) -> list[tuple]:
@@ -169,6 +180,123 @@ def _draw_codes(rows: DataFrame, shares: list[tuple], u: Column, out: str) -> Da
     return draws.interval_join(rows.withColumn("__u", u), sh, "__u").drop("__u")
 
 
+# ---- examples of a batch of real rows ---------------------------------------------
+
+def level_times(n_t: int, t_0: float = forward.T0) -> np.ndarray:
+    """D1 as numbers (the levels of ``forward.level_time``)."""
+    return np.ones(1) if n_t == 1 else t_0 + np.arange(n_t) * ((1.0 - t_0) / (n_t - 1))
+
+
+def noise_array(tag: str, seed: int, copies: int, feature: int) -> Column:
+    """The K noise draws of a row for one column (the keys of D3), as an array: all levels share them."""
+    return F.transform(F.sequence(F.lit(0), F.lit(copies - 1)),
+                       lambda d: hash_normal(tag, seed, F.col("row_id"), d, feature))
+
+
+def _stack(series, width: int) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in series]) if len(series) else np.zeros((0, width))
+
+
+def _even_bins(x: np.ndarray, mn: float, width: float, n_bins: int) -> np.ndarray:
+    """1 .. n_bins on an even grid, 0 = missing."""
+    b = np.clip(np.ceil((x - mn) / width), 1, n_bins)
+    return np.where(np.isnan(b), 0, b).astype(np.int32)
+
+
+@dataclass
+class PathExamples:
+    """Regression examples of the sequential flow: per (column, level), inputs (x_t, earlier columns), target x1 - x0."""
+    feats: list
+    n_labels: int
+    copies: int
+    n_bins: int
+    times: np.ndarray
+    edges: dict | None = None    # (position, level) -> (smallest x_t, bin width)
+
+    def paths(self, pdf):
+        for pos, k in enumerate(self.feats):
+            x1 = pdf[f"x{k}"].to_numpy(np.float64)[:, None]
+            z = _stack(pdf[f"z{k}"], self.copies)
+            for level, t in enumerate(self.times):
+                yield pos, k, level, t * x1 + (1 - t) * z, x1 - z
+
+    def blocks(self, pdf):
+        fixed = _stack(pdf["fb"], 1).astype(np.int32)
+        lab = pdf["lab"].to_numpy(np.int64)
+        for pos, k, level, xt, y in self.paths(pdf):
+            own = _even_bins(xt, *self.edges[(pos, level)], self.n_bins)
+            yield Block((pos * self.n_labels + lab) * len(self.times) + level,
+                        [own] + [fixed[:, j:j + 1] for j in range(k)], y)
+
+
+@dataclass
+class CategoryExamples:
+    """Classifier examples of the sequential flow: per column, inputs the earlier columns, target the code."""
+    feats: list
+    n_labels: int
+    codes: list
+    weight: float
+
+    def blocks(self, pdf):
+        fixed = _stack(pdf["fb"], 1).astype(np.int32)
+        lab = pdf["lab"].to_numpy(np.int64)
+        for pos, k in enumerate(self.feats):
+            yield Block(pos * self.n_labels + lab, [fixed[:, j:j + 1] for j in range(k)],
+                        pdf[f"x{k}"].to_numpy(np.float64)[:, None], self.weight, self.codes[pos])
+
+
+@dataclass
+class JointExamples:
+    """Regression examples of the joint flow: per (level, output), inputs all columns at x_t and the covariates."""
+    n_cols: int
+    n_cov: int
+    copies: int
+    n_bins: int
+    times: np.ndarray
+    edges: dict | None = None    # (column, level) -> (smallest x_t, bin width)
+
+    def paths(self, pdf):
+        x = [pdf[f"x{j}"].to_numpy(np.float64)[:, None] for j in range(self.n_cols)]
+        z = [_stack(pdf[f"z{j}"], self.copies) for j in range(self.n_cols)]
+        for level, t in enumerate(self.times):
+            yield level, [t * a + (1 - t) * b for a, b in zip(x, z)], [a - b for a, b in zip(x, z)]
+
+    def blocks(self, pdf):
+        cov = _stack(pdf["cb"], 1).astype(np.int32) if self.n_cov else None
+        lab = pdf["lab"].to_numpy(np.int64)
+        for level, xt, y in self.paths(pdf):
+            bins = [_even_bins(v, *self.edges[(j, level)], self.n_bins) for j, v in enumerate(xt)]
+            bins += [cov[:, i:i + 1] for i in range(self.n_cov)]
+            for k in range(self.n_cols):
+                yield Block((lab * len(self.times) + level) * self.n_cols + k, bins, y[k])
+
+
+def _path_edges(state: DataFrame, examples, n_bins: int) -> dict:
+    """Even grid of x_t for each (column, level): smallest value and bin width, from one pass over the examples."""
+    joint = isinstance(examples, JointExamples)
+
+    def ranges(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for got in examples.paths(pdf):
+                if joint:
+                    level, xts, _ = got
+                    cells = [(j, level, x) for j, x in enumerate(xts)]
+                else:
+                    cells = [(got[0], got[2], got[3])]
+                for pos, level, x in cells:
+                    x = x[~np.isnan(x)]
+                    if x.size:
+                        out.append((pos, level, float(x.min()), float(x.max())))
+            yield pd.DataFrame(out, columns=["pos", "level", "mn", "mx"])
+    got = state.mapInPandas(ranges, "pos int, level int, mn double, mx double").groupBy("pos", "level").agg(
+        F.min("mn").alias("mn"), F.max("mx").alias("mx")).collect()
+    found = {(r["pos"], r["level"]): (r["mn"], max((r["mx"] - r["mn"]) / n_bins, 1e-12)) for r in got}
+    n = examples.n_cols if joint else len(examples.feats)
+    return {(i, lv): found.get((i, lv), (0.0, 1e-12)) for i in range(n) for lv in range(len(examples.times))}
+
+
 # ---- sequential flow (HS3F / CS3F) ---------------------------------------------
 
 @dataclass
@@ -184,6 +312,8 @@ class SequentialFlow:
     reg: BoostParams = field(default_factory=lambda: BoostParams(n_rounds=100, depth=7, eta=0.3, lam=0.0))
     clf: BoostParams | None = None  # default: n_rounds + 15 trees, eta 0.1, softmax
     n_batch: int = 0  # >0: mini-batch noise keys and classifier without the +15 trees (E7)
+    t_0: float = forward.T0  # first level time
+    learner_params: dict = field(default_factory=dict)  # E9: learner parameters by name, for both kinds of trees
 
     def _clf_params(self) -> BoostParams:
         if self.clf is not None:
@@ -209,62 +339,32 @@ class SequentialFlow:
         real = spread(prep.real, prep.n_rows, self.K * self.n_t * max(len(reg_feats), 1))
         real = real.withColumn("fb", F.array(*[bin_expr(F.col(f"x{k}"), fixed[f"x{k}"]) for k in range(c)]))
 
+        tag = "x0" if self.n_batch <= 0 else "x0-mb"
+        state = real.select("row_id", "lab", "fb", *[f"x{k}" for k in range(c)],
+                            *[noise_array(tag, self.seed, self.K, k).alias(f"z{k}") for k in reg_feats])
+
         # regressors: one per (regression column, label, level)
-        reg_job, xt_edges = None, {}
+        reg_forest, xt_edges = None, {}
         if reg_feats:
-            kpos_of = {k: i for i, k in enumerate(reg_feats)}
-            feats = F.array(*[F.struct(F.lit(kpos_of[k]).alias("kpos"), F.lit(k).alias("k"),
-                                       F.col(f"x{k}").alias("x1")) for k in reg_feats])
-            ex = forward.duplicate_rows(real.select("row_id", "lab", "fb", F.explode(feats).alias("f")), self.K)
-            ex = forward.noise_levels(ex, self.n_t)
-            tag = "x0" if self.n_batch <= 0 else "x0-mb"
-            z = hash_normal(tag, self.seed, F.col("row_id"), F.col("dup"), F.col("f.k"))
-            ex = ex.select("row_id", "lab", "fb", "dup", "level", F.col("f.kpos").alias("kpos"),
-                           F.col("f.k").alias("k"),
-                           (F.col("t") * F.col("f.x1") + (F.lit(1.0) - F.col("t")) * z).alias("xt"),
-                           (F.col("f.x1") - z).alias("y"))
-            mm = ex.groupBy("kpos", "level").agg(F.min("xt").alias("mn"), F.max("xt").alias("mx")).collect()
-            mmrows = []
-            for r in mm:
-                w = max((r["mx"] - r["mn"]) / self.n_bins, 1e-12)
-                xt_edges[(int(r["kpos"]), int(r["level"]))] = (float(r["mn"]), w)
-                mmrows.append((int(r["kpos"]), int(r["level"]), float(r["mn"]), w))
-            mmdf = ex.sparkSession.createDataFrame(mmrows, "kpos int, level int, mn double, bw double")
-            ex = ex.join(F.broadcast(mmdf), on=["kpos", "level"])
-            xtb = F.least(F.greatest(F.ceil((F.col("xt") - F.col("mn")) / F.col("bw")), F.lit(1)),
-                          F.lit(self.n_bins)).cast("int")
-            model = ((F.col("kpos") * L + F.col("lab")) * self.n_t + F.col("level")).cast("int")
-            rows = ex.select(model.alias("model"), (F.col("row_id") * self.K + F.col("dup")).alias("rid"),
-                             F.concat(F.array(xtb), F.slice("fb", 1, F.col("k"))).alias("bins"),
-                             (F.col("k") + 1).cast("int").alias("nin"), "y")
-            reg_job = (rows, self.reg, None)
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            examples = PathExamples(reg_feats, L, self.K, self.n_bins, level_times(self.n_t, self.t_0))
+            xt_edges = examples.edges = _path_edges(state, examples, self.n_bins)
+            reg_forest = fit_expanded(state, examples, self.reg.with_params(self.learner_params), width)
 
         # classifiers: one per (categorical column k >= 1, label) -- rows used once with weight K,
         # which is what K identical copies amount to
-        clf_job = None
+        clf_forest = None
         if clf_feats:
-            cpos_of = {k: i for i, k in enumerate(clf_feats)}
-            feats = F.array(*[F.struct(F.lit(cpos_of[k]).alias("cpos"), F.lit(k).alias("k"),
-                                       F.col(f"x{k}").alias("code")) for k in clf_feats])
-            cr = real.select("row_id", "lab", "fb", F.explode(feats).alias("f"))
-            rows = cr.select(((F.col("f.cpos") * L + F.col("lab"))).cast("int").alias("model"),
-                             F.col("row_id").alias("rid"), F.slice("fb", 1, F.col("f.k")).alias("bins"),
-                             F.col("f.k").cast("int").alias("nin"), F.col("f.code").alias("y"),
-                             F.lit(float(self.K)).alias("w"))
-            ncls = {cpos_of[k] * L + l: n_codes[f"x{k}"] for k in clf_feats for l in range(L)}
-            clf_job = (rows, self._clf_params(), ncls)
-
-        # regressors and classifiers: two independent boosting runs
-        jobs = [j for j in (reg_job, clf_job) if j is not None]
-        forests = fit_boosted_many(jobs, n_inputs=c, n_bins=width)
-        reg_forest = forests[0] if reg_job is not None else None
-        clf_forest = forests[-1] if clf_job is not None else None
+            examples = CategoryExamples(clf_feats, L, [n_codes[f"x{k}"] for k in clf_feats], float(self.K))
+            clf_forest = fit_expanded(state.select("row_id", "lab", "fb", *[f"x{k}" for k in clf_feats]), examples,
+                                      self._clf_params().with_params(self.learner_params), width)
+        state.unpersist()
 
         label_shares = _shares(prep.real, "lab")
         first_shares = _shares(prep.real.withColumn("c0", F.col("x0").cast("int")), "c0") \
             if (hetero and is_cat[0]) else None
         post = Postprocessor(prep.spec.with_roles(**({prep.label: "label"} if prep.label else {})),
-                             prep.bounds, prep.dictionaries)
+                             prep.bounds, prep.dictionaries, prep.clip, prep.types)
         prep.real.unpersist()
         return FittedSequential(self, prep, reg_feats, clf_feats, fixed, xt_edges, reg_forest, clf_forest,
                                 label_shares, first_shares, post)
@@ -428,6 +528,8 @@ class JointFlow:
     seed: int = 0
     n_bins: int = 64
     remove_missing: bool = False
+    t_0: float = forward.T0
+    learner_params: dict = field(default_factory=dict)
     reg: BoostParams = field(default_factory=lambda: BoostParams(n_rounds=100, depth=7, eta=0.3, lam=0.0))
 
     def fit(self, df: DataFrame, spec: TableSpec) -> "FittedJoint":
@@ -450,11 +552,11 @@ class JointFlow:
                                     *([label] if label else [])), dicts)
         model_cols = wide_cols + dummy_cols
         given = {c.name: (c.min, c.max) for c in gen if c.min is not None and c.max is not None}
-        bounds = encode.data_bounds(d2, model_cols, given)
+        bounds = encode.data_bounds(d2, model_cols)
         p = len(model_cols)
         lab = code_expr(label, label_values).cast("int") if label else F.lit(0)
-        rid = F.col(spec.row_id).cast("long") if spec.row_id in d2.columns else F.monotonically_increasing_id()
-        real = d2.select(rid.alias("row_id"), lab.alias("lab"),
+        d2 = with_row_id(d2, spec.row_id, model_cols)
+        real = d2.select(F.col(spec.row_id).cast("long").alias("row_id"), lab.alias("lab"),
                          *[encode.scale_expr(F.col(m).cast("double"), *bounds[m]).alias(f"x{j}")
                            for j, m in enumerate(model_cols)],
                          *[F.col(cv).cast("double").alias(f"cov{i}") for i, cv in enumerate(covs)])
@@ -463,45 +565,19 @@ class JointFlow:
         real.count()
         cov_edges = quantile_edges(real, [f"cov{i}" for i in range(len(covs))], self.n_bins, {}) if covs else {}
         L = len(label_values)
-        ex = forward.duplicate_rows(real, self.K)
-        ex = forward.noise_levels(ex, self.n_t)
-        xts, ys = [], []
-        for j in range(p):
-            z = hash_normal("x0", self.seed, F.col("row_id"), F.col("dup"), j)
-            x1 = F.col(f"x{j}")
-            xts.append((F.col("t") * x1 + (F.lit(1.0) - F.col("t")) * z).alias(f"xt{j}"))
-            ys.append((x1 - z).alias(f"y{j}"))
-        ex = ex.select("row_id", "lab", "dup", "level", *xts, *ys, *[f"cov{i}" for i in range(len(covs))])
-        aggs = []
-        for j in range(p):
-            aggs += [F.min(f"xt{j}").alias(f"mn{j}"), F.max(f"xt{j}").alias(f"mx{j}")]
-        mm = ex.groupBy("level").agg(*aggs).collect()
-        xt_edges = {}
-        for r in mm:
-            for j in range(p):
-                mn = r[f"mn{j}"] if r[f"mn{j}"] is not None else 0.0
-                mx = r[f"mx{j}"] if r[f"mx{j}"] is not None else 0.0
-                xt_edges[(j, int(r["level"]))] = (float(mn), max((mx - mn) / self.n_bins, 1e-12))
-        lv_rows = [(lvl, *[v for j in range(p) for v in xt_edges[(j, lvl)]]) for lvl in range(self.n_t)]
-        lv_schema = "level int, " + ", ".join(f"mn{j} double, bw{j} double" for j in range(p))
-        ex = ex.join(F.broadcast(ex.sparkSession.createDataFrame(lv_rows, lv_schema)), on="level")
-        bins = []
-        for j in range(p):
-            b = F.least(F.greatest(F.ceil((F.col(f"xt{j}") - F.col(f"mn{j}")) / F.col(f"bw{j}")), F.lit(1)),
-                        F.lit(self.n_bins)).cast("int")
-            bins.append(F.when(F.col(f"xt{j}").isNull(), F.lit(0)).otherwise(b))
-        bins += [bin_expr(F.col(f"cov{i}"), cov_edges[f"cov{i}"]) for i in range(len(covs))]
-        outs = F.array(*[F.struct(F.lit(j).alias("k"), F.col(f"y{j}").alias("y")) for j in range(p)])
-        rows = ex.select("row_id", "lab", "dup", "level", F.array(*bins).alias("bins"), F.explode(outs).alias("o"))
-        rows = rows.where(F.col("o.y").isNotNull())  # B3: no target, no training row for that output
-        model = ((F.col("lab") * self.n_t + F.col("level")) * p + F.col("o.k")).cast("int")
-        rows = rows.select(model.alias("model"), (F.col("row_id") * self.K + F.col("dup")).alias("rid"), "bins",
-                           F.lit(p + len(covs)).alias("nin"), F.col("o.y").alias("y"))
-        forest = fit_boosted(rows, self.reg, n_inputs=p + len(covs), n_bins=self.n_bins)
+        cov_bins = F.array(*[bin_expr(F.col(f"cov{i}"), cov_edges[f"cov{i}"]) for i in range(len(covs))])
+        state = real.select("row_id", "lab", *[f"x{j}" for j in range(p)], cov_bins.cast("array<int>").alias("cb"),
+                            *[noise_array("x0", self.seed, self.K, j).alias(f"z{j}") for j in range(p)])
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        examples = JointExamples(p, len(covs), self.K, self.n_bins, level_times(self.n_t, self.t_0))
+        xt_edges = examples.edges = _path_edges(state, examples, self.n_bins)
+        # An example without target does not train that output
+        forest = fit_expanded(state, examples, self.reg.with_params(self.learner_params), self.n_bins)
+        state.unpersist()
         label_shares = _shares(real, "lab")
         real.unpersist()
         return FittedJoint(self, spec, names, cats, dicts, model_cols, bounds, label, label_values, covs,
-                           cov_edges, xt_edges, forest, label_shares)
+                           cov_edges, xt_edges, forest, label_shares, given, dict(df.dtypes))
 
 
 @dataclass
@@ -520,6 +596,8 @@ class FittedJoint:
     xt_edges: dict
     forest: BoostedForest
     label_shares: list
+    clip: dict = field(default_factory=dict)
+    types: dict = field(default_factory=dict)
 
     def _payload(self):
         nb, p = self.params.n_bins, len(self.model_cols)
@@ -542,7 +620,7 @@ class FittedJoint:
         out = raw.select("row_id", "lab", *[encode.unscale_expr(F.col(f"x{j}"), *self.bounds[m]).alias(m)
                                             for j, m in enumerate(self.model_cols)])
         post = Postprocessor(self.spec, {m: self.bounds[m] for m in self.model_cols if m in self.names},
-                             self.dictionaries)
+                             self.dictionaries, self.clip, self.types)
         cols = []
         for c in self.spec.generated:
             if c.kind == "categorical":
@@ -550,11 +628,7 @@ class FittedJoint:
                 cols.append(encode.onehot_decode_expr([encode.dummy_name(c.name, v) for v in vals[1:]], vals)
                             .alias(c.name))
             else:
-                mn, mx = post.bounds[c.name]
-                v = F.col(c.name)
-                if c.kind == "integer":
-                    v = encode.round_half_even(v)
-                cols.append(encode.clip_expr(v, mn, mx).alias(c.name))
+                cols.append(post.finish(c, F.col(c.name)).alias(c.name))
         res = out.select("row_id", "lab", *cols)
         if self.label:
             vals = F.array(*[F.lit(v) for v in self.label_values])

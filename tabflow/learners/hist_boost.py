@@ -1,45 +1,49 @@
 """Distributed histogram gradient boosting for many small models at once.
 
-Every training row carries a ``model`` id, an ``array<int>`` of pre-binned
-inputs (bin 0 = missing), a target and a current margin ``F``.  One boosting
-round grows one depth-wise tree per (model, class):
-
-* per depth: ``posexplode(bins) -> groupBy(model, cls, node, j, bin)
-  .agg(sum(g), sum(h))`` -- partial aggregation before the shuffle, so the
-  shuffle carries at most models x nodes x inputs x bins rows whatever the
-  row count;
-* split finding on that histogram table: running sums over the bins of one
-  (model, cls, node, input) -- a group of at most ``n_bins + 1`` rows -- then
-  the best gain per node (gain/leaf formulas of Chen & Guestrin, KDD 2016,
-  with a learned default direction for missing values);
-* the chosen splits (one row per node: bounded by models x 2^depth) are
-  collected and broadcast back to route rows to children;
-* leaves ``-eta G / (H + lambda)`` update the margins.
-
-The number of Spark jobs is rounds x (depth + 2) regardless of how many models
-train.  State is persisted per round and checkpointed to the shared
-checkpoint folder every few rounds, so a lost executor recomputes at most a
-few rounds.
-
-Objectives: ``squared`` (regression; base score = mean target per model) and
-``softmax`` (classes exploded into rows; probabilities normalised by a window
-over the classes of one training row, a group of ``n_class`` rows;
-hessian ``2 p (1 - p)`` as in XGBoost's multi-class objective).
+The training set of a flow is an *expansion* of the real rows (copies x noise
+levels x columns).  It is never stored: the state is one compact row per real
+row -- its columns and one binary column with the margins of its examples --
+and an *expander* (a small picklable object) makes the examples of an Arrow
+batch again in every pass.  Per round and depth:
+
+* ``mapInPandas``: expand a batch, route its examples through the current
+  round's splits, add gradients and hessians into one array per (model, class,
+  input); a task sends one packed row per such array;
+* the arrays are added up, streaming, by (model, class) -- one shuffle of
+  tasks x models x inputs rows whatever the number of real rows -- and the best
+  split of every node is searched right there (gain and leaf formulas of Chen &
+  Guistrin, KDD 2016, with a learned default direction for missing values);
+* the splits (models x nodes rows: the size of the model itself) go to the
+  driver and are broadcast to the next pass.
+
+After the last depth the margins are updated with the leaf values ``-eta G / (H
++ lambda)`` in the first pass of the next round.  The state is cached per round
+and goes to the checkpoint folder every few rounds, so a lost executor repeats a
+few rounds at most.  There is one split search and one way of routing, at every
+size.
+
+Objectives: ``squared`` (base score = mean target per model), ``softmax``
+(margins of all classes of an example side by side; hessian ``2 p (1 - p)``);
+two classes use the binary logistic loss with one tree per round and hessian
+``p (1 - p)``, the tree belonging to class 1.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, fields, replace
+from typing import ClassVar
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_SPLIT_ROWS = 5_000_000  # models x classes x nodes collected per depth
-LOCAL_HIST_ROWS = 2_000_000  # histogram rows searched on the driver; larger ones in Spark
+FLUSH_BYTES = 64 << 20   # histogram arrays a task keeps before it sends them
+NO_CLASS = np.float32(-1e30)
 
 
 @dataclass
@@ -48,11 +52,26 @@ class BoostParams:
     depth: int = 7
     eta: float = 0.3
     lam: float = 0.0
+    alpha: float = 0.0
     min_child_weight: float = 1.0
     gamma: float = 0.0
+    subsample: float = 1.0
     objective: str = "squared"  # or "softmax"
     checkpoint_every: int = 4
     base_score: float | None = None  # softmax: margin start (0 = uniform)
+    seed: int = 0
+
+    #: fixed values: usual learner parameter names and what they are called here
+    ALIASES: ClassVar[dict] = {"n_estimators": "n_rounds", "max_depth": "depth", "learning_rate": "eta", "reg_lambda": "lam",
+               "reg_alpha": "alpha", "min_split_loss": "gamma", "random_state": "seed"}
+
+    def with_params(self, params: dict) -> "BoostParams":
+        """A copy with parameters given by their usual or their own names; an unknown name raises."""
+        known = {f.name for f in fields(self)}
+        named = {self.ALIASES.get(k, k): v for k, v in params.items()}
+        if set(named) - known:
+            raise TypeError(f"unknown learner parameters: {sorted(set(named) - known)}")
+        return replace(self, **named)
 
 
 @dataclass
@@ -66,7 +85,6 @@ class BoostedForest:
     sbin: dict = field(default_factory=dict)     # (model, cls) -> int[R, 2^D-1]
     dleft: dict = field(default_factory=dict)    # (model, cls) -> bool[R, 2^D-1]
     leaf: dict = field(default_factory=dict)     # (model, cls) -> float[R, 2^D]
-    n_class: dict = field(default_factory=dict)  # model -> classes
 
     def _ensure(self, key):
         if key not in self.feat:
@@ -77,373 +95,388 @@ class BoostedForest:
             self.leaf[key] = np.zeros((self.n_rounds, n_leaf), dtype=np.float64)
 
 
-def _grad_hess(state: DataFrame, objective: str) -> DataFrame:
+@dataclass
+class Block:
+    """Examples of one batch that share their inputs' meaning: ``model`` per row, and (rows, copies) arrays.
+
+    ``bins[j]`` has shape (rows, copies) or (rows, 1): 0 = missing, -1 = the example has no input j.
+    ``y`` may hold NaN: such an example does not train."""
+    model: np.ndarray
+    bins: list
+    y: np.ndarray
+    w: float | np.ndarray = 1.0
+    n_class: int = 1
+    classes_of: np.ndarray | None = None  # per row, where models of a block differ in their classes
+
+
+class PlainRows:
+    """Expander of rows that are examples already: model, bins, nin, y, w."""
+
+    def __init__(self, n_inputs: int, n_class: dict | None = None):
+        self.n_inputs, self.n_class = n_inputs, n_class
+
+    def blocks(self, pdf: pd.DataFrame) -> Iterator[Block]:
+        n = len(pdf)
+        b = np.full((n, self.n_inputs), -1, np.int32)
+        for i, (row, nin) in enumerate(zip(pdf["bins"], pdf["nin"])):
+            b[i, :nin] = row[:nin]
+        model = pdf["model"].to_numpy(np.int64)
+        c = max(self.n_class.values()) if self.n_class else 1
+        of = np.array([self.n_class.get(int(m), 1) for m in model]) if self.n_class else None
+        yield Block(model, [b[:, j:j + 1] for j in range(self.n_inputs)], pdf["y"].to_numpy(float)[:, None],
+                    pdf["w"].to_numpy(float)[:, None], c, of)
+
+
+# ---- one batch -------------------------------------------------------------------
+
+def _margin_classes(blk: Block, objective: str) -> int:
+    """Margins per example: one for regression and for two classes."""
+    return 1 if objective == "squared" or blk.n_class <= 2 else blk.n_class
+
+
+def _class_ids(blk: Block, objective: str) -> list[int]:
     if objective == "squared":
-        return state.withColumn("g", (F.col("F") - F.col("y")) * F.col("w")).withColumn("h", F.col("w"))
-    # softmax over the classes of one training row (n_class rows per group)
-    wrow = Window.partitionBy("model", "rid")
-    mx = F.max("F").over(wrow)
-    e = F.exp(F.col("F") - mx)
-    p = e / F.sum(e).over(wrow)
-    s = state.withColumn("p", p)
-    onehot = (F.col("y").cast("int") == F.col("cls")).cast("double")
-    return (s.withColumn("g", (F.col("p") - onehot) * F.col("w"))
-            .withColumn("h", F.greatest(F.lit(2.0) * F.col("p") * (F.lit(1.0) - F.col("p")), F.lit(1e-16))
-                        * F.col("w"))
-            .drop("p"))
-
-
-def _best_splits(hist: DataFrame, p: BoostParams) -> DataFrame:
-    """Spark path (large histograms): best split per node with child stats."""
-    keys = ["model", "cls", "node", "j"]
-    tot = hist.groupBy(*keys).agg(
-        F.sum("G").alias("GT"), F.sum("H").alias("HT"),
-        F.sum(F.when(F.col("bin") == 0, F.col("G")).otherwise(0.0)).alias("GM"),
-        F.sum(F.when(F.col("bin") == 0, F.col("H")).otherwise(0.0)).alias("HM"))
-    w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    c = hist.where(F.col("bin") > 0).select(*keys, "bin", F.sum("G").over(w).alias("GL0"),
-                                            F.sum("H").over(w).alias("HL0"))
-    c = c.join(tot, on=keys)
-    lam = F.lit(p.lam)
-
-    def score(gsum, hsum):
-        return F.when(hsum + lam > 0, gsum * gsum / (hsum + lam)).otherwise(F.lit(0.0))
-
-    def gain(GL, HL):
-        GR, HR = F.col("GT") - GL, F.col("HT") - HL
-        g = score(GL, HL) + score(GR, HR) - score(F.col("GT"), F.col("HT"))
-        ok = (HL >= F.lit(p.min_child_weight)) & (HR >= F.lit(p.min_child_weight))
-        return F.when(ok, g)
-    cand = c.select(*keys, "bin", "GT", "HT", F.explode(F.array(
-        F.struct(gain(F.col("GL0") + F.col("GM"), F.col("HL0") + F.col("HM")).alias("gain"), F.lit(True).alias("dl"),
-                 (F.col("GL0") + F.col("GM")).alias("GL"), (F.col("HL0") + F.col("HM")).alias("HL")),
-        F.struct(gain(F.col("GL0"), F.col("HL0")).alias("gain"), F.lit(False).alias("dl"),
-                 F.col("GL0").alias("GL"), F.col("HL0").alias("HL")))).alias("c"))
-    cand = cand.select(*keys, "bin", "GT", "HT", "c.*").where(
-        F.col("gain").isNotNull() & (F.col("gain") > F.lit(max(p.gamma, 1e-12))))
-    best = cand.groupBy("model", "cls", "node").agg(F.max(F.struct(
-        F.col("gain"), (-F.col("j")).alias("nj"), (-F.col("bin")).alias("nb"), F.col("dl"),
-        F.col("GL"), F.col("HL"), F.col("GT"), F.col("HT"))).alias("b"))
-    return best.select("model", "cls", "node", (-F.col("b.nj")).alias("sj"), (-F.col("b.nb")).alias("sb"),
-                       F.col("b.dl").alias("sdl"), F.col("b.GL").alias("GL"), F.col("b.HL").alias("HL"),
-                       F.col("b.GT").alias("GT"), F.col("b.HT").alias("HT"))
-
-
-def _best_splits_local(h, p: BoostParams):
-    """Same search on a collected histogram (bounded size) with pandas/NumPy."""
-    import pandas as pd
-    keys = ["model", "cls", "node", "j"]
-    if h.empty:
-        return pd.DataFrame(columns=["model", "cls", "node", "sj", "sb", "sdl", "GL", "HL", "GT", "HT"])
-    h = h.sort_values(keys + ["bin"], kind="mergesort")
-    g = h.groupby(keys, sort=False)
-    tot = g[["G", "H"]].sum().rename(columns={"G": "GT", "H": "HT"})
-    mis = h[h["bin"] == 0].set_index(keys)[["G", "H"]].rename(columns={"G": "GM", "H": "HM"})
-    c = h[h["bin"] > 0].copy()
-    c["GL0"] = c.groupby(keys, sort=False)["G"].cumsum()
-    c["HL0"] = c.groupby(keys, sort=False)["H"].cumsum()
-    c = c.join(tot, on=keys).join(mis, on=keys)
-    c[["GM", "HM"]] = c[["GM", "HM"]].fillna(0.0)
-    lam, mcw = p.lam, p.min_child_weight
-
-    def score(gs, hs):
-        den = hs + lam
-        return np.where(den > 0, gs * gs / np.where(den > 0, den, 1.0), 0.0)
-    parts = []
-    for dl, gl, hl in ((True, c["GL0"] + c["GM"], c["HL0"] + c["HM"]), (False, c["GL0"], c["HL0"])):
-        gl, hl = gl.to_numpy(), hl.to_numpy()
-        gt, ht = c["GT"].to_numpy(), c["HT"].to_numpy()
-        gain = score(gl, hl) + score(gt - gl, ht - hl) - score(gt, ht)
-        ok = (hl >= mcw) & ((ht - hl) >= mcw) & (gain > max(p.gamma, 1e-12))
-        parts.append(pd.DataFrame({"model": c["model"].to_numpy()[ok], "cls": c["cls"].to_numpy()[ok],
-                                   "node": c["node"].to_numpy()[ok], "sj": c["j"].to_numpy()[ok],
-                                   "sb": c["bin"].to_numpy()[ok], "sdl": dl, "gain": gain[ok],
-                                   "GL": gl[ok], "HL": hl[ok], "GT": gt[ok], "HT": ht[ok]}))
-    cand = pd.concat(parts, ignore_index=True)
-    if cand.empty:
-        return cand
-    cand = cand.sort_values(["model", "cls", "node", "gain", "sj", "sb", "sdl"],
-                            ascending=[True, True, True, False, True, True, False], kind="mergesort")
-    return cand.drop_duplicates(["model", "cls", "node"], keep="first")
-
-
-def _decode_local(pk, width, max_j, nbk, cmax):
-    import pandas as pd
-    hk = pk["hk"].to_numpy(dtype=np.int64)
-    slot = hk // (width * max_j * nbk)
-    return pd.DataFrame({"model": (slot // cmax).astype(np.int64), "cls": (slot % cmax).astype(np.int64),
-                         "node": (hk // (max_j * nbk)) % width + (width - 1),
-                         "j": (hk // nbk) % max_j, "bin": hk % nbk,
-                         "G": pk["G"].to_numpy(dtype=np.float64), "H": pk["H"].to_numpy(dtype=np.float64)})
-
-
-def _with_right_children(parent, left):
-    """Full histogram of a depth from the parent depth's and the left children's."""
-    import pandas as pd
-    keys = ["model", "cls", "j", "bin"]
-    par = parent.assign(lnode=2 * parent["node"] + 1)
-    lf = left.rename(columns={"node": "lnode", "G": "GL", "H": "HL"})
-    m = par.merge(lf, on=keys + ["lnode"], how="left")
-    m[["GL", "HL"]] = m[["GL", "HL"]].fillna(0.0)
-    right = pd.DataFrame({"model": m["model"], "cls": m["cls"], "node": 2 * m["node"] + 2, "j": m["j"],
-                          "bin": m["bin"], "G": m["G"] - m["GL"], "H": m["H"] - m["HL"]})
-    right = right[right["H"] > 1e-9]  # bins whose rows all went left
-    return pd.concat([left, right], ignore_index=True)
-
-
-def _node_totals_local(h):
-    t = h[h["j"] == 0].groupby(["model", "cls", "node"])[["G", "H"]].sum().reset_index()
-    return t
-
-
-def _route(df: DataFrame, splits: DataFrame) -> DataFrame:
-    j = df.join(F.broadcast(splits), on=["model", "cls", "node"], how="left")
-    v = F.element_at(F.col("bins"), (F.col("sj") + 1).cast("int"))
-    right = (F.when(F.col("sj").isNull(), F.lit(False))
-             .when(v == 0, ~F.col("sdl"))
-             .otherwise(v > F.col("sb")))
-    return j.withColumn("node", F.col("node") * 2 + 1 + right.cast("int")).drop("sj", "sb", "sdl")
-
-
-class _session_conf:
-    """Temporarily set session confs (restored on exit)."""
-
-    def __init__(self, spark, conf: dict):
-        self.spark, self.conf, self.old = spark, conf, {}
-
-    def __enter__(self):
-        for k, v in self.conf.items():
-            self.old[k] = self.spark.conf.get(k, None)
-            self.spark.conf.set(k, v)
-
-    def __exit__(self, *exc):
-        for k, v in self.old.items():
-            if v is None:
-                self.spark.conf.unset(k)
-            else:
-                self.spark.conf.set(k, v)
+        return [0]
+    return [1] if blk.n_class <= 2 else list(range(blk.n_class))
 
 
-def fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
-                n_inputs: int | None = None, n_bins: int | None = None) -> BoostedForest:
-    """Train all models in ``rows`` (see module doc).
-
-    The histogram shuffles are bounded by models x nodes x inputs x bins, so
-    adaptive re-planning has nothing to gain there; the loop runs with AQE off
-    and with a number of shuffle partitions sized to that bound."""
-    spark = rows.sparkSession
-    default_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = max(1, min(default_parts, spark.sparkContext.defaultParallelism))
-    with _session_conf(spark, {"spark.sql.adaptive.enabled": "false",
-                               "spark.sql.shuffle.partitions": str(parts)}):
-        return _fit_boosted(rows, p, n_class, n_inputs, n_bins)
-
-
-LITERAL_ROUTE_MAX = 65_536  # (model, class, node) slots routed by literal arrays; beyond: broadcast join
-
-
-def lit_array(values, elem: str) -> "F.Column":
-    """One array literal from a JSON string (folded by the optimizer); building
-    it element by element costs one driver round trip per value."""
-    import json
-    return F.from_json(F.lit(json.dumps(values)), f"array<{elem}>")
-
-
-def _route_literal(df: DataFrame, d: int, slots: int, best_rows) -> DataFrame:
-    """Route by element_at over literal split arrays indexed by the dense slot
-    ``ki * 2^d + (node - (2^d - 1))`` -- a projection, no join."""
-    width = 2 ** d
-    sj = np.full(slots * width, -1, dtype=np.int64)
-    sb = np.zeros(slots * width, dtype=np.int64)
-    dl = np.ones(slots * width, dtype=bool)
-    for b in best_rows:
-        i = int(b["ki"]) * width + int(b["node"]) - (width - 1)
-        sj[i], sb[i], dl[i] = int(b["sj"]), int(b["sb"]), bool(b["sdl"])
-    idx = (F.col("ki") * width + F.col("node") - (width - 1) + 1).cast("int")
-    j = F.element_at(lit_array(sj.tolist(), "int"), idx)
-    v = F.element_at(F.col("bins"), (j + 1).cast("int"))
-    right = (F.when(j < 0, F.lit(False))
-             .when(v == 0, F.element_at(lit_array(dl.astype(int).tolist(), "int"), idx) == 0)
-             .otherwise(v > F.element_at(lit_array(sb.tolist(), "int"), idx)))
-    return df.withColumn("node", F.col("node") * 2 + 1 + right.cast("int"))
-
-
-def fit_boosted_many(jobs, n_inputs: int | None = None, n_bins: int | None = None) -> list:
-    """Several independent boosting runs ``[(rows, params, n_class), ...]``
-    under one setting of the session confs.  (Submitting them from parallel
-    driver threads was measured: no gain, the passes are CPU-bound.)"""
-    if not jobs:
-        return []
-    spark = jobs[0][0].sparkSession
-    default_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = max(1, min(default_parts, spark.sparkContext.defaultParallelism))
-    with _session_conf(spark, {"spark.sql.adaptive.enabled": "false",
-                               "spark.sql.shuffle.partitions": str(parts)}):
-        return [_fit_boosted(r, p, nc, n_inputs, n_bins) for r, p, nc in jobs]
-
-
-def _fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
-                 n_inputs: int | None = None, n_bins: int | None = None) -> BoostedForest:
-    spark = rows.sparkSession
-    if "w" not in rows.columns:
-        rows = rows.withColumn("w", F.lit(1.0))
-    rows = rows.select(F.col("model").cast("int").alias("model"), "rid", "bins", "nin",
-                       F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+def _gradients(blk: Block, m: np.ndarray, objective: str) -> tuple[np.ndarray, np.ndarray]:
+    """g and h per (row, copy, class), zero where the example does not train."""
+    w = np.where(np.isnan(blk.y), 0.0, blk.w)[..., None]
+    y = np.nan_to_num(blk.y)[..., None]
+    if objective == "squared":
+        return (m - y) * w, np.broadcast_to(w, m.shape)
+    if m.shape[-1] == 1:
+        p = 1 / (1 + np.exp(-m))
+        return (p - y) * w, np.maximum(p * (1 - p), 1e-16) * w
+    m = m.astype(float)
+    if blk.classes_of is not None:
+        m = np.where(np.arange(m.shape[-1]) < blk.classes_of[:, None, None], m, NO_CLASS)
+    e = np.exp(m - m.max(-1, keepdims=True))
+    p = e / e.sum(-1, keepdims=True)
+    return (p - (y == np.arange(m.shape[-1]))) * w, np.maximum(2 * p * (1 - p), 1e-16) * w
+
+
+def _route(blk: Block, loc: np.ndarray, trees: tuple, depth: int, shape) -> np.ndarray:
+    """Node (heap number) of each example after ``depth`` splits; trees: per local model feat, sbin, dleft."""
+    feat, sbin, dleft = trees
+    node = np.zeros(shape, np.int64)
+    at = loc[:, None]
+    for _ in range(depth):
+        f = feat[at, node]
+        right = np.zeros(shape, bool)
+        for j in np.unique(f):
+            if j < 0:
+                continue
+            b = np.broadcast_to(blk.bins[j], shape)
+            goes = np.where(b == 0, ~dleft[at, node], b > sbin[at, node])
+            right |= (f == j) & goes
+        node = node * 2 + 1 + right
+    return node
+
+
+def _local_trees(models: np.ndarray, cls: int, trees: dict, n_int: int):
+    feat = np.full((len(models), max(n_int, 1)), -1, np.int32)
+    sbin = np.zeros((len(models), max(n_int, 1)), np.int32)
+    dleft = np.ones((len(models), max(n_int, 1)), bool)
+    for i, m in enumerate(models.tolist()):
+        t = trees.get((m, cls))
+        if t is not None:
+            feat[i], sbin[i], dleft[i] = (a[:max(n_int, 1)] for a in t[:3])
+    return feat, sbin, dleft
+
+
+def _sampled(blk_no: int, rows: np.ndarray, copies: int, share: float, seed: int, rnd: int) -> np.ndarray:
+    """Examples that take part in a round: a hash of (row, copy, block, round) below the share."""
+    x = (rows.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+         + np.arange(copies, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
+         + np.uint64((seed * 1_000_003 + rnd * 7919 + blk_no) & 0xFFFFFFFF))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0 ** 53 < share
+
+
+class _Pass:
+    """What a task does with a batch: examples again, margins, gradients, histograms."""
+
+    def __init__(self, expander, p: BoostParams, n_bins: int, base: dict):
+        self.expander, self.p, self.n_bins, self.base = expander, p, n_bins, base
+
+    def parts(self, pdf: pd.DataFrame):
+        """(block number, block, local model, models, margins) of a batch, margins as last stored."""
+        stored = pdf["F"]
+        fresh = len(pdf) == 0 or stored.iloc[0] is None
+        flat = None if fresh else np.frombuffer(b"".join(stored), np.float32).reshape(len(pdf), -1)
+        at = 0
+        for no, blk in enumerate(self.expander.blocks(pdf)):
+            n, copies = blk.y.shape
+            k = _margin_classes(blk, self.p.objective)
+            models, loc = np.unique(blk.model, return_inverse=True)
+            if fresh:
+                start = np.array([[self.base.get((m, c), 0.0) for c in _class_ids(blk, self.p.objective)]
+                                  for m in models.tolist()], np.float32).reshape(len(models), k)
+                margin = np.broadcast_to(start[loc][:, None, :], (n, copies, k))
+            else:
+                margin = flat[:, at:at + copies * k].reshape(n, copies, k)
+            at += copies * k
+            yield no, blk, loc, models, margin
+
+    def histograms(self, batches, trees: dict, depth: int, rnd: int) -> Iterator[pd.DataFrame]:
+        width, nb = 2 ** depth, self.n_bins + 1
+        held: dict = {}
+        size = 0
+        for pdf in batches:
+            for no, blk, loc, models, margin in self.parts(pdf):
+                g, h = _gradients(blk, margin, self.p.objective)
+                if self.p.subsample < 1:
+                    keep = _sampled(no, pdf["row_id"].to_numpy(), g.shape[1], self.p.subsample, self.p.seed, rnd)
+                    g, h = g * keep[..., None], h * keep[..., None]
+                shape = g.shape[:2]
+                for i, cls in enumerate(_class_ids(blk, self.p.objective)):
+                    node = _route(blk, loc, _local_trees(models, cls, trees, width - 1), depth, shape) - (width - 1)
+                    base = (loc[:, None] * width + node) * nb
+                    gi, hi = g[..., i].ravel(), h[..., i].ravel()
+                    for j, b in enumerate(blk.bins):
+                        b = np.broadcast_to(b, shape)
+                        key, ok = (base + b).ravel(), None
+                        if (b < 0).any():
+                            ok = (b >= 0).ravel()
+                        total = len(models) * width * nb
+                        both = [np.bincount(key if ok is None else key[ok], x if ok is None else x[ok], total)
+                                .reshape(len(models), width * nb) for x in (gi, hi)]
+                        for q, m in enumerate(models.tolist()):
+                            at = (m, cls, j)
+                            if at in held:
+                                held[at][0] += both[0][q]
+                                held[at][1] += both[1][q]
+                            else:
+                                held[at] = [both[0][q].copy(), both[1][q].copy()]
+                                size += 16 * width * nb
+                if size > FLUSH_BYTES:
+                    yield _packed(held)
+                    held, size = {}, 0
+        if held:
+            yield _packed(held)
+
+    def update(self, batches, trees: dict, rnd: int) -> Iterator[pd.DataFrame]:
+        """The rows again with margins advanced by the round's trees."""
+        depth, n_int = self.p.depth, 2 ** self.p.depth - 1
+        for pdf in batches:
+            out = []
+            for _, blk, loc, models, margin in self.parts(pdf):
+                new = np.array(margin, np.float32)
+                for i, cls in enumerate(_class_ids(blk, self.p.objective)):
+                    node = _route(blk, loc, _local_trees(models, cls, trees, n_int), depth, blk.y.shape) - n_int
+                    leaf = np.stack([trees[(m, cls)][3] if (m, cls) in trees else np.zeros(n_int + 1)
+                                     for m in models.tolist()])
+                    new[..., i] += leaf[loc[:, None], node]
+                out.append(new.reshape(len(pdf), -1))
+            flat = np.concatenate(out, axis=1) if out else np.zeros((len(pdf), 0), np.float32)
+            yield pdf.assign(F=[r.tobytes() for r in flat])
+
+
+def _packed(held: dict) -> pd.DataFrame:
+    keys = sorted(held)
+    return pd.DataFrame({"model": [k[0] for k in keys], "cls": [k[1] for k in keys], "j": [k[2] for k in keys],
+                         "gh": [np.concatenate(held[k]).tobytes() for k in keys]})
+
+
+# ---- split search ----------------------------------------------------------------
+
+def _weight(g, p: BoostParams):
+    """Gradient sum after the L1 penalty."""
+    return np.sign(g) * np.maximum(np.abs(g) - p.alpha, 0.0)
+
+
+def _score(g, h, p: BoostParams):
+    den = h + p.lam
+    return np.where(den > 0, _weight(g, p) ** 2 / np.where(den > 0, den, 1.0), 0.0)
+
+
+def leaf_value(g: float, h: float, p: BoostParams) -> float:
+    return float(-p.eta * _weight(np.float64(g), p) / (h + p.lam)) if h + p.lam > 0 else 0.0
+
+
+def best_splits(hist: dict, width: int, nb: int, p: BoostParams) -> list[tuple]:
+    """(node, input, bin, default left, GL, HL, GT, HT) of each node of one (model, class) with examples;
+    input -1 where no split gains.  Ties: smaller input, then smaller bin, then missing to the left."""
+    best: dict = {}
+    for j in sorted(hist):
+        g, h = (x.reshape(width, nb) for x in hist[j])
+        gt, ht = g.sum(1), h.sum(1)
+        gl0, hl0 = np.cumsum(g[:, 1:], 1), np.cumsum(h[:, 1:], 1)
+        whole = _score(gt, ht, p)[:, None]
+        tries = []
+        for gl, hl in ((gl0 + g[:, :1], hl0 + h[:, :1]), (gl0, hl0)):
+            gr, hr = gt[:, None] - gl, ht[:, None] - hl
+            gain = _score(gl, hl, p) + _score(gr, hr, p) - whole
+            ok = (hl >= p.min_child_weight) & (hr >= p.min_child_weight) & (gain > max(p.gamma, 1e-12))
+            tries.append((np.where(ok, gain, -np.inf), gl, hl))
+        right = tries[1][0] > tries[0][0]
+        gain = np.where(right, tries[1][0], tries[0][0])
+        at = gain.argmax(1)
+        for node in np.flatnonzero(ht > 0).tolist():
+            b = int(at[node])
+            now = best.get(node)
+            if now is None:
+                now = best[node] = (-np.inf, -1, 0, True, 0.0, 0.0, float(gt[node]), float(ht[node]))
+            if gain[node, b] > now[0]:
+                side = int(right[node, b])
+                best[node] = (float(gain[node, b]), j, b + 1, not side, float(tries[side][1][node, b]),
+                              float(tries[side][2][node, b]), float(gt[node]), float(ht[node]))
+    return [(node, *v[1:]) for node, v in sorted(best.items())]
+
+
+_SPLITS = "model long, cls int, node int, sj int, sb int, sdl boolean, GL double, HL double, GT double, HT double"
+
+
+def _search(width: int, nb: int, p: BoostParams):
+    """Streaming over rows sorted by (model, cls): add up the tasks' arrays, search when a pair is complete."""
+    names = [c.split()[0] for c in _SPLITS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, hist, out = None, {}, []
+
+        def close():
+            if now is not None:
+                first = 2 ** (width.bit_length() - 1) - 1
+                out.extend((now[0], now[1], node + first, *rest) for node, *rest in best_splits(hist, width, nb, p))
+        for pdf in batches:
+            for m, c, j, raw in pdf.itertuples(index=False):
+                if (m, c) != now:
+                    close()
+                    now, hist = (m, c), {}
+                gh = np.frombuffer(raw, np.float64).reshape(2, -1)
+                hist[j] = hist[j] + gh if j in hist else gh
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    return run
+
+
+# ---- the loop --------------------------------------------------------------------
+
+def fit_expanded(state: DataFrame, expander, p: BoostParams, n_bins: int) -> BoostedForest:
+    """Train all models of an expander.  ``state``: one row per real row with the columns the expander reads
+    (``row_id`` too if ``subsample`` < 1); it is cached here."""
+    spark = state.sparkSession
     forest = BoostedForest(depth=p.depth, n_rounds=p.n_rounds, objective=p.objective)
+    state = state.withColumn("F", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
     if p.objective == "squared":
-        base_rows = rows.withColumn("cls", F.lit(0))
-        cmax = 1
-    else:
-        n_class = {int(k): int(v) for k, v in (n_class or {}).items()}
-        forest.n_class = n_class
-        n_models = max(n_class) + 1 if n_class else 1
-        cmax = max(n_class.values()) if n_class else 1
-        ncls_arr = [n_class.get(m, 1) for m in range(n_models)]
-        base_rows = rows.withColumn("cls", F.explode(F.sequence(
-            F.lit(0), F.element_at(lit_array(ncls_arr, "int"), F.col("model") + 1) - 1)))
-        base_rows = base_rows.repartition("model", "rid")  # class rows of a training row stay together
-    base_rows = base_rows.withColumn("ki", (F.col("model") * cmax + F.col("cls")).cast("int")) \
-        .select("model", "rid", "cls", "ki", "bins", "nin", "y", "w").persist(StorageLevel.MEMORY_AND_DISK)
-    if p.objective == "squared":
-        # base score = weighted mean target per model, read from the cached rows
-        bases = {int(r["model"]): float(r["b"]) for r in
-                 base_rows.groupBy("model").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("b")).collect()}
-        n_models = max(bases) + 1 if bases else 1
-        base_arr = [bases.get(m, 0.0) for m in range(n_models)]
-        state = base_rows.withColumn("F", F.element_at(lit_array(base_arr, "double"), F.col("model") + 1))
-        for m, b in bases.items():
-            forest.base[(m, 0)] = b
+        forest.base = _mean_targets(state, expander)
     else:
-        b0 = 0.0 if p.base_score is None else p.base_score
-        state = base_rows.withColumn("F", F.lit(b0))
-        for m, c in n_class.items():
-            for k in range(c):
-                forest.base[(m, k)] = b0
-    slots = n_models * cmax
-    cols = ["model", "rid", "cls", "ki", "bins", "nin", "y", "w", "F"]
-    state = state.select(*cols)
-    n_int = 2 ** p.depth - 1
-    max_j = n_inputs or (rows.agg(F.max("nin")).first()[0] or 1)
-    nb = n_bins or (rows.select(F.max(F.array_max("bins"))).first()[0] or 1)
-    release = [base_rows]
+        forest.base = _Default(p.base_score or 0.0)
+    work = _Pass(expander, p, n_bins, forest.base)
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nb = n_bins + 1
     for r in range(p.n_rounds):
-        gs = _grad_hess(state, p.objective).withColumn("node", F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
-        cur = gs
-        leaf_vals = {}
-        prev_hp = None
+        trees: dict = {}
         for d in range(p.depth):
-            # one packed long key per (slot, node, input, bin): a single-column hash aggregation
-            width, nbk = 2 ** d, nb + 1
-            bound = slots * width * max_j * nbk
-            local = bound <= LOCAL_HIST_ROWS
-            # histogram subtraction: below the root only left children are
-            # aggregated; a right child is its parent minus its left sibling
-            subtract = local and d > 0 and prev_hp is not None
-            ex = cur.select("ki", "node", "g", "h", "nin", F.posexplode("bins").alias("j", "bin"))
-            keep = F.col("j") < F.col("nin")
-            if subtract:
-                # the predicate also reads the exploded column, so filter pushdown
-                # cannot move it below the routing projection (it would copy the
-                # whole routing expression into the filter)
-                keep = keep & ((F.col("node") % 2 == 1) | (F.col("j") < 0))
-            ex = ex.where(keep)
-            key = (((F.col("ki").cast("long") * width + (F.col("node") - (width - 1))) * max_j + F.col("j"))
-                   * nbk + F.col("bin"))
-            packed = ex.select(key.alias("hk"), "g", "h").groupBy("hk").agg(F.sum("g").alias("G"),
-                                                                          F.sum("h").alias("H"))
-            hk = F.col("hk")
-            slot = F.floor(hk / F.lit(width * max_j * nbk))
-            hist = packed.select(
-                (slot / cmax).cast("int").alias("model"), (slot % cmax).cast("int").alias("cls"),
-                (F.floor(hk / F.lit(max_j * nbk)) % width + (width - 1)).cast("int").alias("node"),
-                (F.floor(hk / F.lit(nbk)) % max_j).cast("int").alias("j"), (hk % nbk).cast("int").alias("bin"),
-                "G", "H")
-            # histogram size depends on models, nodes, inputs and bins only -- checked before collecting
-            if local:
-                hp = _decode_local(packed.toPandas(), width, max_j, nbk, cmax)
-                if subtract:
-                    hp = _with_right_children(prev_hp, hp)
-                prev_hp = hp
-                if d == 0:
-                    for x in release:
-                        x.unpersist()
-                    release = []
-                best = _best_splits_local(hp, p)
-                tots = _node_totals_local(hp) if d == p.depth - 1 else None
-                best_rows = best.to_dict("records")
-            else:
-                best_rows = [b.asDict() for b in _best_splits(hist, p).limit(MAX_SPLIT_ROWS + 1).collect()]
-                if d == 0:
-                    for x in release:
-                        x.unpersist()
-                    release = []
-                if len(best_rows) > MAX_SPLIT_ROWS:
-                    raise RuntimeError("too many tree nodes to route at once; lower depth or split the models")
-                tots = None
-                if d == p.depth - 1:
-                    import pandas as pd
-                    tots = pd.DataFrame([t.asDict() for t in hist.where(F.col("j") == 0)
-                                         .groupBy("model", "cls", "node").agg(F.sum("G").alias("G"),
-                                                                             F.sum("H").alias("H")).collect()],
-                                        columns=["model", "cls", "node", "G", "H"])
-            for b in best_rows:
-                b["ki"] = int(b["model"]) * cmax + int(b["cls"])
-                key = (int(b["model"]), int(b["cls"]))
-                forest._ensure(key)
-                forest.feat[key][r, int(b["node"])] = int(b["sj"])
-                forest.sbin[key][r, int(b["node"])] = int(b["sb"])
-                forest.dleft[key][r, int(b["node"])] = bool(b["sdl"])
-            if slots * 2 ** d <= LITERAL_ROUTE_MAX:
-                cur = _route_literal(cur, d, slots, best_rows)
-            else:
-                sp = spark.createDataFrame([(int(b["model"]), int(b["cls"]), int(b["node"]), int(b["sj"]),
-                                             int(b["sb"]), bool(b["sdl"])) for b in best_rows],
-                                           "model int, cls int, node int, sj int, sb int, sdl boolean")
-                cur = _route(cur, sp)
-            if d == p.depth - 1:
-                # leaves straight from the last histogram: children of split nodes
-                # from the split's sums, everything else falls to the left child
-                def lv(G, H):
-                    return -p.eta * G / (H + p.lam) if H + p.lam > 0 else 0.0
-                split_nodes = set()
-                for b in best_rows:
-                    k = (int(b["model"]), int(b["cls"]), int(b["node"]))
-                    split_nodes.add(k)
-                    GL, HL, GT, HT = float(b["GL"]), float(b["HL"]), float(b["GT"]), float(b["HT"])
-                    leaf_vals[(k[0], k[1], 2 * k[2] + 1)] = lv(GL, HL)
-                    leaf_vals[(k[0], k[1], 2 * k[2] + 2)] = lv(GT - GL, HT - HL)
-                for t in tots.itertuples(index=False):
-                    k = (int(t.model), int(t.cls), int(t.node))
-                    if k not in split_nodes:
-                        leaf_vals[(k[0], k[1], 2 * k[2] + 1)] = lv(float(t.G), float(t.H))
-        for (m, c_, node), v in leaf_vals.items():
-            key = (m, c_)
+            sent = spark.sparkContext.broadcast((work, trees))
+
+            def hist(batches, sent=sent, d=d, r=r):
+                w, t = sent.value
+                return w.histograms(batches, t, d, r)
+            rows = state.mapInPandas(hist, "model long, cls int, j int, gh binary")
+            found = (rows.repartition(n_parts, "model", "cls").sortWithinPartitions("model", "cls")
+                     .mapInPandas(_search(2 ** d, nb, p), _SPLITS)).collect()   # models x nodes rows
+            sent.unpersist()
+            trees = _grow(trees, found, d, p)
+            if not any(s["sj"] >= 0 for s in found):
+                break       # nothing split at this depth: the leaves are set already
+        for key, (feat, sbin, dleft, leaf) in trees.items():
             forest._ensure(key)
-            forest.leaf[key][r, node - n_int] = v
-        n_leaf = 2 ** p.depth
-        if slots * n_leaf <= LITERAL_ROUTE_MAX:
-            larr = np.zeros(slots * n_leaf)
-            for (m, c_, node), v in leaf_vals.items():
-                larr[(m * cmax + c_) * n_leaf + node - n_int] = v
-            upd = F.element_at(lit_array(larr.tolist(), "double"),
-                               (F.col("ki") * n_leaf + F.col("node") - n_int + 1).cast("int"))
-            new = cur.withColumn("F", F.col("F") + upd).select(*cols)
-        else:
-            ldf = spark.createDataFrame([(m, c_, node, float(v)) for (m, c_, node), v in leaf_vals.items()],
-                                        "model int, cls int, node int, lv double")
-            new = (cur.join(F.broadcast(ldf), on=["model", "cls", "node"], how="left")
-                   .withColumn("F", F.col("F") + F.coalesce(F.col("lv"), F.lit(0.0))).select(*cols))
-        if (r + 1) % p.checkpoint_every == 0 and r + 1 < p.n_rounds:
-            new = materialize(new)  # reliable checkpoint: bounded recomputation after a lost executor
-        # one cached frame per round (gradients of the next round); this
-        # round's cache is released only after the next one is filled
-        release.append(gs)
-        state = new
-    for x in release:
-        x.unpersist()
+            forest.feat[key][r], forest.sbin[key][r], forest.dleft[key][r], forest.leaf[key][r] = \
+                feat, sbin, dleft, leaf
+        if r + 1 < p.n_rounds:
+            sent = spark.sparkContext.broadcast((work, trees))
+
+            def update(batches, sent=sent, r=r):
+                w, t = sent.value
+                return w.update(batches, t, r)
+            new = state.mapInPandas(update, state.schema)
+            if (r + 1) % p.checkpoint_every == 0:
+                new = materialize(new)
+            else:
+                new = new.persist(StorageLevel.MEMORY_AND_DISK)
+                new.count()
+            state.unpersist()
+            state = new
+    state.unpersist()
     return forest
 
 
+class _Default(dict):
+    """Base scores of classifiers: one value for every class."""
+
+    def __init__(self, value: float):
+        super().__init__()
+        self.value = value
+
+    def get(self, key, default=None):
+        return self.value
+
+    def __reduce__(self):
+        return _Default, (self.value,)
+
+
+def _mean_targets(state: DataFrame, expander) -> dict:
+    """Weighted mean target of each model: one pass, sums per (task, model)."""
+    def sums(batches):
+        for pdf in batches:
+            for blk in expander.blocks(pdf.assign(F=None)):
+                models, loc = np.unique(blk.model, return_inverse=True)
+                w = np.where(np.isnan(blk.y), 0.0, blk.w)
+                at = np.broadcast_to(loc[:, None], blk.y.shape).ravel()
+                yield pd.DataFrame({"model": models,
+                                    "s": np.bincount(at, (np.nan_to_num(blk.y) * w).ravel(), len(models)),
+                                    "w": np.bincount(at, w.ravel(), len(models))})
+    rows = state.mapInPandas(sums, "model long, s double, w double").groupBy("model").agg(
+        F.sum("s").alias("s"), F.sum("w").alias("w")).filter("w > 0").collect()
+    return {(int(r["model"]), 0): float(r["s"] / r["w"]) for r in rows}
+
+
+def _grow(trees: dict, found: list, depth: int, p: BoostParams) -> dict:
+    """Trees of the round after one more depth; the last depth sets the leaves."""
+    n_int = 2 ** p.depth - 1
+    trees = {k: tuple(a.copy() for a in t) for k, t in trees.items()}
+    for s in found:
+        key = (int(s["model"]), int(s["cls"]))
+        if key not in trees:
+            trees[key] = (np.full(n_int, -1, np.int32), np.zeros(n_int, np.int32), np.ones(n_int, bool),
+                          np.zeros(n_int + 1))
+        feat, sbin, dleft, leaf = trees[key]
+        node, split = int(s["node"]), s["sj"] >= 0
+        if split:
+            feat[node], sbin[node], dleft[node] = s["sj"], s["sb"], s["sdl"]
+        # a node's value goes to the leaves under it; deeper splits overwrite their part
+        left = leaf_value(s["GL"], s["HL"], p) if split else leaf_value(s["GT"], s["HT"], p)
+        right = leaf_value(s["GT"] - s["GL"], s["HT"] - s["HL"], p) if split else left
+        for child, value in ((2 * node + 1, left), (2 * node + 2, right)):
+            span = 2 ** (p.depth - depth - 1)
+            first = (child + 1) * span - 1 - n_int
+            leaf[first:first + span] = value
+    return trees
+
+
+def fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
+                n_inputs: int | None = None, n_bins: int | None = None) -> BoostedForest:
+    """Train all models in ``rows``: model, rid, bins (array<int>, 0 = missing), nin, y and an optional weight w."""
+    if "w" not in rows.columns:
+        rows = rows.withColumn("w", F.lit(1.0))
+    rows = rows.select(F.col("model").cast("long").alias("model"), F.col("rid").cast("long").alias("row_id"), "bins",
+                       F.col("nin").cast("int").alias("nin"), F.col("y").cast("double").alias("y"),
+                       F.col("w").cast("double").alias("w"))
+    if n_inputs is None or n_bins is None:
+        seen = rows.agg(F.max("nin").alias("j"), F.max(F.array_max("bins")).alias("b")).first()
+        n_inputs, n_bins = n_inputs or seen["j"] or 1, n_bins or seen["b"] or 1
+    n_class = {int(k): int(v) for k, v in n_class.items()} if n_class else None
+    return fit_expanded(rows, PlainRows(n_inputs, n_class), p, n_bins)
+
+
 # ---- scoring inside Arrow batches ----------------------------------------------
 
 def predict_margin(forest: BoostedForest, key, X: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
@@ -471,15 +504,3 @@ def predict_margin(forest: BoostedForest, key, X: np.ndarray, thresholds: np.nda
         node = node * 2 + 1 + (~go_left).astype(np.int64)
     n_int = 2 ** forest.depth - 1
     return out + leaf[rix, node - n_int].sum(axis=1)
-
-
-def to_frame(spark, forest: BoostedForest, names: dict | None = None) -> DataFrame:
-    """Model table: one row per (model, class, round) with the tree arrays."""
-    recs = []
-    for key in sorted(forest.feat):
-        m, c = key
-        for r in range(forest.n_rounds):
-            recs.append((int(m), int(c), int(r), forest.feat[key][r].tolist(), forest.sbin[key][r].tolist(),
-                         forest.dleft[key][r].tolist(), forest.leaf[key][r].tolist(), float(forest.base[key])))
-    return spark.createDataFrame(recs, "model int, cls int, round int, feat array<int>, split_bin array<int>, "
-                                       "default_left array<boolean>, leaf array<double>, base double")

@@ -16,6 +16,8 @@ class Postprocessor:
     spec: TableSpec
     bounds: dict = field(default_factory=dict)        # raw (min, max) of numeric generated columns
     dictionaries: dict = field(default_factory=dict)  # categorical -> sorted values
+    clip: dict = field(default_factory=dict)          # given (min, max): what values are clipped to, else ``bounds``
+    types: dict = field(default_factory=dict)         # declared types; an integer column gets its own back
 
     @classmethod
     def fit(cls, df: DataFrame, spec: TableSpec, given_bounds: dict | None = None) -> "Postprocessor":
@@ -29,6 +31,14 @@ class Postprocessor:
         dicts = {c.name: encode.category_values(df, c.name) for c in gen if c.kind == "categorical"}
         return cls(spec, bounds, dicts)
 
+    def finish(self, c, v):
+        """Round, clip and restore the declared type of an unscaled numeric column."""
+        if c.kind == "integer":
+            v = encode.round_half_even(v)
+        v = encode.clip_expr(v, *self.clip.get(c.name, self.bounds[c.name]))
+        declared = self.types.get(c.name, "")
+        return v.cast(declared) if c.kind == "integer" and declared in ("tinyint", "smallint", "int", "bigint") else v
+
     def transform(self, raw: DataFrame, dummy_coded: bool = False, round_codes: bool = False) -> DataFrame:
         """``raw``: scaled numeric columns; categorical columns as drop-first
         dummies (``dummy_coded``) or as integer codes (``round_codes`` rounds and
@@ -51,10 +61,7 @@ class Postprocessor:
                     used.add(c.name)
                 continue
             mn, mx = self.bounds[c.name]
-            v = encode.unscale_expr(c.name, mn, mx)
-            if c.kind == "integer":
-                v = encode.round_half_even(v)
-            out.append(encode.clip_expr(v, mn, mx).alias(c.name))
+            out.append(self.finish(c, encode.unscale_expr(c.name, mn, mx)).alias(c.name))
             used.add(c.name)
         rest = [x for x in raw.columns if x not in used]
         lead = [x for x in rest if x in ("row_id",)]
