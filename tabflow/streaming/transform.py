@@ -37,12 +37,15 @@ def postprocess_stream(stream: DataFrame, post: Postprocessor, dummy_coded: bool
     return post.transform(stream, dummy_coded=dummy_coded)
 
 
-def run_available(stream: DataFrame, sink_path: str | None = None, fmt: str = "parquet") -> DataFrame:
+def run_available(stream: DataFrame, sink_path: str | None = None, fmt: str = "parquet",
+                  checkpoint_path: str | None = None) -> DataFrame:
     """Process everything available now into a parquet table in the shared
-    folder and return that table as a batch DataFrame."""
+    folder and return that table as a batch DataFrame.  With a given sink the
+    stream's progress is kept beside it (or in ``checkpoint_path``), so a later
+    call takes up where this one ended; without one, both folders are fresh."""
     spark = stream.sparkSession
     out = sink_path or scratch_path(spark, "stream-out")
-    ckpt = scratch_path(spark, "stream-ckpt")
+    ckpt = checkpoint_path or f"{out.rstrip('/')}-progress"
     q = (stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
