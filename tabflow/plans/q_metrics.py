@@ -46,7 +46,7 @@ def _l1_sql(a, b, cols=MS_COLS):
 
 
 def _kth_sql(rank):
-    return f""", p AS (SELECT a.c_custkey, {_l1_sql('a', 'b')} AS d FROM r a, r b),
+    return f""", p AS (SELECT a.c_custkey, {_l1_sql('a', 'b')} AS d FROM m a, m b),
 k AS (SELECT c_custkey, d, row_number() OVER (PARTITION BY c_custkey ORDER BY d) AS rn FROM p)
 SELECT c_custkey, round(d, 6) AS {{name}} FROM k WHERE rn = {rank}"""
 
@@ -126,9 +126,15 @@ def q_pairwise_l1(spark, sf):
     return d.select("row_id", r6("nearest").alias("nearest"))
 
 
+def _whole_metric_space(spark, sf):
+    """All customers (scaled with the bounds of the real half, as the other queries are)."""
+    real, fake = _customer_metric_space(spark, sf)
+    return real.unionByName(fake)
+
+
 def _kth_query(k_rank, name):
     def fn(spark, sf):
-        real, _ = _customer_metric_space(spark, sf)
+        real = _whole_metric_space(spark, sf)
         pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
         d = neighbors.kth_distance(pts.select("pid", "__s", *MS_COLS), pts, MS_COLS, k_rank, [SEG_COLS], 0.5)
         back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
@@ -141,7 +147,7 @@ query("kth_smallest", sql=MS_SQL + _kth_sql(3).format(name="kth"))(_kth_query(3,
 
 @query("knn_radius", sql=MS_SQL + _kth_sql(6).format(name="radius"))
 def q_knn_radius(spark, sf):
-    real, _ = _customer_metric_space(spark, sf)
+    real = _whole_metric_space(spark, sf)
     pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
     rad = neighbors.knn_radius(pts, MS_COLS, 5, [SEG_COLS], 0.5)
     back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
