@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import n_partitions, row_hash
+from tabflow.llm.common import n_partitions
 from tabflow.llm.text import _BYTE, Words, mix64, powers, word_slices
 
 WIDTH, INNER = 13, 3
@@ -86,20 +86,30 @@ def runs(words: Words, width: int, inner: int) -> tuple[np.ndarray, np.ndarray,
     return at[first], np.diff(np.append(first, total)), m[first]
 
 
-def _pack(strings: list[np.ndarray], ids, keys, starts, n_win, lens) -> bytes:
-    head = np.array([len(ids)], np.int64).tobytes()
-    body = b"".join([head, ids.tobytes(), keys.tobytes(), starts.tobytes(), n_win.tobytes(), lens.tobytes(),
+_HEAD = (np.int64, np.int32, np.int32, np.int32, np.int32)   # doc_id, key, start, windows, bytes
+_CODEC = pa.Codec("zstd", compression_level=5)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: the many zero ones cost nothing when compressed."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
+def _pack(strings: list[np.ndarray], *head: np.ndarray) -> bytes:
+    body = b"".join([np.array([len(strings)], np.int64).tobytes(),
+                     *[_planes(a.astype(k)) for a, k in zip(head, _HEAD, strict=True)],
                      np.concatenate(strings).tobytes()])
-    return np.array([len(body)], np.int64).tobytes() + pa.compress(body, "zstd", asbytes=True)
+    return np.array([len(body)], np.int64).tobytes() + _CODEC.compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes):
-    size = int(np.frombuffer(blob, np.int64, 1)[0])
-    raw = pa.decompress(blob[8:], size, "zstd", asbytes=True)
+    raw = _CODEC.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in (np.int64, np.int64, np.int64, np.int32, np.int32):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    for kind in _HEAD:
+        width = np.dtype(kind).itemsize
+        flat = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(np.ascontiguousarray(flat).view(kind)[:, 0])
+        at += n * width
     return (*out, np.frombuffer(raw, np.uint8, offset=at))
 
 
@@ -107,9 +117,9 @@ def _rows(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-SPANS = "bucket int, doc_id long, key long, start long, n int, blob binary"
+SPANS = "bucket int, doc_id long, key int, start int, n int, blob binary"
 _NAMES = ["bucket", "doc_id", "key", "start", "n", "blob"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _span_batch(ids, keys, starts, n) -> pa.RecordBatch:
@@ -146,8 +156,8 @@ def _send(buckets: int, width: int, inner: int):
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = kept[a:b]
             parts = [texts[o:o + n] for o, n in zip(col["off"][own].tolist(), col["len"][own].tolist(), strict=True)]
-            blobs.append(_pack(parts, col["id"][own], col["key"][own], col["start"][own],
-                               col["n"][own].astype(np.int32), col["len"][own].astype(np.int32)))
+            blobs.append(_pack(parts, col["id"][own], col["key"][own], col["start"][own], col["n"][own],
+                               col["len"][own]))
         k = len(blobs)
         none = [None] * k
         yield _rows(_NAMES, [bucket[edges[:-1]], none, none, none, none, blobs], _KINDS)
@@ -155,7 +165,7 @@ def _send(buckets: int, width: int, inner: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for i, _, words in word_slices(batch.column(2), lower=False):
                 first, n, low = runs(words, width, inner)
@@ -186,7 +196,7 @@ def _judge(width: int):
 
     def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(b) for b in blobs]
-        ids, keys, starts, n_win = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        ids, keys, starts = (np.concatenate([p[k] for p in parts]) for k in range(3))
         one, two, owner, offset, base = [], [], [], [], 0
         for p in parts:
             text, n = p[5], p[3].astype(np.int64)
@@ -269,11 +279,12 @@ def _word_hash(text, begin, cut, n_win, width, limit=4 << 20):
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
     """(doc_id, key, start, n): windows start .. start+n-1 (word places) of a row that also start in a document
-    with a smaller id.  ``docs`` has (doc_id, key, text)."""
+    with a smaller id.  ``docs`` has (doc_id, key, text); ``key`` (32 bits) tells rows of one id apart; a null id
+    comes back as the largest long."""
     parts = n_partitions(docs.sparkSession)
     sent = docs.select("doc_id", "key", "text").mapInArrow(_send(4 * parts, width, inner), SPANS)
     # packed rows go to their buckets, rows that are spans already spread by key, in one shuffle
-    deal = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.col("key"))
+    deal = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.col("key").cast("long"))
     dealt = sent.select("bucket", "doc_id", "key", "start", "n", "blob", deal.alias("to")) \
         .repartition(parts, "to").sortWithinPartitions("bucket")
     judge = _judge(width)
@@ -295,18 +306,19 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
             yield out.select([1, 2, 3, 4])
         yield from ready
 
-    return dealt.drop("to").mapInArrow(stream, "doc_id long, key long, start long, n int")
+    return dealt.drop("to").mapInArrow(stream, "doc_id long, key int, start int, n int")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, id_col: str = "doc_id",
                    text_col: str = "text", digest: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and ``kept_text`` (kept words joined by one space),
     or ``kept_sha256`` of it with ``digest``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("key"),
-                       F.col(text_col).alias("text"))
-    spans = (repeated_spans(rows, width, inner).groupBy("key")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                       F.hash(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    spans = (repeated_spans(rows, width, inner).groupBy("doc_id", "key")
              .agg(F.collect_set(F.struct("start", "n")).alias("spans")))
-    joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["doc_id", "key"], "left").select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "spans")
     last = "kept_sha256" if digest else "kept_text"
     names = ["doc_id", "n_words", "n_removed", last]
 
