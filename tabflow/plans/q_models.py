@@ -14,8 +14,7 @@ from ..functions.noise import hash_uniform
 from ..learners import flows
 from ..learners.hist_boost import BoostParams
 from ..learners.mllib import RandomForestSampler
-from ..metrics import neighbors, report, transport, utility
-from ..operators import encode
+from ..metrics import experiment, scores, utility
 from ..sampling import draws
 from ..sources.registry import load_dataset
 from ..spec import ColumnSpec, TableSpec
@@ -183,7 +182,7 @@ FEATS = ["o_totalprice", "o_orderpriority", "o_orderdate_days"]
 CATS = ["o_orderpriority"]
 TARGET = "o_orderstatus"
 UP = utility.UtilityParams(max_iter=100, ada_rounds=5, forest_trees=20, forest_depth=8, boost_rounds=5,
-                           boost_depth=3)
+                           boost_depth=3, seeds=1)
 
 
 def _split(spark, sf):
@@ -201,9 +200,12 @@ def _four_scores(spark, sf):
 
 
 def _predict_query(learner):
+    """Predictions of one learner on the held-out rows, as (truth, prediction, n) of class codes."""
     def fn(spark, sf):
-        s = _four_scores(spark, sf)
-        return spark.createDataFrame([(learner, float(s[learner]))], "learner string, f1 double")
+        tr, te = _split(spark, sf)
+        tr, te, classes, cols = utility.prepare_parts(tr, te, FEATS, CATS, TARGET, True)
+        (p,) = utility.predictions(learner, tr, [te], cols, True, len(classes), UP)
+        return scores.confusion_counts(p, "label", "prediction")
     return fn
 
 
@@ -247,41 +249,11 @@ def q_utility_real_fake_both(spark, sf):
     return spark.createDataFrame(rows, "side string, learner string, f1 double")
 
 
-def run_experiment(spark, sf, method="HS3F_Euler"):
-    """Split -> fit -> generate -> W1 bound, coverage, utility -> wide row."""
-    import time
-    tr, te = _split(spark, sf)
-    t0 = time.time()
-    fit, fake = _fake(spark, sf, tr)
-    fake = fake.cache()
-    fake.count()
-    elapsed = time.time() - t0
-    cont, cats = ["o_totalprice", "o_orderdate_days"], ["o_orderpriority", "o_orderstatus"]
-    keep = cont + cats
-    trm, fkm, _, d1 = encode.metric_space(tr.select("row_id", *keep), fake.select("row_id", *keep), cont, cats)
-    cols = [c for c in trm.columns if c != "row_id"]
-    # test side scaled with the training bounds
-    bnds = encode.data_bounds(tr, cont)
-    tes = encode.onehot(encode.minmax_scale(te.select("row_id", *keep), bnds, 0.0, 1.0), d1, value=0.5)
-    w_train = transport.wasserstein1_lower(trm, fkm, cols).first()[0]
-    w_test = transport.wasserstein1_lower(tes, fkm, cols).first()[0]
-    blocks = neighbors.onehot_blocks(cols, d1)
-    cov_train = neighbors.coverage(trm, fkm, cols, None, "row_id", blocks, 0.5)
-    cov_test = neighbors.coverage(tes, fkm, cols, None, "row_id", blocks, 0.5)
-    util = _utility(spark, sf)
-    vals = {"W_train": w_train, "W_test": w_test, "coverage_train": cov_train, "coverage_test": cov_test,
-            "time": elapsed, "R2_real": 0.0, "R2_fake": 0.0, "R2_comb": 0.0,
-            "F1_real": util["real"]["mean"], "F1_fake": util["fake"]["mean"], "F1_comb": util["comb"]["mean"]}
-    for m in report.LEARNERS:
-        for side in ("real", "fake", "comb"):
-            vals[f"R2_{m}_{side}"] = 0.0
-            vals[f"F1_{m}_{side}"] = util[side][m]
-    row = ("orders", method, *[float(vals[m]) for m in report.MAIN_METRICS + report.LEARNER_METRICS])
-    schema = ", ".join(["dataset string", "method string"] + [f"{m} double" for m in report.RESULT_COLUMNS[2:]])
-    fake.unpersist()
-    return spark.createDataFrame([row], schema)
-
-
 @query("run_experiment")
 def q_run_experiment(spark, sf):
-    return run_experiment(spark, sf)
+    """Every method on the same split of orders, one generated set each (small settings, the linear
+    learner; ``utility_real_fake_both`` runs all four)."""
+    df, spec = _orders(spark, sf)
+    e = experiment.Experiment(nexp=1, ngen=1, flow={**SMALL, "reg": REG}, clf=CLF, scoring=UP,
+                              learners=("lin",))
+    return experiment.summarize(experiment.run(df, spec, "orders", e=e))
