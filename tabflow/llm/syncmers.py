@@ -38,7 +38,8 @@ from tabflow.llm.text import mix64
 K, S, SIZE = 16, 8, 64
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15
-CHARS = 1 << 20
+CHARS = 1 << 17
+ROWS = 256                              # rows of an Arrow batch taken at a time
 
 Print = tuple[np.ndarray, np.ndarray]
 
@@ -194,7 +195,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, size: int = S
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None                                   # (bucket, id, text, fingerprint)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             col = {n: batch.column(n).to_pylist() for n in ("bucket", "tail", "doc_id", "text")}
             prints = fingerprints(col["text"], k, s, size)
             pairs = []
