@@ -80,12 +80,6 @@ def sql_normal(tag: str, *keys) -> str:
 
 # ---- NumPy twin (used inside Arrow batches, same bits) ------------------------
 
-def np_uniform_from_hex(hexes):
-    """Vectorised u from md5 hex digests computed elsewhere (tests)."""
-    import numpy as np
-    return (np.array([int(h[:13], 16) for h in hexes], dtype=np.float64) + 0.5) / SCALE
-
-
 def np_hash_normal(seed: int, keys, step: int, col: int):
     """Per-cell N(0,1) inside Arrow batches from a splitmix64 counter hash of
     (seed, key, step, column): independent of batching and partitioning."""

@@ -44,11 +44,3 @@ def assert_label_present(df: DataFrame, label: str) -> None:
     n = missing_label_count(df, label).first()["n_missing_label"]
     if n:
         raise ValueError(f"label {label!r} has {n} missing values")
-
-
-def label_shares(df: DataFrame, label: str) -> DataFrame:
-    """B5 / F1 input: count and share per label value (grouping, never filtered copies)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    # one row per label value: the window spans a table of label-cardinality size
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(label, "n", (F.col("n") / total).alias("share"))

@@ -145,10 +145,10 @@ def dummy_name(col: str, value) -> str:
 
 
 def onehot(df: DataFrame, dictionaries: dict[str, list], drop_first: bool = False,
-           value: float = 1.0, keep_order: bool = False) -> DataFrame:
+           value: float = 1.0) -> DataFrame:
     """Dummies named ``<col>_<value>``; missing -> all zeros.
 
-    Dummies move to the end (C4) unless ``keep_order``.
+    Dummies move to the end (C4).
     """
     plain, dummies = [], []
     for c in df.columns:
@@ -158,10 +158,7 @@ def onehot(df: DataFrame, dictionaries: dict[str, list], drop_first: bool = Fals
         vals = dictionaries[c][1:] if drop_first else dictionaries[c]
         cols = [F.when(F.col(c) == F.lit(v), F.lit(float(value))).otherwise(F.lit(0.0))
                 .alias(dummy_name(c, v)) for v in vals]
-        if keep_order:
-            plain.extend(cols)
-        else:
-            dummies.extend(cols)
+        dummies.extend(cols)
     return df.select(*plain, *dummies)
 
 

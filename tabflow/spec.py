@@ -77,36 +77,6 @@ class TableSpec:
                 return c
         raise KeyError(name)
 
-    def with_bounds(self, bounds: dict[str, tuple[float, float]]) -> "TableSpec":
-        cols = tuple(replace(c, min=bounds[c.name][0], max=bounds[c.name][1])
-                     if c.name in bounds else c for c in self.columns)
-        return replace(self, columns=cols)
-
     def with_roles(self, **roles) -> "TableSpec":
         cols = tuple(replace(c, role=roles.get(c.name, c.role)) for c in self.columns)
         return replace(self, columns=cols)
-
-
-def infer_spec(df, row_id: str = "row_id", max_categories: int = 20) -> TableSpec:
-    """Optional inference: string -> categorical; integral -> integer, or
-    categorical when it has few distinct values (one aggregate pass)."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
-    ints = [f.name for f in df.schema.fields
-            if f.name != row_id and isinstance(f.dataType, NumericType)
-            and not isinstance(f.dataType, (DoubleType, FloatType))]
-    ndv = {}
-    if ints:
-        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in ints]).first()
-        ndv = row.asDict()
-    cols = []
-    for f in df.schema.fields:
-        if f.name == row_id:
-            continue
-        if isinstance(f.dataType, StringType):
-            cols.append(ColumnSpec(f.name, "categorical"))
-        elif f.name in ndv:
-            cols.append(ColumnSpec(f.name, "categorical" if ndv[f.name] <= max_categories else "integer"))
-        else:
-            cols.append(ColumnSpec(f.name, "continuous"))
-    return TableSpec(tuple(cols), row_id=row_id)

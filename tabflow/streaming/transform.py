@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..operators import encode
-from ..sampling.postprocess import Postprocessor
 from ..session import scratch_path
 
 
@@ -32,11 +31,6 @@ def scale_stream(stream: DataFrame, bounds: dict, lo: float = -1.0, hi: float =
     return encode.minmax_scale(stream, bounds, lo, hi)
 
 
-def postprocess_stream(stream: DataFrame, post: Postprocessor, dummy_coded: bool = False) -> DataFrame:
-    """F12 on a stream of raw model outputs."""
-    return post.transform(stream, dummy_coded=dummy_coded)
-
-
 def run_available(stream: DataFrame, sink_path: str | None = None, fmt: str = "parquet",
                   checkpoint_path: str | None = None) -> DataFrame:
     """Process everything available now into a parquet table in the shared
