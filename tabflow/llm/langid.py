@@ -235,8 +235,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     found = predict(F.when(has_letter(text_col), F.col(text_col)))
+    taken = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     return docs.withColumn("_lang", found).select(
-        *docs.columns, F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("lang_score"))
+        *taken, F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("lang_score"))
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

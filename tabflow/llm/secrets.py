@@ -76,7 +76,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     def share(pattern):
         return (n - F.length(F.regexp_replace(c, pattern, ""))) / n
 
-    run = found.select("key", "pos", "nth", F.explode(F.array_distinct(_letter_runs("found"))).alias("run"))
+    run = found.select("key", "pos", "nth", F.explode(F.array_distinct(_letter_runs("found"))).alias("run")).distinct()
     covered = (run.join(words.withColumn("known", F.lit(1)), "run")
                .groupBy("key", "pos", "nth").agg(F.sum(F.length("run")).alias("covered")))
     hashed = [F.when(F.pmod(F.xxhash64(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))), F.lit(HASHED)) == k, 1.0)
