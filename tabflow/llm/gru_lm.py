@@ -31,16 +31,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabflow.llm.common import n_partitions, row_hash
 from tabflow.llm.text import Words, word_slices
 from tabflow.session import materialize
 
-SHORTLIST, CLASS_SIZE, EMBED, HIDDEN, STEPS, LANES = 2048, 32, 16, 24, 32, 16
+SHORTLIST, CLASS_SIZE, EMBED, HIDDEN, STEPS, LANES = 2048, 32, 16, 24, 32, 32
 CHUNK_BYTES = 16 << 20
 FORMS = 6
 _U = np.uint64
@@ -81,6 +83,15 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row at one column.  One common shift serves all rows unless a row lies far below it."""
+    x = x - x.max(initial=0.0)
+    total = np.exp(x) @ np.ones(x.shape[1], x.dtype)
+    if len(total) and total.min() < 1e-30:
+        return _log_softmax(x)[np.arange(len(at)), at]
+    return x[np.arange(len(at)), at] - np.log(total)
+
+
 class Layout:
     """Class and place in class of model ids (shortlist, end mark, forms)."""
 
@@ -95,22 +106,21 @@ class Layout:
 def output_log_prob(w, lay: Layout, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log P(token) of ids given the states before them (a form class counts as its class only)."""
     cls = lay.target_class(ids)
-    lp = _log_softmax(h @ w["wc"] + w["bc"])[np.arange(len(ids)), cls].astype(np.float64)
+    lp = _log_share(h @ w["wc"] + w["bc"], cls).astype(np.float64)
     words = np.flatnonzero(ids < lay.end)
     if not len(words):
         return lp
     c, place = cls[words], ids[words] % CLASS_SIZE
     if len(words) < 2000:
         logits = np.matmul(h[words][:, None, :], w["ww"][c])[:, 0] + w["bw"][c]
-        lp[words] += _log_softmax(logits)[np.arange(len(words)), place]
+        lp[words] += _log_share(logits, place)
         return lp
     order = np.argsort(c, kind="stable")
     edges = np.searchsorted(c[order], np.arange(lay.n_class + 1))
     for k in range(lay.n_class):
         own = order[edges[k]:edges[k + 1]]
         if len(own):
-            logits = _log_softmax(h[words[own]] @ w["ww"][k] + w["bw"][k])
-            lp[words[own]] += logits[np.arange(len(own)), place[own]]
+            lp[words[own]] += _log_share(h[words[own]] @ w["ww"][k] + w["bw"][k], place[own])
     return lp
 
 
@@ -207,14 +217,17 @@ def _window(w, lay, x_id, y, h):
     dh_out = d @ w["wc"].T
     words = np.flatnonzero(ids < lay.end)
     if len(words):
-        k, place = cls[words], ids[words] % CLASS_SIZE
-        mine = w["ww"][k]
-        e = np.exp(_log_softmax(np.matmul(flat[words][:, None], mine)[:, 0] + w["bw"][k]))
-        e[np.arange(len(words)), place] -= 1
-        e /= n
-        np.add.at(g["ww"], k, flat[words][:, :, None] * e[:, None, :])
-        np.add.at(g["bw"], k, e)
-        dh_out[words] += np.matmul(mine, e[:, :, None])[:, :, 0]
+        words = words[np.argsort(cls[words], kind="stable")]
+        edges = np.searchsorted(cls[words], np.arange(lay.n_class + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = words[edges[k]:edges[k + 1]]
+            state = flat[own]
+            e = np.exp(_log_softmax(state @ w["ww"][k] + w["bw"][k]))
+            e[np.arange(len(own)), ids[own] % CLASS_SIZE] -= 1
+            e /= n
+            g["ww"][k] = state.T @ e
+            g["bw"][k] = e.sum(0)
+            dh_out[own] += e @ w["ww"][k].T
     dh_out = dh_out.reshape(steps, lanes, hid)
     dx, back = np.zeros_like(x), np.zeros((lanes, hid), F32)
     for t in range(steps - 1, -1, -1):
@@ -260,8 +273,13 @@ def _chunk_words(text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     inner[first[1:] - 1] = False
     alls[inner] = np.concatenate(hashes)
     kind[inner] = np.concatenate(forms)
-    uniq, at, inverse = np.unique(alls, return_index=True, return_inverse=True)
-    return uniq, kind[at], inverse.astype(np.int32), first
+    index, found = pd.factorize(alls)
+    form = np.zeros(len(found), np.uint8)
+    form[index] = kind
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int32)
+    place[order] = np.arange(len(found))
+    return found[order], form[order], place[index], first
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -353,6 +371,7 @@ class Vocabulary:
                 v_f[r["form"]] += r["v"]
         n_f -= np.bincount(form, self.count, FORMS) if len(form) else 0
         v_f -= np.bincount(form, minlength=FORMS) if len(form) else 0
+        n_f = np.maximum(n_f, 0)
         self.form_mass = n_f
         self.form_total = n_f + 0.1 * v_f + 0.1
         self.order = np.argsort(self.hash)
@@ -383,6 +402,35 @@ def _chunked(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> tupl
     return rows.withColumn("chunk", F.pmod("key", F.lit(chunks))), chunks
 
 
+BLOCK = 8192
+
+
+def _weight_blocks(w: dict, names: list, docs: list) -> pa.RecordBatch:
+    """A trainer's weights in blocks, with the number of tokens they were trained on."""
+    flat = np.concatenate([w[k].ravel() for k in names]).astype(F32)
+    blocks = [flat[i:i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+    share = float(sum(map(len, docs)))
+    return pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([share] * len(blocks)),
+                            pa.array(blocks, pa.binary())], names=["block", "share", "x"])
+
+
+def _mean_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block -> the mean of each block, weighted by tokens, added up while streaming."""
+    def out(block, share, x):
+        return pa.record_batch([pa.array([block], pa.int32()), pa.array([share]),
+                                pa.array([(x / share).tobytes()], pa.binary())], names=["block", "share", "x"])
+    now, share, total = None, 0.0, None
+    for batch in batches:
+        for block, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now:
+                if now is not None:
+                    yield out(now, share, total)
+                now, share, total = block, 0.0, 0.0
+            share, total = share + n, total + n * np.frombuffer(x, F32).astype(np.float64)
+    if now is not None:
+        yield out(now, share, total)
+
+
 def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds: int, rate: float) -> dict:
     """Weights after ``rounds`` rounds of parallel training on the hash share of the ``learn`` rows, averaged by Spark."""
     spark, weights = rows.sparkSession, vocab.start()
@@ -404,7 +452,9 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
     if tokens < 4 * STEPS:
         return weights
     trainers = max(int(tokens // 200_000), 1)
-    dealt = sample.repartition(trainers, F.pmod("key", F.lit(trainers)))
+    # a trainer is a group of documents by row hash, not a partition: its result does not depend on where it runs
+    dealt = sample.withColumn("trainer", F.pmod("key", F.lit(trainers)).cast("int")).repartition(trainers, "trainer") \
+        .sortWithinPartitions("trainer", "key", "ids")
     names = sorted(weights)
     shapes = {k: weights[k].shape for k in names}
 
@@ -412,18 +462,22 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
         sent = spark.sparkContext.broadcast(weights)
 
         def work(batches, sent=sent, r=r):
-            got = sorted((k, x) for b in batches for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            if got:
-                docs = [np.frombuffer(x, np.int32) for _, x in got]
-                now = train(sent.value, docs, rate / (1 + r), seed=r)
-                share = np.float64(sum(map(len, docs)))
-                flat = np.concatenate([now[k].ravel() for k in names]).astype(np.float64)
-                yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat * share),
-                                       pa.array(np.full(len(flat), share))], names=["i", "x", "n"])
-
-        mean = (dealt.mapInArrow(work, "i long, x double, n double").groupBy("i")
-                .agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("i"))
-        flat, at, weights = mean["x"].to_numpy(), 0, {}
+            now, docs = None, []
+            for batch in batches:
+                for g, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if g != now and docs:
+                        yield _weight_blocks(train(sent.value, docs, rate / (1 + r), seed=r), names, docs)
+                        docs = []
+                    now = g
+                    docs.append(np.frombuffer(ids, np.int32))
+            if docs:
+                yield _weight_blocks(train(sent.value, docs, rate / (1 + r), seed=r), names, docs)
+
+        made = dealt.select("trainer", "ids").mapInArrow(work, "block int, share double, x binary")
+        mean = (made.repartition(n_partitions(spark), "block").sortWithinPartitions("block")
+                .mapInArrow(_mean_blocks, "block int, share double, x binary").collect())
+        flat = np.concatenate([np.frombuffer(m["x"], np.float64) for m in sorted(mean, key=lambda m: m["block"])])
+        at, weights = 0, {}
         for k in names:
             size = int(np.prod(shapes[k]))
             weights[k] = flat[at:at + size].reshape(shapes[k]).astype(F32)
@@ -441,7 +495,10 @@ def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, trai
     counts = materialize(sent_words.repartition(n_partitions(spark), "bucket").sortWithinPartitions("bucket")
                          .mapInArrow(_total_bucket(shortlist), _COUNTS))
     totals = counts.filter("kind = 1").groupBy("form").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    top = counts.filter("kind = 2").orderBy(F.desc("n"), "hash").limit(shortlist).select("hash", "n", "form").collect()
+    # the most frequent words: of each of 64 groups of buckets first, so that what reaches the driver is bounded
+    order = Window.partitionBy(F.pmod("bucket", F.lit(64))).orderBy(F.desc("n"), "hash")
+    top = (counts.filter("kind = 2").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= shortlist)
+           .orderBy(F.desc("n"), "hash").limit(shortlist).select("hash", "n", "form").collect())
     vocab = Vocabulary(top, totals)
     weights = fit_weights(rows, vocab, train_share, rounds, rate)
     sent = spark.sparkContext.broadcast((vocab, weights))
