@@ -15,7 +15,8 @@ texts of each label (smallest id hash; the bound is this parameter):
 * landmarks: the witnesses and frequent clean words; features K(x, L) K(L, L)^-1/2;
 * a linear SVM on words: witnesses, also with one character inserted, against clean
   words, with the clean words that score highest added in a second round;
-* the value is mapped to 0..1 by a logistic curve fitted on the sampled texts.
+* the value is mapped to 0..1 by a logistic curve fitted on the sampled texts, moved so that
+  it is THRESHOLD where they are told apart best.
 
 The machine is linear in the subsequence features, so for scoring it is folded into one
 table over character triples and whole texts are scored by table look-ups.
@@ -45,6 +46,7 @@ OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Symbols 0-25 letters, 26-35 digits, 36-67 accented Latin letters, 68-71 all others.
 SYMBOLS = 72
 FLOOR = -1.0                            # word values below this count as this
+THRESHOLD = 0.7
 _SYM = np.full(256, 255, np.uint8)
 for _c in range(26):
     _SYM[65 + _c] = _SYM[97 + _c] = _c
@@ -298,10 +300,25 @@ def _fit_words(sample: DataFrame, counts: DataFrame, witnesses: list[str], clean
     sent = spark.sparkContext.broadcast(model)
     found = _values(sample.select("text", "toxic"), sent).select("value", "toxic").collect()
     v, t = np.array([r["value"] for r in found]), np.array([r["toxic"] for r in found], float)
-    model.slope, model.shift = _logistic(v, t)
+    model.slope, _ = _logistic(v, t)
+    # the score is THRESHOLD where the sampled texts are told apart best
+    model.shift = np.log(THRESHOLD / (1 - THRESHOLD)) - model.slope * _cut(v, t)
     return model
 
 
+def _cut(v: np.ndarray, t: np.ndarray) -> float:
+    """Value with the fewest errors on the sample; of several the middle of the widest gap."""
+    order = np.argsort(v, kind="stable")
+    v, t = v[order], t[order]
+    ends = np.flatnonzero(np.diff(v) > 0)                       # cuts between different values
+    if not len(ends):
+        return float(v[0]) + 1.0 if not t.any() else float(v[0])
+    errors = np.cumsum(t)[ends] + (1 - t).sum() - np.cumsum(1 - t)[ends]
+    best = ends[errors == errors.min()]
+    at = best[np.argmax(v[best + 1] - v[best])]
+    return float((v[at] + v[at + 1]) / 2)
+
+
 def _logistic(v: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve (Newton steps, smoothed targets, a little shrinkage)."""
     n1, n0 = t.sum(), len(t) - t.sum()
@@ -309,8 +326,8 @@ def _logistic(v: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     x, b = np.stack([v, np.ones_like(v)], 1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (p - t) + 1e-2 * b
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        g = x.T @ (p - t) + 1e-4 * b
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
         step = np.linalg.solve(h, g)
         b = b - step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-9))
     return float(max(b[0], 1e-3)), float(b[1])
@@ -333,7 +350,7 @@ def _all_values(model: Model, column) -> np.ndarray:
     return np.concatenate(out)
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id",
+def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score (0 to 1) and predicted (1 if score >= threshold)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
