@@ -121,6 +121,21 @@ def test_components_need_the_boundary(make):
     assert found_components(make(rows)) == brute_components(rows)
 
 
+def test_components_with_small_flushes_and_tiles(make, monkeypatch):
+    """Many flushes, and cells cut into many tiles, give the same result."""
+    monkeypatch.setattr(jaccard, "FLUSH", 100)
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(50)]
+    rows = []
+    for i in range(60):                                    # near copies around one text, some beyond the radius
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(20)}"
+        rows.append((i, " ".join(t)))
+    assert found_components(make(rows)) == brute_components(rows)
+
+
 def test_components_on_odd_rows(make, odd_rows):
     assert found_components(make(odd_rows)) == brute_components(odd_rows)
     assert jaccard.jaccard_components(make([])).count() == 0
