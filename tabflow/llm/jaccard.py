@@ -47,7 +47,7 @@ from tabflow.llm.text import Words, mix64, windows, word_slices
 from tabflow.session import materialize
 
 SHINGLE = 5
-FLUSH = 3_000_000
+FLUSH = 1_500_000                       # shingles packed at a time
 TILE = 1000
 _U = np.uint64
 
@@ -417,7 +417,8 @@ def boundary_links(measured: DataFrame, points: DataFrame, label: DataFrame, per
     far = F.col("d") > width + 1e-12
     size = (member.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .filter("lo <> hi").select("pivot"))
-    mixed = member.join(size, "pivot")
+    # stored, so that the sums below are made where the rows lie and a large cell never meets in one task
+    mixed = materialize(member.join(size, "pivot"))
     rings = mixed.groupBy("pivot", "ring").agg(
         F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"),
         F.ceil(F.sum(far.cast("int")) / TILE).cast("int").alias("far_tiles"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_ITEMS = 400_000
+CACHE_ITEMS = 150_000                   # pieces kept; twice as many pairs
 
 
 class PieceCodec:
@@ -99,7 +99,7 @@ class PieceCodec:
     def compatible(self, left: str, right: str) -> bool:
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) >= 4 * CACHE_ITEMS:
+            if len(self.pairs) >= 2 * CACHE_ITEMS:
                 self.pairs.clear()
             got = (left + right not in self.score or left + right not in self.reachable) \
                 and self.merge(left + right) == [left, right]
