@@ -283,8 +283,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
     comes back as the largest long."""
     parts = n_partitions(docs.sparkSession)
     sent = docs.select("doc_id", "key", "text").mapInArrow(_send(4 * parts, width, inner), SPANS)
-    # packed rows go to their buckets, rows that are spans already spread by key, in one shuffle
-    deal = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.col("key").cast("long"))
+    # packed rows go to their buckets, rows that are spans already spread evenly, in one shuffle
+    deal = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id", "start"))
     dealt = sent.select("bucket", "doc_id", "key", "start", "n", "blob", deal.alias("to")) \
         .repartition(parts, "to").sortWithinPartitions("bucket")
     judge = _judge(width)
