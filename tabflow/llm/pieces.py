@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_ITEMS = 150_000                   # pieces kept; twice as many pairs
+CACHE_ITEMS = 400_000                   # pieces kept, and pairs; both are dropped when a task ends
 
 
 class PieceCodec:
@@ -78,6 +78,11 @@ class PieceCodec:
         self.is_byte = np.zeros(len(self.surface), bool)
         self.is_byte[list(self.byte_of)] = True
 
+    def forget(self) -> None:
+        """Drop what was remembered (a worker lives on after its task)."""
+        self.cache.clear()
+        self.pairs.clear()
+
     def merge(self, text: str) -> list[str]:
         """The merge rule itself on a short string: best score first, leftmost first."""
         parts = list(text)
@@ -99,7 +104,7 @@ class PieceCodec:
     def compatible(self, left: str, right: str) -> bool:
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) >= 2 * CACHE_ITEMS:
+            if len(self.pairs) >= CACHE_ITEMS:
                 self.pairs.clear()
             got = (left + right not in self.score or left + right not in self.reachable) \
                 and self.merge(left + right) == [left, right]
@@ -221,6 +226,7 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text",
                 else:
                     rows.append((len(ids), ids.astype(np.int32), text))
             yield pd.DataFrame(rows, columns=["n", "ids", "decoded"])
+        codec.forget()
 
     names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "piece_ids", "piece_text")
     made = docs.withColumn("_pieces", run(F.col(text_col)))
