@@ -9,10 +9,12 @@ Jaccard distance is a metric.  Two texts are linked when their distance is at mo
    the points.  A point with more than the share ``r`` of shingles of its own has no
    link and leaves.
 3. With shingles ordered from rare to common (number of points, then hash), two linked
-   points must share one of the first ``n - ceil(threshold * n) + 1``.  The points that
-   share such a shingle elect a pivot, the point with the smallest share of shingles of
-   its own, the centre of a cell.  A point belongs to the cell of every pivot elected by
-   one of its rare shingles; any two linked points meet in at least one cell.
+   points must share one of the first ``n - ceil(threshold * n) + 1``.  Sizes are cut into
+   bands as wide as a link allows; the points of a band and of the band below that share
+   such a shingle elect a pivot, the point with the smallest share of shingles of its own,
+   the centre of a cell.  A point belongs to the cell of every pivot elected by one of its
+   rare shingles in its band or the next; any two linked points (their bands are the same or
+   neighbours) meet in at least one cell.
 4. The distance of every member to its pivot is computed exactly.  Members within ``r``
    are linked to it, so pairs among them need no test: they are connected.
 5. Members farther than ``r`` are the boundary of a cell.  By the triangle inequality
@@ -35,6 +37,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -286,12 +289,19 @@ def candidate_points(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 # ---------------------------------------------------------------- cells
 
-def cells(points: DataFrame) -> DataFrame:
-    """(point, pivot) distinct, point <> pivot: cells elected by the rare shingles."""
-    listed = points.select("point", "own", F.explode("rare").alias("h"))
-    elected = (listed.groupBy("h").agg(F.min(F.struct("own", "point")).alias("p"), F.count(F.lit(1)).alias("m"))
-               .filter("m > 1").select("h", F.col("p.point").alias("pivot")))
-    return (listed.select("h", "point").join(elected, "h").filter("point <> pivot")
+def cells(points: DataFrame, percent: int) -> DataFrame:
+    """(point, pivot) distinct, point <> pivot: cells elected by the rare shingles within bands of size."""
+    # a little wider than the ratio of two linked sizes, so that rounding cannot put them two bands apart
+    step = math.log(100 / min(percent, 99)) * (1 + 1e-6)
+    banded = points.withColumn("size_band", F.floor(F.log("n") / step).cast("int"))
+    listed = (banded.select("point", "own", "size_band", F.explode("rare").alias("h"))
+              .withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+              .select("h", (F.col("size_band") + F.col("up")).alias("band"), "point", "own", "up"))
+    # without a point of its own band a group is part of the one below
+    elected = (listed.groupBy("h", "band").agg(F.min(F.struct("own", "point")).alias("p"),
+                                               F.count(F.lit(1)).alias("m"), F.min("up").alias("least"))
+               .filter("m > 1 AND least = 0").select("h", "band", F.col("p.point").alias("pivot")))
+    return (listed.select("h", "band", "point").join(elected, ["h", "band"]).filter("point <> pivot")
             .select("point", "pivot").distinct())
 
 
@@ -302,16 +312,12 @@ def _common(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def measure(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(point, pivot, union, common) of pairs whose sizes allow any likeness above ``2 * percent - 100``."""
-    sizes = points.select("point", "n")
-    wide = max(2 * percent - 100, 1)
-    allowed = (pairs.join(sizes, "point")
-               .join(sizes.select(F.col("point").alias("pivot"), F.col("n").alias("n_pivot")), "pivot")
-               .filter(100 * F.least("n", "n_pivot") >= wide * F.greatest("n", "n_pivot")))
-    sets = points.select("point", "shared")
-    both = (allowed.join(sets, "point")
-            .join(sets.select(F.col("point").alias("pivot"), F.col("shared").alias("pivot_shared")), "pivot"))
+def measure(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """(point, pivot, union, common) of every pair."""
+    sets = points.select("point", "n", "shared")
+    both = (pairs.join(sets, "point")
+            .join(sets.select(F.col("point").alias("pivot"), F.col("n").alias("n_pivot"),
+                              F.col("shared").alias("pivot_shared")), "pivot"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -452,7 +458,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = 75,
                        F.col(text_col).alias("text"))
     described = materialize(describe_sets(rows, size))
     points = candidate_points(rows, size, percent)
-    measured = materialize(measure(cells(points), points, percent))
+    measured = materialize(measure(cells(points, percent), points))
     linked = F.col("common") * 100 >= percent * F.col("union")
     links = materialize(measured.filter(linked).select(F.col("point").alias("a"), F.col("pivot").alias("b")))
     label = components(links)

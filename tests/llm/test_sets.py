@@ -121,6 +121,35 @@ def test_components_need_the_boundary(make):
     assert found_components(make(rows)) == brute_components(rows)
 
 
+def test_components_meet_below_a_much_longer_pivot(make):
+    """Two near copies whose passage a document four times as long holds, which has the smaller share of own shingles."""
+    passage, rest = [f"a{i}" for i in range(104)], [f"b{i}" for i in range(300)]
+    x, y = list(passage), list(passage)
+    x[20], y[80] = "other", "changed"
+    rows = [(1, " ".join(x)), (2, " ".join(y)), (3, " ".join(passage + rest))]
+    rows += [(k, " ".join(rest + [f"c{k}x{i}" for i in range(60)])) for k in (4, 5, 6, 7)]
+    want = brute_components(rows)
+    assert [w[2] for w in want] == [1, 1, 3, 4, 5, 6, 7]
+    assert found_components(make(rows)) == want
+
+
+@pytest.mark.parametrize("seed", [20, 21])
+def test_components_of_mixed_sizes(make, seed):
+    """Near copies and cuts of passages of many lengths, also at the edge of the threshold, inside longer documents."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}x{i}" for i in range(rng.choice([8, 20, 60, 200]))]
+        for _ in range(6):
+            t = base[:rng.choice([len(base), 4 + -(-3 * (len(base) - 4) // 4), rng.randint(5, len(base))])]
+            if rng.random() < 0.5:
+                t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                t = t + [f"h{g % 3}x{i}" for i in range(rng.choice([30, 300]))]
+            rows.append((len(rows), " ".join(t)))
+    assert found_components(make(rows)) == brute_components(rows)
+
+
 def test_components_with_small_flushes_and_tiles(make, monkeypatch):
     """Many flushes, and cells cut into many tiles, give the same result."""
     monkeypatch.setattr(jaccard, "FLUSH", 100)
