@@ -13,10 +13,10 @@ total counts back in the same packing, so what travels grows with the distinct w
 per chunk, not with the tokens.
 
 Training: truncated backpropagation in numpy over windows of ``STEPS`` tokens with
-state carried from window to window.  The sample is the stated share ``train_share``
-of the training documents by hash, so it grows with the input; it is cut among
-trainers that work in parallel from the same weights; Spark averages the weights
-after each of ``rounds`` rounds.
+state carried from window to window.  Every training document is learned once (a
+``train_share`` below 1 takes that share of them by hash): documents are dealt by hash
+into ``rounds`` slices; a slice is cut among trainers that work in parallel from the same
+weights, and Spark averages the weights after each round.
 
 Scoring: documents of a chunk run side by side; state is carried across windows from
 the first token of a document to its end mark, whatever its length.
@@ -173,8 +173,8 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, seed: i
     order = np.random.default_rng(seed).permutation(len(docs))
     tokens = np.concatenate([docs[i] for i in order])
     lanes = min(LANES, max(len(tokens) // STEPS, 1))
-    per = len(tokens) // lanes
-    target = tokens[:per * lanes].reshape(lanes, per).T                     # (time, lane)
+    per = -(-len(tokens) // lanes)
+    target = np.resize(tokens, per * lanes).reshape(lanes, per).T           # (time, lane), filled up from the start
     source = np.vstack([np.full((1, lanes), lay.end), target[:-1]])
     m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
     h = np.zeros((lanes, HIDDEN), F32)
@@ -432,7 +432,8 @@ def _mean_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds: int, rate: float) -> dict:
-    """Weights after ``rounds`` rounds of parallel training on the hash share of the ``learn`` rows, averaged by Spark."""
+    """Weights after one pass over the hash share of the ``learn`` rows, in ``rounds`` slices: trained in parallel,
+    averaged by Spark."""
     spark, weights = rows.sparkSession, vocab.start()
     u = F.xxhash64(F.lit("gru"), F.col("key")).cast("double") / 2.0 ** 64 + 0.5
     picked = rows.filter("learn").filter(u < train_share).select("key", "text")
@@ -449,12 +450,10 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
 
     sample = materialize(picked.mapInArrow(encode, "key long, ids binary"))
     tokens = (sample.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
-    if tokens < 4 * STEPS:
-        return weights
-    trainers = max(int(tokens // 200_000), 1)
+    trainers = max(int(tokens // (200_000 * rounds)), 1)
     # a trainer is a group of documents by row hash, not a partition: its result does not depend on where it runs
-    dealt = sample.withColumn("trainer", F.pmod("key", F.lit(trainers)).cast("int")).repartition(trainers, "trainer") \
-        .sortWithinPartitions("trainer", "key", "ids")
+    placed = sample.withColumn("trainer", F.pmod("key", F.lit(trainers)).cast("int")) \
+        .withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), F.col("key")), F.lit(rounds)).cast("int"))
     names = sorted(weights)
     shapes = {k: weights[k].shape for k in names}
 
@@ -473,9 +472,13 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
             if docs:
                 yield _weight_blocks(train(sent.value, docs, rate / (1 + r), seed=r), names, docs)
 
+        dealt = placed.filter(F.col("slice") == r).repartition(trainers, "trainer") \
+            .sortWithinPartitions("trainer", "key", "ids")
         made = dealt.select("trainer", "ids").mapInArrow(work, "block int, share double, x binary")
         mean = (made.repartition(n_partitions(spark), "block").sortWithinPartitions("block")
                 .mapInArrow(_mean_blocks, "block int, share double, x binary").collect())
+        if not mean:                                         # no document in this slice
+            continue
         flat = np.concatenate([np.frombuffer(m["x"], np.float64) for m in sorted(mean, key=lambda m: m["block"])])
         at, weights = 0, {}
         for k in names:
@@ -485,7 +488,7 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
     return weights
 
 
-def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, train_share: float = 1 / 64,
+def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, train_share: float = 1.0,
                 rounds: int = 4, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
     spark = docs.sparkSession

@@ -105,6 +105,23 @@ def test_model_beats_the_unigram_base_on_held_out_texts(spark):
     assert held.s > held.b
 
 
+def held_out_sums(out):
+    return out.filter(crc_mod("doc_id", 10) == 0).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+
+
+def test_registered_model_beats_the_unigram_base_on_held_out_texts(spark):
+    from tabflow.llm import catalog
+    held = held_out_sums(catalog.QUERIES["op2_lm_score"](spark, SF))
+    assert held.s > held.b
+
+
+def test_small_tables_are_learned_too(make):
+    rows = [(i, " ".join("abcdefgh"[(i + k) % 8] for k in range(60))) for i in range(40)]
+    learn = crc_mod("doc_id", 10) != 0
+    untrained = held_out_sums(gru_lm.score_table(make(rows), learn, train_share=0.0))
+    assert held_out_sums(gru_lm.score_table(make(rows), learn)).s > untrained.s
+
+
 def test_language_id_on_held_out_rows(spark, make, odd_rows):
     docs = table(spark, SF, "documents")
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2, per_language=200)
