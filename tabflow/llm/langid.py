@@ -161,12 +161,14 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 800, families: dict[
     """Fit on the rows where ``learn`` holds, from at most ``per_language`` texts per language."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & has_letter(text_col)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.xxhash64(F.lit("langid"), F.col("text"))
+    # distinct texts: copies must not thin out the others
+    known = {r["lang"]: r["n"] for r in rows.select("lang", draw.alias("h")).distinct()
+             .groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not known:
         return Model()
     share = F.create_map(*[x for k, n in sorted(known.items()) for x in
                            (F.lit(k), F.lit(min(1.0, 3 * per_language / n)))])
-    draw = F.xxhash64(F.lit("langid"), F.col("text"))
     picked = (rows.withColumn("h", draw)
               .filter((F.col("h").cast("double") / 2.0 ** 64 + 0.5) <= F.element_at(share, F.col("lang")))
               .dropDuplicates(["lang", "h"]))

@@ -145,6 +145,18 @@ def test_one_language_only(make):
     assert {r.lang_pred for r in langid.identify(make(rows), model).collect()} == {"en"}
 
 
+def test_copies_do_not_thin_out_the_learned_texts(make, monkeypatch):
+    """A text copied into most rows of a language leaves the bound of distinct texts as it is."""
+    rows = [(i, f"hello number {i} of many", "en") for i in range(30)] + [(100 + i, "the copied text", "en")
+                                                                          for i in range(3000)]
+    rows += [(5000 + i, f"una frase numero {i}", "es") for i in range(30)]
+    learned, fitted = [], langid.linear_svm
+    monkeypatch.setattr(langid, "linear_svm", lambda x, y, **k: learned.append((y > 0).sum()) or
+                        learned.append((y < 0).sum()) or fitted(x, y, **k))
+    langid.fit(make(rows), F.lit(True), per_language=20)
+    assert learned == [40, 40]                             # whole and short piece of 20 texts
+
+
 INSULTS = ["idiot", "moron", "trash", "scum"]
 
 
