@@ -243,7 +243,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows whose text has a language (the others are rejected); columns as given."""
+    """Rows whose text has a language (the others are rejected); columns as given.  Without any learned language
+    nothing can be rejected for its language: every text with a letter stays."""
+    if not model.families:
+        return docs.filter(has_letter(text_col))
     base = docs.select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
     kept = identify(base, model, text_col="text").filter(F.col("lang_pred") != UNKNOWN)
     return kept.select("row.*")

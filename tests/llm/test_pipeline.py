@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabflow.llm.catalog import vocabulary_file
@@ -68,6 +69,13 @@ def test_run_equals_the_stages(stages, spark):
         sorted(map(tuple, stages[5][["doc_id", "ids_sha256"]].values.tolist()))
 
 
+def test_language_stage_without_any_label(spark, stages):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, unlabelled, SF_SMALL)
+    assert {r.doc_id for r in kept.collect()} == set(stages[1].doc_id) and kept.columns == docs.columns
+
+
 def test_stages_on_empty_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
     for _, fn in corpus_pipeline.STAGES:
