@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from tabflow.learners.flows import JointFlow, SequentialFlow, with_row_id
 from tabflow.learners.hist_boost import BoostParams, best_splits, fit_boosted, predict_margin
 from tabflow.metrics import experiment, neighbors, scores, utility

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from tabflow.functions.noise import hash_uniform
 from tabflow.learners.flows import JointFlow, SequentialFlow
 from tabflow.learners.hist_boost import BoostParams, fit_boosted, predict_margin

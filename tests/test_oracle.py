@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from tabflow.plans.oracle_check import compare, duck_connect
 
 KEYS = sorted(E.oracle_sql())

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from tabflow.session import scratch_path
 from tabflow.sources import readers
 from tabflow.sources.registry import load_dataset

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from datasets import SF_SMALL
 from tabflow.operators import encode
 from tabflow.sources.registry import table
 from tabflow.streaming import transform
