@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm import decontaminate, gru_lm, jaccard, langid, pieces, secrets, sharding, superkmers, syncmers, toxicity
-from tabflow.llm import oracles
+from tabflow.llm import decontaminate, gru_lm, hard_negatives, jaccard, langid, pieces, secrets, sharding, superkmers
+from tabflow.llm import oracles, syncmers, token_counts, toxicity, variants
 from tabflow.llm.common import crc_mod, table
+from tabflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,9 +25,9 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def vocabulary_file() -> str:
+def vocabulary_file(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 @query("op1_secret_scan")
@@ -92,3 +93,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    label = F.when(v % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), v % 100 == 0, label)
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_forms(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty: nothing that another call has counted is used."""
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"),
+                                       scratch_path(spark, "token-counts"), keep=["doc_id"])
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
