@@ -105,34 +105,34 @@ def _bit(mixed: np.ndarray, lane: int) -> np.ndarray:
     return np.uint32(1) << (((key * _SALT[lane]) & _U(0xFFFFFFFF)) >> _U(27)).astype(np.uint32)
 
 
-def build_segment(mixed: np.ndarray, blocks: int, segment: int) -> np.ndarray:
-    """Lanes of one segment's blocks that hold all the given hashes."""
-    own = min(SEGMENT, blocks - segment * SEGMENT)
+def build_segment(mixed: np.ndarray, blocks: int, segment: int, size: int = SEGMENT) -> np.ndarray:
+    """Lanes of one segment's blocks (``size`` at most) that hold all the given hashes."""
+    own = min(size, blocks - segment * size)
     lanes = np.zeros((own, LANES), np.uint32)
-    at = (place(mixed, blocks) - _U(segment * SEGMENT)).astype(np.int64)
+    at = (place(mixed, blocks) - _U(segment * size)).astype(np.int64)
     for k in range(LANES):
         np.bitwise_or.at(lanes[:, k], at, _bit(mixed, k))
     return lanes
 
 
-def probe(mixed: np.ndarray, length: int, blocks: int, filters: Filters) -> np.ndarray:
+def probe(mixed: np.ndarray, length: int, blocks: int, filters: Filters, size: int = SEGMENT) -> np.ndarray:
     """Places of the hashes that a length's filter may hold, as far as its segments are in ``filters``."""
     block = place(mixed, blocks).astype(np.int64)
     found = []
-    segments = block // SEGMENT if blocks > SEGMENT else None
-    for s in range(-(-blocks // SEGMENT)):
+    segments = block // size if blocks > size else None
+    for s in range(-(-blocks // size)):
         lanes = filters.get((length, s))
         if lanes is None:
             continue
         at = np.arange(len(mixed)) if segments is None else np.flatnonzero(segments == s)
         for k in range(LANES):                        # few survive the first lanes
-            own = lanes[block[at] - s * SEGMENT, k]
+            own = lanes[block[at] - s * size, k]
             at = at[(own & _bit(mixed[at], k)) != 0]
         found.append(at)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def edits(points: np.ndarray, letters: np.ndarray, blocks: dict[int, int], filters: Filters
+def edits(points: np.ndarray, letters: np.ndarray, blocks: dict[int, int], filters: Filters, size: int = SEGMENT
           ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row of ``points``, code points of the edit) of the deletions and larger replacements that may be words."""
     n = points.shape[1]
@@ -149,7 +149,7 @@ def edits(points: np.ndarray, letters: np.ndarray, blocks: dict[int, int], filte
             first = np.ones(part.shape, bool)        # of equal neighbours only the first is deleted
             first[:, 1:] = part[:, 1:] != part[:, :-1]
             r, i = np.nonzero(first)
-            hit = probe(h[r, i], n - 1, blocks[n - 1], filters)
+            hit = probe(h[r, i], n - 1, blocks[n - 1], filters, size)
             if len(hit):
                 r, i = r[hit], i[hit]
                 kept = np.arange(n)[None, :] != i[:, None]
@@ -160,7 +160,7 @@ def edits(points: np.ndarray, letters: np.ndarray, blocks: dict[int, int], filte
                 old = part[:, c:c + cols, None]
                 larger = letters[None, None, :] > old
                 h = mix64((upto[:, -1:, None] + (letters[None, None, :] - old) * up[c:c + cols, None])[larger])
-                hit = probe(h, n, blocks[n], filters)
+                hit = probe(h, n, blocks[n], filters, size)
                 if len(hit):
                     r, i, k = (x[hit] for x in np.nonzero(larger))
                     made = part[r].copy()
@@ -174,7 +174,7 @@ def _texts(points: np.ndarray) -> list[str]:
     return [flat[i:i + n] for i in range(0, len(flat), n)]
 
 
-def near_pairs(vocab: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame:
+def near_pairs(vocab: DataFrame, filter_bytes: int = 64 << 20, segment: int = SEGMENT) -> DataFrame:
     """(word, n, near, near_n) for every ordered pair of words of ``vocab`` (word, n; words distinct) that are
     one edit apart.  ``vocab`` is read several times and should be stored."""
     spark = vocab.sparkSession
@@ -182,15 +182,15 @@ def near_pairs(vocab: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame:
     letters = np.array(sorted(ord(r["c"]) for r in vocab.select(F.explode(F.split("word", "")).alias("c"))
                               .where("c <> ''").distinct().collect()), np.uint64)
     blocks = {n: -(-c // KEYS_PER_BLOCK) for n, c in sizes.items()}
-    hashed = vocab.select("word").mapInArrow(_hash_rows(blocks), "length int, segment int, h long")
+    hashed = vocab.select("word").mapInArrow(_hash_rows(blocks, segment), "length int, segment int, h long")
     built = materialize(hashed.groupBy("length", "segment").applyInPandas(
-        _segment_rows(blocks), "length int, segment int, lanes binary"))
+        _segment_rows(blocks, segment), "length int, segment int, lanes binary"))
     found = None
-    for part in _rounds(blocks, filter_bytes):
+    for part in _rounds(blocks, filter_bytes, segment):
         wanted = spark.createDataFrame(part, "length int, segment int")
         held = spark.sparkContext.broadcast(
             {(r["length"], r["segment"]): bytes(r["lanes"]) for r in built.join(F.broadcast(wanted), ["length", "segment"]).collect()})
-        got = vocab.mapInArrow(_probe_rows(held, letters, blocks), "word string, n long, edit string")
+        got = vocab.mapInArrow(_probe_rows(held, letters, blocks, segment), "word string, n long, edit string")
         found = got if found is None else found.unionByName(got)
     if found is None:
         return vocab.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
@@ -201,49 +201,49 @@ def near_pairs(vocab: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame:
     return both.select("p.*")
 
 
-def _rounds(blocks: dict[int, int], limit: int) -> Iterator[list[tuple[int, int]]]:
+def _rounds(blocks: dict[int, int], limit: int, size: int) -> Iterator[list[tuple[int, int]]]:
     """Segments of all lengths, as many at a time as ``limit`` bytes hold (one at least)."""
-    part, size = [], 0
+    part, total = [], 0
     for n in sorted(blocks):
-        for s in range(-(-blocks[n] // SEGMENT)):
-            own = min(SEGMENT, blocks[n] - s * SEGMENT) * LANES * 4
-            if part and size + own > limit:
+        for s in range(-(-blocks[n] // size)):
+            own = min(size, blocks[n] - s * size) * LANES * 4
+            if part and total + own > limit:
                 yield part
-                part, size = [], 0
+                part, total = [], 0
             part.append((n, s))
-            size += own
+            total += own
     if part:
         yield part
 
 
-def _hash_rows(blocks: dict[int, int]):
+def _hash_rows(blocks: dict[int, int], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, points in _by_length(batch.column("word").to_pylist()):
                 n = points.shape[1]
                 h = mix64(word_hashes(points))
-                segment = (place(h, blocks[n]) // _U(SEGMENT)).astype(np.int32)
+                segment = (place(h, blocks[n]) // _U(size)).astype(np.int32)
                 yield pa.record_batch([pa.array(np.full(len(h), n, np.int32)), pa.array(segment), pa.array(h.view(np.int64))],
                                       names=["length", "segment", "h"])
     return run
 
 
-def _segment_rows(blocks: dict[int, int]):
+def _segment_rows(blocks: dict[int, int], size: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n, s = int(key[0]), int(key[1])
-        lanes = build_segment(rows["h"].to_numpy(np.int64).view(np.uint64), blocks[n], s)
+        lanes = build_segment(rows["h"].to_numpy(np.int64).view(np.uint64), blocks[n], s, size)
         return pd.DataFrame({"length": [n], "segment": [s], "lanes": [lanes.tobytes()]})
     return run
 
 
-def _probe_rows(held, letters: np.ndarray, blocks: dict[int, int]):
+def _probe_rows(held, letters: np.ndarray, blocks: dict[int, int], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {k: np.frombuffer(v, np.uint32).reshape(-1, LANES) for k, v in held.value.items()}
         for batch in batches:
             words = batch.column("word").to_pylist()
             n = batch.column("n").to_numpy()
             for at, points in _by_length(words):
-                for r, made in edits(points, letters, blocks, filters):
+                for r, made in edits(points, letters, blocks, filters, size):
                     own = at[r]
                     yield pa.record_batch([pa.array([words[i] for i in own], pa.string()), pa.array(n[own]),
                                            pa.array(_texts(made), pa.string())], names=["word", "n", "edit"])
