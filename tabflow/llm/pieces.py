@@ -10,9 +10,11 @@ none is left.  Places from which no continuation exists are set in a bitfield an
 never entered again, so the work is linear in the text.  Compatibility is decided
 by re-merging the two tokens' characters and remembered.
 
-No token crosses a place where a space follows another character, or a character
-that occurs in no longer token; text is cut there first and the pieces' ids are
-kept in a bounded cache (cleared when full), as words repeat.
+No token crosses a place where a space follows another character, or a letter is followed
+by a character that no entry has after a letter (most punctuation), or a character that
+occurs in no longer token; text is cut there first and the pieces' ids are
+kept in two bounded caches (cleared when full), as words repeat: pieces met once, and
+pieces met again, which the stream of rare ones cannot push out.
 
 Defined cases: null text is empty; an empty text is begin and end only; characters
 outside the vocabulary become their UTF-8 byte tokens; an empty table gives an
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_ITEMS = 150_000                   # pieces kept; twice as many pairs
+CACHE_ITEMS = 200_000                   # pieces kept (half of them met once); twice as many pairs
+
+
+#: Letters and digits after which a piece may end.
+LATIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN = re.compile(f"[{LATIN}]")
+
+
+class _Single(dict):
+    """Ids of single characters; -1 for others."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
 
 
 class PieceCodec:
@@ -57,22 +73,31 @@ class PieceCodec:
         joined = {c for p in normal if len(p) > 1 for c in p}
         inner = any(SPACE in p.lstrip(SPACE) for p in normal)
         barriers = [c for c in "\n\t\r" if c not in joined]
-        #: Cut before a run of spaces and around characters that never merge.
+        #: Cut before a run of spaces, around characters that never merge, and after a Latin letter or digit
+        #: before a character that follows none in any entry (punctuation).
+        after = {c for p in normal for a, c in zip(p, p[1:]) if _LATIN.match(a)}
         stop = "".join(map(re.escape, barriers))
+        glued = "".join(re.escape(c) for c in sorted(after) if not _LATIN.match(c) and c not in (SPACE, *barriers))
+        other = f"[^{SPACE}{stop}{LATIN}]*"
+        more = f"(?:[{glued}]{other}[{LATIN}]*)*" if glued else ""
         if inner:
             self.cut = re.compile(r"[\s\S]+")
         else:
-            self.cut = re.compile(f"[{stop}]|{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" if stop else
-                                  f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+            self.cut = re.compile((f"[{stop}]|" if stop else "") +
+                                  f"{SPACE}*{other}[{LATIN}]+{more}|{SPACE}*[^{SPACE}{stop}{LATIN}]+|{SPACE}+")
         #: Only entries that merging their own characters gives; others never come out of the rule.
         self.reachable = {p for p in normal if len(p) == 1 or self.merge(p) == [p]}
         self.trie = ahocorasick.Automaton()
+        self.size = [1] * (len(self.surface) + 1)         # the last stands for a character outside the vocabulary (-1)
         for p in self.reachable:
-            self.trie.add_word(p, (len(p) - 1, p))
+            self.size[self.id_of[p]] = len(p)
+            self.trie.add_word(p, (len(p) - 1, self.id_of[p]))
         self.trie.make_automaton()
-        self.shorter: dict[str, str] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.single = _Single({p: self.id_of[p] for p in self.reachable if len(p) == 1})
+        self.shorter: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.kept: dict[str, bytes] = {}                  # pieces met again, and pieces met once
+        self.fresh: dict[str, bytes] = {}
         self.pieces_of = np.array([p.replace(SPACE, " ") if i not in self.silent else ""
                                    for i, p in enumerate(self.surface)], object)
         self.is_byte = np.zeros(len(self.surface), bool)
@@ -96,78 +121,99 @@ class PieceCodec:
                 gain[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) >= 2 * CACHE_ITEMS:
-                self.pairs.clear()
-            got = (left + right not in self.score or left + right not in self.reachable) \
-                and self.merge(left + right) == [left, right]
-            self.pairs[left, right] = got
-        return got
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging two tokens' characters from scratch gives the two tokens back."""
+        if len(self.pairs) >= 2 * CACHE_ITEMS:
+            self.pairs.clear()
+        a, b = (self.surface[i] if i >= 0 else "" for i in (left, right))
+        ok = left < 0 or right < 0 or (a + b not in self.reachable and self.merge(a + b) == [a, b])
+        self.pairs[left << 20 | right] = ok
+        return ok
 
-    def _next_shorter(self, token: str) -> str:
-        """Longest reachable vocabulary entry that is a proper prefix of a token ('' if none)."""
-        got = self.shorter.get(token)
-        if got is None:
-            got = ""
-            for k in range(len(token) - 1, 0, -1):
-                if k == 1 or token[:k] in self.reachable:
-                    got = token[:k]
-                    break
-            self.shorter[token] = got
+    def _next_shorter(self, token: int) -> int:
+        """Longest reachable vocabulary entry that is a proper prefix of a token (-2 if none)."""
+        got = -2
+        text = self.surface[token] if token >= 0 else ""
+        for k in range(len(text) - 1, 0, -1):
+            if k == 1 or text[:k] in self.reachable:
+                got = self.single.get(text[0], -1) if k == 1 else self.id_of[text[:k]]
+                break
+        self.shorter[token] = got
         return got
 
-    def tokens(self, text: str) -> list[str]:
-        """Token strings of a text without the begin and end marks (a character outside the
-        vocabulary stands for itself)."""
+    def tokens(self, text: str) -> list[int]:
+        """Ids of a text without the begin and end marks (-1: a character outside the vocabulary)."""
         n = len(text)
-        longest = list(text)                              # one character is always a match
-        for end, (back, piece) in self.trie.iter(text):   # ends ascend: the last match from a place is the longest
-            longest[end - back] = piece
-        failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, token = 0, longest[0] if n else ""
-        while at < n:
-            end = at + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                if at < n:
-                    token = longest[at]
-                continue
-            token = self._next_shorter(token)
-            while not token:
-                failed[at >> 3] |= 1 << (at & 7)
-                last = out.pop()
-                at -= len(last)
-                token = self._next_shorter(last)
-        return out
+        if not n:
+            return []
+        size, shorter, pairs = self.size, self.shorter.get, self.pairs.get
+        longest = list(map(self.single.__getitem__, text))     # one character is always a match
+        for end, (back, i) in self.trie.iter(text):       # ends ascend: the last match from a place is the longest
+            longest[end - back] = i
+        failed = 0                                        # bitfield of places without a continuation
+        out: list[int] = []
+        at, token, last = 0, longest[0], -1
+        while True:
+            end = at + size[token]
+            if not failed >> end & 1:
+                ok = pairs(last << 20 | token)
+                if ok is None:
+                    ok = self.compatible(last, token)
+                if ok:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
+            tried = token
+            token = shorter(tried)
+            if token is None:
+                token = self._next_shorter(tried)
+            while token == -2:
+                failed |= 1 << at
+                gone = out.pop()
+                at -= size[gone]
+                last = out[-1] if out else -1
+                token = shorter(gone)
+                if token is None:
+                    token = self._next_shorter(gone)
 
     def _piece_ids(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for t in self.tokens(piece):
-            i = self.id_of.get(t)
-            ids += [i] if i is not None else [self.byte_id[b] for b in t.encode("utf-8", "surrogatepass")]
-        return np.array(ids, "<u4").tobytes()
+        ids = self.tokens(piece)
+        if -1 in ids:
+            at, full = 0, []
+            for i in ids:
+                full += [i] if i >= 0 else [self.byte_id[b] for b in piece[at].encode("utf-8", "surrogatepass")]
+                at += self.size[i]
+            ids = full
+        return _packed(ids)
+
+    def _new_piece(self, piece: str) -> bytes:
+        """Ids of a piece that is not kept; a piece met again is kept, so that the many rare ones don't push out the common."""
+        ids = self.fresh.pop(piece, None)
+        if ids is not None:
+            if len(self.kept) >= CACHE_ITEMS // 2:
+                self.kept.clear()
+            self.kept[piece] = ids
+            return ids
+        ids = self._piece_ids(piece)
+        if len(piece) <= 64:
+            if len(self.fresh) >= CACHE_ITEMS // 2:
+                self.fresh.clear()
+            self.fresh[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end marks, as little-endian unsigned 32-bit integers."""
-        out = [np.array([self.bos], "<u4").tobytes()]
+        got: list[bytes] = []
         if text:
-            escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-            cache = self.cache
-            for piece in self.cut.findall(escaped):
-                ids = cache.get(piece)
-                if ids is None:
-                    ids = self._piece_ids(piece)
-                    if len(cache) >= CACHE_ITEMS:
-                        cache.clear()
-                    if len(piece) <= 64:
-                        cache[piece] = ids
-                out.append(ids)
-        out.append(np.array([self.eos], "<u4").tobytes())
-        return b"".join(out)
+            pieces = self.cut.findall((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))
+            got = list(map(self.kept.get, pieces))
+            if None in got:
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        got[i] = self._new_piece(pieces[i])
+        return b"".join([_packed([self.bos]), *got, _packed([self.eos])])
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, runs of byte tokens read as UTF-8, marks left out, the added first space dropped."""
@@ -183,6 +229,14 @@ class PieceCodec:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 _CODECS: dict[str, PieceCodec] = {}
 
 
