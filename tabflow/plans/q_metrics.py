@@ -92,6 +92,34 @@ def q_wasserstein1_lower(spark, sf):
     return transport.wasserstein1_lower(real, fake, MS_COLS).select(r6("w1_lower").alias("w1_lower"))
 
 
+def _w1_upper_sql(levels=6, seed=1):
+    """The quadtree bound level by level: equal points, then cells of doubling width."""
+    n = range(len(MS_COLS))
+    keys = [f"CAST(floor(({c} - l{i} + {sql_uniform('shift', seed, i)} * side) / (2.0 * side) * {float(2 ** levels)!r}) AS BIGINT)"
+            for i, c in enumerate(MS_COLS)]
+    ends = ", ".join(f"min({c}) AS l{i}, max({c}) - min({c}) AS s{i}" for i, c in enumerate(MS_COLS))
+    sql = MS_SQL + f""", ends AS (SELECT CAST(sum(CASE WHEN is_real THEN 1 ELSE 0 END) AS DOUBLE) AS np,
+    CAST(sum(CASE WHEN is_real THEN 0 ELSE 1 END) AS DOUBLE) AS nq, {ends} FROM m),
+e AS (SELECT *, greatest({', '.join(f's{i}' for i in n)}) AS side FROM ends),
+t0 AS (SELECT sum(CASE WHEN is_real THEN 1 ELSE 0 END) / min(np) - sum(CASE WHEN is_real THEN 0 ELSE 1 END) / min(nq) AS d,
+       0.0::DOUBLE AS cost, {', '.join(f'{c} AS lo{i}, {c} AS hi{i}, min({k}) AS k{i}' for i, (c, k) in enumerate(zip(MS_COLS, keys)))}
+       FROM m, e GROUP BY {', '.join(MS_COLS)})"""
+    extent = " + ".join(f"(max(hi{i}) - min(lo{i}))" for i in n)
+    for level in range(levels + 1):
+        ks = ", ".join(f"k{i} >> {min(level, 1)}" for i in n)
+        sql += f""",
+t{level + 1} AS (SELECT sum(d) AS d, sum(cost) + ({extent}) * (sum(abs(d)) - abs(sum(d))) / 2 AS cost,
+    {', '.join(f'min(lo{i}) AS lo{i}, max(hi{i}) AS hi{i}, k{i} >> {min(level, 1)} AS k{i}' for i in n)}
+    FROM t{level} GROUP BY {ks})"""
+    return sql + f" SELECT round(sum(cost), 6) AS w1_upper FROM t{levels + 1}"
+
+
+@query("wasserstein1_upper", sql=_w1_upper_sql())
+def q_wasserstein1_upper(spark, sf):
+    real, fake = _customer_metric_space(spark, sf)
+    return transport.wasserstein1_upper(real, fake, MS_COLS, levels=6, seed=1).select(r6("w1_upper").alias("w1_upper"))
+
+
 def _sliced_sql(n_proj=8, seed=1):
     projs = []
     for j in range(n_proj):
@@ -122,7 +150,7 @@ def q_sliced_w1(spark, sf):
 SELECT r.c_custkey AS row_id, round(min({_l1_sql('r', 'f')}), 6) AS nearest FROM r, f GROUP BY r.c_custkey""")
 def q_pairwise_l1(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
-    d = neighbors.nearest_distance(real, fake, MS_COLS, "row_id", [SEG_COLS], 0.5)
+    d = neighbors.nearest_distance(real, fake, MS_COLS, "row_id")
     return d.select("row_id", r6("nearest").alias("nearest"))
 
 
@@ -136,7 +164,7 @@ def _kth_query(k_rank, name):
     def fn(spark, sf):
         real = _whole_metric_space(spark, sf)
         pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
-        d = neighbors.kth_distance(pts.select("pid", "__s", *MS_COLS), pts, MS_COLS, k_rank, [SEG_COLS], 0.5)
+        d = neighbors.kth_distance(pts, pts, MS_COLS, k_rank)
         back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
         return back.join(d, on="pid").select(F.col("row_id").alias("c_custkey"), r6("dist").alias(name))
     return fn
@@ -149,7 +177,7 @@ query("kth_smallest", sql=MS_SQL + _kth_sql(3).format(name="kth"))(_kth_query(3,
 def q_knn_radius(spark, sf):
     real = _whole_metric_space(spark, sf)
     pts = neighbors.dedupe_points(real, MS_COLS, "row_id")
-    rad = neighbors.knn_radius(pts, MS_COLS, 5, [SEG_COLS], 0.5)
+    rad = neighbors.knn_radius(pts, MS_COLS, 5)
     back = real.join(pts.select("pid", *MS_COLS), on=MS_COLS)
     return back.join(rad, on="pid").select(F.col("row_id").alias("c_custkey"), r6("radius").alias("radius"))
 
@@ -175,14 +203,14 @@ WHERE cov >= 0.95"""
 @query("coverage", sql=_coverage_sql(MS_SQL, MS_COLS, "c_custkey", "SELECT 5 AS k"))
 def q_coverage(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
-    v = neighbors.coverage(real, fake, MS_COLS, 5, "row_id", [SEG_COLS], 0.5)
+    v = neighbors.coverage(real, fake, MS_COLS, 5, "row_id")
     return spark.createDataFrame([(round(float(v), 6),)], "coverage double")
 
 
 @query("coverage_auto_k", sql=_coverage_sql(MS_SQL, MS_COLS, "c_custkey", _auto_k_sql(MS_COLS)))
 def q_coverage_auto_k(spark, sf):
     real, fake = _customer_metric_space(spark, sf)
-    cp = neighbors.covered_points(real, fake, MS_COLS, neighbors.auto_k(real, MS_COLS), "row_id", [SEG_COLS], 0.5)
+    cp = neighbors.covered_points(real, fake, MS_COLS, neighbors.auto_k(real, MS_COLS), "row_id")
     return cp.agg(F.round(F.sum(F.when(F.col("covered"), F.col("m")).otherwise(0)) / F.sum("m"), 6)
                   .alias("coverage"))
 
@@ -443,8 +471,7 @@ def flagship(spark, sf):
     fake = marginal_fake_orders(spark, sf)
     real_m, fake_m, _, _ = encode.metric_space(o, fake.select(*o.columns), ["o_totalprice"],
                                                ["o_orderstatus", "o_orderpriority"])
-    blocks = [FLAG_COLS[1:4], FLAG_COLS[4:]]
-    v = neighbors.coverage(real_m, fake_m, FLAG_COLS, 5, "row_id", blocks, 0.5)
+    v = neighbors.coverage(real_m, fake_m, FLAG_COLS, 5, "row_id")
     return spark.createDataFrame([(round(float(v), 6),)], "coverage double")
 
 

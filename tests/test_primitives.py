@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tabflow.functions.noise import hash_uniform
@@ -107,7 +108,7 @@ def test_rk4_half_step_levels():
     assert [solvers.level_of(i, True, 50) for i in range(4)] == [0, 2, 2, 4]
 
 
-def test_blocked_knn_matches_brute_force(spark):
+def test_knn_with_onehot_columns_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     n = 150
     cont = rng.random(n).round(3)
@@ -123,5 +124,61 @@ def test_blocked_knn_matches_brute_force(spark):
         radius = np.sort(D, axis=1)[:, k]
         dmin = np.abs(X[:, None, :] - Fk[None, :, :]).sum(-1).min(axis=1)
         want = float(np.mean(dmin < radius))
-        got = neighbors.coverage(real, fake, cols, k, blocks=[["d0", "d1", "d2"]], gap=0.5)
+        got = neighbors.coverage(real, fake, cols, k)
         assert abs(got - want) < 1e-12
+
+
+def _l1(a, b):
+    return np.abs(a[:, None, :] - b[None, :, :]).sum(-1)
+
+
+def test_cells_are_exact_over_leaves_parts_copies_and_groups(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    X = np.round(rng.normal(size=(900, 3)) * rng.choice([0.1, 1, 10], (900, 1)), 3)
+    g = rng.integers(0, 2, 900)
+    df = spark.createDataFrame(pd.DataFrame(X, columns=list("abc")).assign(row_id=np.arange(900), grp=g))
+    monkeypatch.setattr(neighbors, "CELL", 40)
+    monkeypatch.setattr(neighbors, "SHARE", 25)
+    pts = neighbors.dedupe_points(df, list("abc"), "row_id", "grp")
+    got = {(r.grp, r.pid): r.radius for r in neighbors.knn_radius(pts, list("abc"), 4, "grp").collect()}
+    for i in (0, 1):
+        ids = np.flatnonzero(g == i)
+        D = np.sort(_l1(X[ids], X[ids]), axis=1)[:, 4]
+        assert all(np.isclose(got[i, r], d) for r, d in zip(ids.tolist(), D) if (i, r) in got)
+    assert len(got) == pts.count()
+
+
+def test_boxes_spare_pairs_on_a_clustered_column(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    X = np.concatenate([rng.normal(c, 0.01, (500, 2)) for c in (0, 5, 10, 15, 20, 25, 30, 35)])
+    monkeypatch.setattr(neighbors, "CELL", 100)
+    df = spark.createDataFrame(pd.DataFrame(X, columns=["a", "b"]).assign(pid=np.arange(4000), m=1))
+    cells = neighbors.Cells(df, ["a", "b"])
+    asked = cells.queries(df)
+    first = cells.meet(cells.visits(asked, True), 6)
+    near = asked.drop("lim").join(neighbors._reached(first, 6).withColumnRenamed("dist", "lim"), ["g", "pid"])
+    n = near.select("g", "pid", "lim", "x")
+    visited = cells.visits(n, False).count() + 4000
+    assert visited < 4000 * 4 and len(cells.leaves) >= 32            # of 32 cells and more, fewer than 4 a point
+
+
+def test_a_missing_coordinate_raises(spark):
+    df = spark.createDataFrame([(i, float(i), None if i == 3 else 1.0) for i in range(9)], "row_id long, a double, b double")
+    with pytest.raises(RuntimeError):
+        neighbors.nearest_distance(df, df, ["a", "b"])
+
+
+def test_transport_lies_between_its_bounds(spark):
+    from itertools import permutations
+    rng = np.random.default_rng(8)
+    for n, same in ((6, 0), (7, 3)):
+        P, Q = rng.normal(size=(n, 2)), rng.normal(size=(n, 2)) + 0.5
+        Q[:same] = P[:same]
+        D = _l1(P, Q)
+        exact = min(sum(D[i, j] for i, j in enumerate(o)) for o in permutations(range(n))) / n
+        p, q = (spark.createDataFrame(pd.DataFrame(a, columns=["a", "b"])) for a in (P, Q))
+        lower = transport.wasserstein1_lower(p, q, ["a", "b"]).first()[0]
+        upper = transport.wasserstein1_upper(p, q, ["a", "b"], levels=9).first()[0]
+        assert lower <= exact + 1e-9 and exact <= upper + 1e-9 and upper < 6 * exact
+    assert transport.wasserstein1_upper(p, p, ["a", "b"]).first()[0] == 0
+    assert transport.wasserstein1_upper(p, q.limit(0), ["a", "b"]).first()[0] is None
