@@ -638,7 +638,7 @@ class FittedJoint:
     def raw_sample(self, n: int | DataFrame, seed: int = 0, n_steps: int | None = None,
                    partitions: int | None = None, covariates: list | None = None) -> DataFrame:
         from pyspark.sql import SparkSession
-        spark = n.sparkSession if isinstance(n, DataFrame) else SparkSession.getActiveSession()
+        spark = n.sparkSession if isinstance(n, DataFrame) else SparkSession.builder.getOrCreate()
         if isinstance(n, DataFrame):
             rows = n.select(F.col(n.columns[0]).cast("long").alias("row_id"),
                             *[F.col(cv).cast("double").alias(f"cov{i}") for i, cv in enumerate(covariates or [])])

@@ -183,6 +183,10 @@ CATS = ["o_orderpriority"]
 TARGET = "o_orderstatus"
 UP = utility.UtilityParams(max_iter=100, ada_rounds=5, forest_trees=20, forest_depth=8, boost_rounds=5,
                            boost_depth=3, seeds=1)
+EXP_REG = BoostParams(n_rounds=3, depth=3, eta=0.3, lam=0.0)
+EXP_CLF = BoostParams(n_rounds=4, depth=3, eta=0.1, lam=0.0, objective="softmax")
+EXP = utility.UtilityParams(max_iter=100, ada_rounds=5, forest_trees=10, forest_depth=5, boost_rounds=3,
+                            boost_depth=3, seeds=1)
 
 
 def _split(spark, sf):
@@ -251,9 +255,8 @@ def q_utility_real_fake_both(spark, sf):
 
 @query("run_experiment")
 def q_run_experiment(spark, sf):
-    """Every method on the same split of orders, one generated set each (small settings, the linear
-    learner; ``utility_real_fake_both`` runs all four)."""
+    """All five methods, three splits, five generated sets of each, four learners on real, generated and
+    both; the models keep the small settings of this module."""
     df, spec = _orders(spark, sf)
-    e = experiment.Experiment(nexp=1, ngen=1, flow={**SMALL, "reg": REG}, clf=CLF, scoring=UP,
-                              learners=("lin",))
+    e = experiment.Experiment(nexp=3, ngen=5, flow={**SMALL, "reg": EXP_REG}, clf=EXP_CLF, scoring=EXP)
     return experiment.summarize(experiment.run(df, spec, "orders", e=e))
