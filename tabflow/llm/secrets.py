@@ -1,17 +1,18 @@
 """Secret scan with a random forest that removes false positives (DataFrame functions and JVM learner only).
 
-Candidates are runs of at least ``MIN_LENGTH`` key characters with a digit, found in the
-white-space words of whole texts.  Features of a candidate: length, character classes and
+Candidates, found in the white-space words of whole texts: values of at least ``MIN_VALUE``
+characters behind a credential's name and a sign (``password = ...``, ``"token": ...``,
+``api_key=...``), passwords of addresses (``scheme://user:...@host``), and runs of at least
+``MIN_LENGTH`` key characters with a digit anywhere.  Features of a candidate: length, character classes and
 transitions between them, distinct characters, dictionary coverage (the share of its
-letter runs that occur as words of the corpus; counted over all documents), the path it
+letter runs that occur as words of the corpus outside candidates; counted over all documents), the path it
 stands in, and neighbouring words (hashed).  A random forest trained on labelled findings
 decides which candidates are secrets.
 
-``label_findings`` is the labelling used where a table brings no labels of its own:
-findings of a known key form behind an assignment are positive; plain numbers, times,
-addresses, paths and candidates without any assignment around them are negative; the
-rest stay unlabelled.  At most ``TRAIN_ROWS`` labelled findings (smallest hash) are used
-for fitting, a bound given as a parameter.
+``label_findings`` is the labelling used where a table brings no labels of its own (weak
+labels by rule; ambiguous findings stay unlabelled, and any other function may be passed).
+At most ``TRAIN_ROWS`` labelled findings (smallest hash) are used for fitting, a bound
+given as a parameter.  Dictionary words are counted outside of candidates.
 
 Defined cases: null text has no candidates; a candidate that occurs several times is
 reported each time; rows that are equal report equal findings; if the labelled findings
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from tabflow.llm.common import row_hash
 from tabflow.session import materialize
 
-MIN_LENGTH = 16
+MIN_LENGTH = 16                         # of a run of key characters anywhere
+MIN_VALUE = 6                           # of a value behind a credential's name or in an address
 TRAIN_ROWS = 20_000
 HASHED = 16                             # hashed places for each neighbouring word
 MASK = "[SECRET]"
@@ -38,19 +40,43 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _RUN = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}"
 #: Names that announce a credential.
 _NAMES = r"(?i)(token|secret|passwd|password|api_?key|access_?key|auth|credential|private_?key)"
+_SIGN = r"[\"'`]?(=>|:=|==?|:)"
+#: ``name=value`` in one word; the end of ``name =``; the password of ``scheme://user:password@host``.
+_INSIDE = rf"{_NAMES}\w*{_SIGN}[\"'`]?([^\"'`,;]{{{MIN_VALUE},}})"
+_OPEN = rf"{_NAMES}\w*{_SIGN}$"
+_ADDRESS = rf"[A-Za-z][A-Za-z0-9+.\-]*://[^/:@]+:([^/@]{{{MIN_VALUE},}})@"
+#: Published prefixes and lengths of well-known access keys.
+_KNOWN = (r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}"
+          r"|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9]{20,})$")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, pos, nth, found, word, before, before2, after) of every candidate."""
+    """(doc_id, key, pos, nth, found, kind, word, before, before2, after) of every candidate; ``kind``: ``value`` behind a
+    credential's name, ``address`` (password of an address) or ``run`` of key characters with a digit."""
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), _SPACE)
     rows = docs.select(F.col(id_col).alias("doc_id"), row_hash(id_col, text_col).alias("key"), words.alias("words"))
+    near = {n: F.coalesce(F.get("words", F.col("pos") + k), F.lit("")) for n, k in (("before2", -2), ("before", -1), ("after", 1))}
+    w, last = F.col("word"), F.substring(near["before"], -1, 1)
+    sign = near["before"].isin("=", ":", "=>", ":=", "==")
+    behind = (F.length("word") >= MIN_VALUE) & last.isin("=", ":", ">") & F.when(
+        sign, near["before2"].rlike(rf"{_NAMES}\w*[\"'`]?$")).otherwise(near["before"].rlike(_OPEN))
+    marked = (w.contains("=") | w.contains(":")) & (w.rlike(_INSIDE) | w.rlike(_ADDRESS))
     word = (rows.select("doc_id", "key", "words", F.posexplode("words").alias("pos", "word"))
-            .filter((F.length("word") >= MIN_LENGTH) & F.col("word").rlike("[0-9]")))
-    near = [F.coalesce(F.get("words", F.col("pos") + k), F.lit("")).alias(n)
-            for n, k in (("before2", -2), ("before", -1), ("after", 1))]
-    runs = word.select("doc_id", "key", "pos", "word", *near,
-                       F.posexplode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))).alias("nth", "found"))
-    return runs.filter(F.col("found").rlike("[0-9]"))
+            .filter(((F.length("word") >= MIN_LENGTH) & w.rlike("[0-9]")) | marked | behind)
+            .select("doc_id", "key", "pos", "word", behind.alias("behind"), *[c.alias(n) for n, c in near.items()]))
+    bare = F.when(w.rlike(r"^[\"'`]"), F.regexp_extract("word", r"^[\"'`]+([^\"'`]*)", 1)) \
+        .otherwise(F.regexp_replace("word", r"^[(\[{]+|[\"'`)\]},;.]+$", ""))
+    address = F.regexp_extract("word", _ADDRESS, 1)
+    value = F.when(address != "", F.lit("")).when(F.col("behind"), bare).otherwise(
+        F.regexp_replace(F.regexp_extract("word", _INSIDE, 3), r"[)\]},;.]+$", ""))
+    fits = lambda x: F.length(x) >= MIN_VALUE
+    one = lambda kind: lambda x: F.struct(x.alias("found"), F.lit(kind).alias("kind"))
+    named = F.concat(F.transform(F.filter(F.array(address), fits), one("address")), F.transform(F.filter(F.array(value), fits), one("value")))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)),
+                    lambda r: r.rlike("[0-9]") & ~F.contains(address, r) & ~F.contains(value, r))
+    found = word.select("doc_id", "key", "pos", "word", "before2", "before", "after",
+                        F.posexplode(F.concat(named, F.transform(runs, one("run")))).alias("nth", "c"))
+    return found.select("doc_id", "key", "pos", "nth", "c.found", "c.kind", "word", "before2", "before", "after")
 
 
 def _letter_runs(col: str) -> Column:
@@ -58,13 +84,13 @@ def _letter_runs(col: str) -> Column:
 
 
 def dictionary(docs: DataFrame, found: DataFrame, text_col: str = "text", least: int = 3) -> DataFrame:
-    """(run): letter runs of candidates that occur at least ``least`` times as words of the corpus."""
-    runs = found.select(F.explode(_letter_runs("found")).alias("run")).distinct()
+    """(run): letter runs of candidates that occur at least ``least`` times in the corpus outside candidates."""
+    runs = found.select(F.explode(_letter_runs("found")).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("own"))
     if runs.count() <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
     tokens = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^a-z]+")).alias("run"))
     return (tokens.filter(F.length("run") >= 3).join(runs, "run")
-            .groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("run"))
+            .groupBy("run").agg((F.count(F.lit(1)) - F.max("own")).alias("n")).filter(F.col("n") >= least).select("run"))
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -92,20 +118,28 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("word", "[^/.]", "")),                        # depth of the path it stands in
         around.rlike("[=:]").cast("double"), around.rlike(_NAMES).cast("double"),
         F.col("word").rlike("^[\"'`]").cast("double"),
+        (F.col("kind") == "value").cast("double"), (F.col("kind") == "address").cast("double"),
+        c.rlike(_KNOWN).cast("double"), c.rlike("[0-9]").cast("double"),
     ]
     return (found.join(covered, ["key", "pos", "nth"], "left")
             .withColumn("features", array_to_vector(F.array(*[F.coalesce(x.cast("double"), F.lit(0.0))
                                                               for x in plain + hashed])))
-            .drop("covered"))
+            .withColumn("known_share", F.least(F.coalesce(F.col("covered"), F.lit(0)) / n, F.lit(1.0))).drop("covered"))
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """Adds ``label`` (1.0, 0.0 or null) by rule."""
+    """Adds ``label`` (1.0, 0.0 or null) by rule: well-known keys and named values that are not made of dictionary words
+    are secrets; named values that are, plain short words, numbers, paths, and runs that neither a name nor a known form marks are not;
+    the rest (passwords in addresses, runs near a name, for example) stay for the forest to judge."""
     c, around = F.col("found"), F.concat_ws(" ", "before2", "before", "word")
-    form = c.rlike("^([0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_\\-]{20,})$") & c.rlike("[A-Za-z]")
-    assigned = around.rlike("[=:]") & around.rlike(_NAMES)
-    return found.withColumn("label", F.when(form & assigned, 1.0).when(c.rlike("^[0-9_+/\\-]+$"), 0.0)
-                            .when(F.col("word").rlike("@|://|^/"), 0.0).when(~around.rlike("[=:]"), 0.0))
+    short = c.rlike("^[A-Z]?[a-z]+$") & (F.length(c) < MIN_LENGTH)
+    plain = (F.col("known_share") >= 0.6) | short | c.rlike("^[0-9_+/.:\\-]+$") | c.rlike("^(https?|file|/|\\$|<|%)")
+    value = F.col("kind") == "value"
+    return found.withColumn("label", F.when(c.rlike(_KNOWN), 1.0).when(value & plain, 0.0)
+                            .when(value & (F.col("known_share") <= 0.2), 1.0).when(value, F.lit(None).cast("double"))
+                            .when(F.col("kind") == "address", F.when(~plain, 1.0))
+                            .when(c.rlike("^[0-9_+/\\-]+$") | F.col("word").rlike("@|://|^/"), 0.0)
+                            .when(~(around.rlike("[=:]") & around.rlike(_NAMES)), 0.0))
 
 
 def scan(docs: DataFrame, labelled=label_findings, threshold: float = 0.5, train_rows: int = TRAIN_ROWS,

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import zlib
 from collections import Counter
 
@@ -153,3 +154,37 @@ def test_secret_scan_finds_every_assignment_of_the_tables(spark):
                        .alias("k")).collect()
     got = {r.found for r in secrets.scan(docs).collect() if r.is_secret}
     assert {r.k for r in want} <= got
+
+
+def test_secret_scan_finds_six_forms_and_leaves_clean_ones(spark):
+    """Thirty of each form among the documents of the tables; hashes, paths, ids and plain words stay."""
+    rng = random.Random(3)
+    letters, upper = string.ascii_letters, string.ascii_uppercase + string.digits
+    draw = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    hexa = "0123456789abcdef"
+    forms = {"hex": lambda v: f'token = "{v}"', "short": lambda v: f"password = {v}", "letters": lambda v: f"secret: {v}",
+             "aws": lambda v: v, "git": lambda v: v, "url": lambda v: f"https://user:{v}@host"}
+    value = {"hex": lambda: draw(40, hexa), "short": lambda: draw(9, letters + string.digits) + "!",
+             "letters": lambda: draw(40, letters), "aws": lambda: "AKIA" + draw(16, upper),
+             "git": lambda: "ghp_" + draw(36, letters + string.digits), "url": lambda: draw(24, letters + string.digits)}
+    clean = {"sha": (lambda: draw(40, hexa), lambda v: f"commit {v} of"), "path": (lambda: draw(18, letters + "0"), lambda v: f"see /usr/{v}/lib"),
+             "uuid": (lambda: f"{draw(8, hexa)}-{draw(4, hexa)}-{draw(12, hexa)}", lambda v: f"id {v}"), "word": (lambda: "required", lambda v: f"password: {v}")}
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    base = [r.text.split()[:60] for r in docs.where("length(text) > 50").limit(300).collect()]
+    rows = []
+    for form in [*forms, *clean]:
+        for _ in range(30):
+            v = value[form]() if form in forms else clean[form][0]()
+            words = list(rng.choice(base))
+            words.insert(rng.randrange(len(words) + 1), forms[form](v) if form in forms else clean[form][1](v))
+            rows.append((10 ** 6 + len(rows), " ".join(words), form, v))
+    planted = spark.createDataFrame(rows, "doc_id long, text string, form string, v string")
+    both = docs.unionByName(planted.select("doc_id", "text"))
+    both = both.unionByName(planted.select("doc_id", "text").limit(1))                     # a repeated row
+    both = both.unionByName(spark.createDataFrame([(7, "password = " + "aB3$" * 20_000)], "doc_id long, text string"))
+    found = {}
+    for r in secrets.scan(both).where("is_secret").collect():
+        found.setdefault(r.doc_id, set()).add(r.found)
+    hits = Counter(form for i, _, form, v in rows if v in found.get(i, ()))
+    assert all(hits[f] >= 27 for f in forms) and not any(hits[c] for c in clean), hits
+    assert "aB3$" * 20_000 in found[7]
