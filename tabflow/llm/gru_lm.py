@@ -8,9 +8,9 @@ which a word has its additively smoothed share of the counts.  So every text has
 proper probability.
 
 Counting covers all training documents: documents are dealt into chunks by row
-hash; a chunk sends each distinct word once, packed by hash bucket, and gets the
-total counts back in the same packing, so what travels grows with the distinct words
-per chunk, not with the tokens.
+hash; a chunk sends each distinct word once as a row, Spark adds the counts up by
+word, and the chunk gets its words back with their totals, so what travels grows with
+the distinct words per chunk, not with the tokens or with pairs of chunks.
 
 Training: truncated backpropagation in numpy over windows of ``STEPS`` tokens with
 state carried from window to window.  Every training document is learned once (a
@@ -33,14 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabflow.llm.common import n_partitions, row_hash
 from tabflow.llm.text import Words, word_slices
-from tabflow.session import materialize
+from tabflow.session import materialize, scratch_path
 
 SHORTLIST, CLASS_SIZE, EMBED, HIDDEN, STEPS, LANES = 2048, 32, 16, 24, 32, 32
 CHUNK_BYTES = 16 << 20
@@ -282,76 +281,30 @@ def _chunk_words(text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return found[order], form[order], place[index], first
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
-    return np.array([len(arrays[0]), len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _expand(blob: bytes, kinds: list) -> list[np.ndarray]:
-    n, size = np.frombuffer(blob, np.int64, 2).tolist()
-    raw, at, out = pa.decompress(blob[16:], size, "zstd", asbytes=True), 0, []
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
-def _count_chunk(buckets: int):
-    def run(key, t):
-        uniq, form, index, first = _chunk_words(t.column("text"))
-        learn = np.repeat(t.column("learn").to_numpy(), np.diff(first))
-        n = np.bincount(index[learn], minlength=len(uniq)).astype(np.uint32)
-        bucket = ((uniq >> _U(32)) * _U(buckets)) >> _U(32)            # ascending with the hash
-        edges = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-        rows = [(key[0].as_py(), b, _squeeze(uniq[i:j], n[i:j], form[i:j]))
-                for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
-        chunk, b, blob = zip(*rows, strict=True)
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(b, pa.int32()),
-                         "blob": pa.array(blob, pa.binary())})
-    return run
-
-
-#: kind 0: counts going back to a chunk; 1: a bucket's totals; 2: a bucket's most frequent words
-_COUNTS = ("kind int, chunk long, bucket int, blob binary, hash long, n long, form int, v long")
-_COUNT_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-_COUNT_NAMES = [c.split()[0] for c in _COUNTS.split(", ")]
-
-
-def _total_bucket(shortlist: int):
-    def bucket(b: int, chunks: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-        parts = [_expand(x, [np.uint64, np.uint32, np.uint8]) for x in blobs]
-        uniq, at, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(uniq)).astype(np.int64)
-        form = np.concatenate([p[2] for p in parts])[at]
-        rows, i = [], 0
-        for c, p in zip(chunks, parts, strict=True):
-            rows.append((0, c, b, _squeeze(n[inverse[i:i + len(p[0])]]), None, None, None, None))
-            i += len(p[0])
-        plain = uniq != END_HASH
-        for f in range(FORMS):
-            own = plain & (form == f)
-            rows.append((1, None, b, None, None, int(n[own].sum()), f, int((n[own] > 0).sum())))
-        if not plain.all():
-            rows.append((1, None, b, None, None, int(n[~plain][0]), -1, int(n[~plain][0] > 0)))
-        top = np.flatnonzero(plain & (n > 1))
-        top = top[np.lexsort((uniq[top], -n[top]))][:shortlist]
-        rows += [(2, None, b, None, int(uniq[k].astype(np.int64)), int(n[k]), int(form[k]), None) for k in top]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _COUNT_TYPES, strict=True)],
-                               names=_COUNT_NAMES)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chunks, blobs = None, [], []
-        for batch in batches:
-            for c, b, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if b != now and blobs:
-                    yield bucket(now, chunks, blobs)
-                    chunks, blobs = [], []
-                now = b
-                chunks.append(c)
-                blobs.append(blob)
-        if blobs:
-            yield bucket(now, chunks, blobs)
-    return stream
+_PAIRS = "chunk int, hash long, form int, n long"
+
+
+def _count_chunk(key, t):
+    """One row per distinct word of a chunk, with its count in the training documents."""
+    uniq, form, index, first = _chunk_words(t.column("text"))
+    learn = np.repeat(t.column("learn").to_numpy(), np.diff(first))
+    n = np.bincount(index[learn], minlength=len(uniq))
+    return pa.table({"chunk": pa.array(np.full(len(uniq), key[0].as_py(), np.int32)),
+                     "hash": pa.array(uniq.astype(np.int64)), "form": pa.array(form.astype(np.int32)),
+                     "n": pa.array(n, pa.int64())})
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """Rows (chunk, hash, form, total, head) of each chunk's distinct words with the count of the word in all training
+    documents; ``head`` marks one row of each word.  Stored, with one shuffle by word: its size is the sum of the chunks'
+    distinct words, so it grows with the chunks, not with their square; a word that every chunk has is one row a chunk."""
+    word = Window.partitionBy("hash")
+    pairs = rows.select("chunk", "learn", "text").groupBy("chunk").applyInArrow(_count_chunk, _PAIRS)
+    found = pairs.select("chunk", "hash", "form", F.sum("n").over(word).alias("total"),
+                         (F.col("chunk") == F.min("chunk").over(word)).alias("head"))
+    path = scratch_path(rows.sparkSession, "lm-words")
+    found.write.parquet(path)
+    return rows.sparkSession.read.schema("chunk int, hash long, form int, total long, head boolean").parquet(path)
 
 
 class Vocabulary:
@@ -393,13 +346,13 @@ class Vocabulary:
         return start_weights(self.count, self.form_mass, self.end_count)
 
 
-def _chunked(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def _chunked(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(int(size // CHUNK_BYTES) + 1, 2)
-    return rows.withColumn("chunk", F.pmod("key", F.lit(chunks))), chunks
+    return rows.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("int"))
 
 
 BLOCK = 8192
@@ -492,16 +445,14 @@ def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, trai
                 rounds: int = 4, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
     spark = docs.sparkSession
-    rows, chunks = _chunked(docs, learn, id_col, text_col)
-    sent_words = rows.select("chunk", "learn", "text").groupBy("chunk").applyInArrow(
-        _count_chunk(chunks), "chunk long, bucket int, blob binary")
-    counts = materialize(sent_words.repartition(n_partitions(spark), "bucket").sortWithinPartitions("bucket")
-                         .mapInArrow(_total_bucket(shortlist), _COUNTS))
-    totals = counts.filter("kind = 1").groupBy("form").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    # the most frequent words: of each of 64 groups of buckets first, so that what reaches the driver is bounded
-    order = Window.partitionBy(F.pmod("bucket", F.lit(64))).orderBy(F.desc("n"), "hash")
-    top = (counts.filter("kind = 2").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= shortlist)
-           .orderBy(F.desc("n"), "hash").limit(shortlist).select("hash", "n", "form").collect())
+    rows = _chunked(docs, learn, id_col, text_col)
+    words = count_words(rows)
+    end = int(END_HASH.astype(np.int64))
+    heads = words.filter("head")
+    totals = heads.groupBy(F.when(F.col("hash") == end, F.lit(-1)).otherwise(F.col("form")).alias("form")).agg(
+        F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).collect()
+    top = (heads.filter((F.col("total") > 1) & (F.col("hash") != end)).orderBy(F.desc("total"), "hash").limit(shortlist)
+           .select("hash", F.col("total").alias("n"), "form").collect())
     vocab = Vocabulary(top, totals)
     weights = fit_weights(rows, vocab, train_share, rounds, rate)
     sent = spark.sparkContext.broadcast((vocab, weights))
@@ -510,8 +461,8 @@ def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, trai
     def run(left, right):
         vocab, weights = sent.value
         uniq, form, index, first = _chunk_words(left.column("text"))
-        order = pc.sort_indices(right, sort_keys=[("bucket", "ascending")])
-        count = np.concatenate([_expand(b, [np.int64])[0] for b in right.column("blob").take(order).to_pylist()])
+        order = np.argsort(right.column("hash").to_numpy().astype(np.uint64))    # as the chunk's words are sorted
+        count = right.column("total").to_numpy()[order]
         ids = vocab.ids(uniq, form)
         base = np.log10((count + 0.1) / (vocab.n + 0.1 * (vocab.v + 1)))
         at = first[:-1]
@@ -522,7 +473,7 @@ def score_table(docs: DataFrame, learn: Column, shortlist: int = SHORTLIST, trai
                          pa.array(np.full(len(at), vocab.n), pa.int64()),
                          pa.array(np.add.reduceat(base[index], at)), pa.array(lp / np.log(10))], names=names)
 
-    back = counts.filter("kind = 0").select("chunk", "bucket", "blob")
+    back = words.select("chunk", "hash", "total")
     return (rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(back.groupBy("chunk"))
             .applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double"))

@@ -98,6 +98,20 @@ def test_counts_and_base_scores_match_brute_force(make, odd_rows):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in nothing)
 
 
+def test_rows_sent_for_counts_grow_with_the_chunks_not_their_square(spark, monkeypatch):
+    """Four times the chunks send at most four times the rows: one for each distinct word of a chunk."""
+    docs = table(spark, SF, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    sent = {}
+    for chunks in (4, 16):
+        monkeypatch.setattr(gru_lm, "CHUNK_BYTES", size // chunks + 1)
+        words = gru_lm.count_words(gru_lm._chunked(docs, F.lit(True), "doc_id", "text"))
+        sent[chunks] = words.count()
+        got = words.agg(F.countDistinct("chunk"), F.countDistinct("hash"), F.count_if("head")).first()
+        assert got[0] == chunks and got[1] == got[2]
+    assert sent[4] < sent[16] <= 4 * sent[4]
+
+
 def test_model_beats_the_unigram_base_on_held_out_texts(spark):
     out = gru_lm.score_table(table(spark, SF, "documents"), crc_mod("doc_id", 10) != 0, train_share=0.3)
     held = out.withColumn("held", crc_mod("doc_id", 10) == 0).filter("held").agg(
