@@ -22,17 +22,20 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.noise import hash_normal, hash_uniform, np_hash_normal
 from ..operators import clean, encode, forward
 from ..sampling import draws, solvers
 from ..sampling.postprocess import Postprocessor
 from ..spec import TableSpec
+from .bagging import ForestParams, fit_bagged
 from .hist_boost import Block, BoostedForest, BoostParams, fit_expanded, predict_margin
 
 INF = float("inf")
 ROWS_PER_PARTITION = 1_000_000  # expanded training rows per task
 GENERATED_PER_PARTITION = 200_000  # generated rows per sampling task (each runs n_t model steps)
+SKETCH_CELLS = 2048  # cells of the mergeable quantile sketch of mini-batch fits (error: one cell)
 
 
 def generation_partitions(spark, n: int, partitions: int | None = None) -> int:
@@ -187,20 +190,50 @@ def level_times(n_t: int, t_0: float = forward.T0) -> np.ndarray:
     return np.ones(1) if n_t == 1 else t_0 + np.arange(n_t) * ((1.0 - t_0) / (n_t - 1))
 
 
-def noise_array(tag: str, seed: int, copies: int, feature: int) -> Column:
-    """The K noise draws of a row for one column (the keys of D3), as an array: all levels share them."""
+def slice_of(n_batch: int, seed: int) -> Column:
+    """The slice of a real row in a mini-batch fit."""
+    return F.floor(hash_uniform("slice", seed, F.col("row_id")) * F.lit(n_batch)).cast("long")
+
+
+def noise_array(seed: int, copies: int, feature: int, n_batch: int = 0) -> Column:
+    """The K noise draws of a row for one column (the keys of D3), as an array: all levels share them.  In a mini-batch
+    fit the copies are epochs, and the keys are (row, epoch, column, slice)."""
+    if n_batch > 0:
+        return F.transform(F.sequence(F.lit(0), F.lit(copies - 1)),
+                           lambda d: hash_normal("x0-mb", seed, F.col("row_id"), d, feature, F.col("slice")))
     return F.transform(F.sequence(F.lit(0), F.lit(copies - 1)),
-                       lambda d: hash_normal(tag, seed, F.col("row_id"), d, feature))
+                       lambda d: hash_normal("x0", seed, F.col("row_id"), d, feature))
 
 
 def _stack(series, width: int) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in series]) if len(series) else np.zeros((0, width))
 
 
-def _even_bins(x: np.ndarray, mn: float, width: float, n_bins: int) -> np.ndarray:
-    """1 .. n_bins on an even grid, 0 = missing."""
-    b = np.clip(np.ceil((x - mn) / width), 1, n_bins)
-    return np.where(np.isnan(b), 0, b).astype(np.int32)
+@dataclass
+class Grid:
+    """Bins of one input at one level: even cells from ``mn``, and the bin of each cell where cells share bins."""
+    mn: float
+    width: float
+    cells: int
+    edges: list | None = None    # last cells of the bins but the last one
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        """1, 2, ...; 0 = missing."""
+        b = np.clip(np.ceil((x - self.mn) / self.width), 1, self.cells)
+        b = np.where(np.isnan(b), 0, b).astype(np.int32)
+        if self.edges is None:
+            return b
+        of = np.searchsorted(self.edges, np.arange(self.cells + 1), side="left").astype(np.int32) + 1
+        of[0] = 0
+        return of[b]
+
+    def thresholds(self, size: int) -> np.ndarray:
+        """thr[b] of split bin b: a row goes left if x <= thr[b]."""
+        last = np.arange(1, self.cells) if self.edges is None else np.asarray(self.edges, float)
+        thr = np.full(size, INF)
+        thr[0] = -INF
+        thr[1:len(last) + 1] = self.mn + self.width * last
+        return thr
 
 
 @dataclass
@@ -211,7 +244,7 @@ class PathExamples:
     copies: int
     n_bins: int
     times: np.ndarray
-    edges: dict | None = None    # (position, level) -> (smallest x_t, bin width)
+    edges: dict | None = None    # (position, level) -> Grid
 
     def paths(self, pdf):
         for pos, k in enumerate(self.feats):
@@ -224,7 +257,7 @@ class PathExamples:
         fixed = _stack(pdf["fb"], 1).astype(np.int32)
         lab = pdf["lab"].to_numpy(np.int64)
         for pos, k, level, xt, y in self.paths(pdf):
-            own = _even_bins(xt, *self.edges[(pos, level)], self.n_bins)
+            own = self.edges[(pos, level)].bins(xt)
             yield Block((pos * self.n_labels + lab) * len(self.times) + level,
                         [own] + [fixed[:, j:j + 1] for j in range(k)], y)
 
@@ -253,7 +286,7 @@ class JointExamples:
     copies: int
     n_bins: int
     times: np.ndarray
-    edges: dict | None = None    # (column, level) -> (smallest x_t, bin width)
+    edges: dict | None = None    # (column, level) -> Grid
 
     def paths(self, pdf):
         x = [pdf[f"x{j}"].to_numpy(np.float64)[:, None] for j in range(self.n_cols)]
@@ -265,36 +298,83 @@ class JointExamples:
         cov = _stack(pdf["cb"], 1).astype(np.int32) if self.n_cov else None
         lab = pdf["lab"].to_numpy(np.int64)
         for level, xt, y in self.paths(pdf):
-            bins = [_even_bins(v, *self.edges[(j, level)], self.n_bins) for j, v in enumerate(xt)]
+            bins = [self.edges[(j, level)].bins(v) for j, v in enumerate(xt)]
             bins += [cov[:, i:i + 1] for i in range(self.n_cov)]
             for k in range(self.n_cols):
                 yield Block((lab * len(self.times) + level) * self.n_cols + k, bins, y[k])
 
 
-def _path_edges(state: DataFrame, examples, n_bins: int) -> dict:
-    """Even grid of x_t for each (column, level): smallest value and bin width, from one pass over the examples."""
-    joint = isinstance(examples, JointExamples)
+def _cells(examples, pdf):
+    """(position, level, x_t without missing values) of a batch."""
+    for got in examples.paths(pdf):
+        found = [(j, got[0], x) for j, x in enumerate(got[1])] if isinstance(examples, JointExamples) \
+            else [(got[0], got[2], got[3])]
+        for pos, level, x in found:
+            x = x[~np.isnan(x)]
+            if x.size:
+                yield pos, level, x
+
 
+def _path_edges(state: DataFrame, examples, n_bins: int, quantiles: bool = False) -> dict:
+    """The grid of x_t for each (column, level), from one pass over the examples: ``n_bins`` even bins, or with
+    ``quantiles`` (mini-batch fits) bins of about equal counts from a sketch that adds up over tasks."""
     def ranges(batches):
         import pandas as pd
         for pdf in batches:
-            out = []
-            for got in examples.paths(pdf):
-                if joint:
-                    level, xts, _ = got
-                    cells = [(j, level, x) for j, x in enumerate(xts)]
-                else:
-                    cells = [(got[0], got[2], got[3])]
-                for pos, level, x in cells:
-                    x = x[~np.isnan(x)]
-                    if x.size:
-                        out.append((pos, level, float(x.min()), float(x.max())))
+            out = [(pos, level, float(x.min()), float(x.max())) for pos, level, x in _cells(examples, pdf)]
             yield pd.DataFrame(out, columns=["pos", "level", "mn", "mx"])
     got = state.mapInPandas(ranges, "pos int, level int, mn double, mx double").groupBy("pos", "level").agg(
         F.min("mn").alias("mn"), F.max("mx").alias("mx")).collect()
-    found = {(r["pos"], r["level"]): (r["mn"], max((r["mx"] - r["mn"]) / n_bins, 1e-12)) for r in got}
-    n = examples.n_cols if joint else len(examples.feats)
-    return {(i, lv): found.get((i, lv), (0.0, 1e-12)) for i in range(n) for lv in range(len(examples.times))}
+    cells = SKETCH_CELLS if quantiles else n_bins
+    found = {(r["pos"], r["level"]): Grid(r["mn"], max((r["mx"] - r["mn"]) / cells, 1e-12), cells) for r in got}
+    if quantiles:
+        for (pos, level), edges in _sketch(state, examples, found, n_bins).items():
+            found[(pos, level)].edges = edges
+    n = examples.n_cols if isinstance(examples, JointExamples) else len(examples.feats)
+    return {(i, lv): found.get((i, lv), Grid(0.0, 1e-12, n_bins)) for i in range(n) for lv in range(len(examples.times))}
+
+
+def _sketch(state: DataFrame, examples, grids: dict, n_bins: int) -> dict:
+    """Quantile cells of each (position, level): tasks count examples per fine cell, Spark adds the counts up, and a
+    cell is an edge if a multiple of the total over ``n_bins`` falls into it.  What is collected are the edges."""
+    def count(batches):
+        import pandas as pd
+        held: dict = {}
+
+        def rows():
+            parts = [(k, np.flatnonzero(v)) for k, v in held.items()]
+            return pd.DataFrame({"pos": np.repeat([k[0] for k, _ in parts], [len(c) for _, c in parts]),
+                                 "level": np.repeat([k[1] for k, _ in parts], [len(c) for _, c in parts]),
+                                 "cell": np.concatenate([c for _, c in parts]),
+                                 "n": np.concatenate([held[k][c] for k, c in parts])})
+        for pdf in batches:
+            for pos, level, x in _cells(examples, pdf):
+                n = np.bincount(grids[(pos, level)].bins(x), minlength=SKETCH_CELLS + 1)
+                held[(pos, level)] = held[(pos, level)] + n if (pos, level) in held else n
+            if len(held) * SKETCH_CELLS * 8 > 64 << 20:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
+    w = Window.partitionBy("pos", "level")
+    cells = state.mapInPandas(count, "pos int, level int, cell long, n long").groupBy("pos", "level", "cell").agg(
+        F.sum("n").alias("n"))
+    cum = cells.select("pos", "level", "cell", "n", F.sum("n").over(w.orderBy("cell")).alias("upto"),
+                       F.sum("n").over(w).alias("total"))
+    edge = F.expr(f"least(upto * {n_bins} div total, {n_bins - 1}) > (upto - n) * {n_bins} div total")
+    rows = cum.filter(edge).groupBy("pos", "level").agg(F.sort_array(F.collect_list("cell")).alias("cells")).collect()
+    return {(r["pos"], r["level"]): list(r["cells"]) for r in rows}   # at most n_bins - 1 each
+
+
+def _fit_models(learner: str, state: DataFrame, examples, p: BoostParams, n_bins: int, seed: int) -> BoostedForest:
+    """All models of an expander, boosted or bagged with the same number and depth of trees (classifiers try the root
+    of the number of inputs at a node)."""
+    if learner == "boosted":
+        return fit_expanded(state, examples, p, n_bins)
+    if learner != "forest":
+        raise ValueError("learner must be boosted or forest")
+    features = "sqrt" if p.objective == "softmax" else 1.0
+    return fit_bagged(state, examples, ForestParams(p.n_rounds, p.depth, features=features, seed=seed), n_bins)
 
 
 # ---- sequential flow (HS3F / CS3F) ---------------------------------------------
@@ -311,14 +391,15 @@ class SequentialFlow:
     n_bins: int = 64
     reg: BoostParams = field(default_factory=lambda: BoostParams(n_rounds=100, depth=7, eta=0.3, lam=0.0))
     clf: BoostParams | None = None  # default: n_rounds + 15 trees, eta 0.1, softmax
-    n_batch: int = 0  # >0: mini-batch noise keys and classifier without the +15 trees (E7)
+    n_batch: int = 0  # >0: mini-batch fit (E7): slices x K epochs, quantile bins, classifier without the +15 trees
+    learner: str = "boosted"  # or "forest": bagged trees (E6)
     t_0: float = forward.T0  # first level time
     learner_params: dict = field(default_factory=dict)  # E9: learner parameters by name, for both kinds of trees
 
     def _clf_params(self) -> BoostParams:
         if self.clf is not None:
             return self.clf
-        extra = 0 if self.n_batch > 0 else 15
+        extra = 0 if self.n_batch > 0 or self.learner == "forest" else 15
         return BoostParams(n_rounds=self.reg.n_rounds + extra, depth=self.reg.depth, eta=0.1, lam=self.reg.lam,
                            objective="softmax", checkpoint_every=self.reg.checkpoint_every)
 
@@ -339,25 +420,27 @@ class SequentialFlow:
         real = spread(prep.real, prep.n_rows, self.K * self.n_t * max(len(reg_feats), 1))
         real = real.withColumn("fb", F.array(*[bin_expr(F.col(f"x{k}"), fixed[f"x{k}"]) for k in range(c)]))
 
-        tag = "x0" if self.n_batch <= 0 else "x0-mb"
+        if self.n_batch > 0:
+            real = real.withColumn("slice", slice_of(self.n_batch, self.seed))
         state = real.select("row_id", "lab", "fb", *[f"x{k}" for k in range(c)],
-                            *[noise_array(tag, self.seed, self.K, k).alias(f"z{k}") for k in reg_feats])
+                            *[noise_array(self.seed, self.K, k, self.n_batch).alias(f"z{k}") for k in reg_feats])
 
         # regressors: one per (regression column, label, level)
         reg_forest, xt_edges = None, {}
         if reg_feats:
             state = state.persist(StorageLevel.MEMORY_AND_DISK)
             examples = PathExamples(reg_feats, L, self.K, self.n_bins, level_times(self.n_t, self.t_0))
-            xt_edges = examples.edges = _path_edges(state, examples, self.n_bins)
-            reg_forest = fit_expanded(state, examples, self.reg.with_params(self.learner_params), width)
+            xt_edges = examples.edges = _path_edges(state, examples, self.n_bins, self.n_batch > 0)
+            reg_forest = _fit_models(self.learner, state, examples, self.reg.with_params(self.learner_params), width,
+                                     self.seed)
 
         # classifiers: one per (categorical column k >= 1, label) -- rows used once with weight K,
         # which is what K identical copies amount to
         clf_forest = None
         if clf_feats:
             examples = CategoryExamples(clf_feats, L, [n_codes[f"x{k}"] for k in clf_feats], float(self.K))
-            clf_forest = fit_expanded(state.select("row_id", "lab", "fb", *[f"x{k}" for k in clf_feats]), examples,
-                                      self._clf_params().with_params(self.learner_params), width)
+            clf_forest = _fit_models(self.learner, state.select("row_id", "lab", "fb", *[f"x{k}" for k in clf_feats]),
+                                     examples, self._clf_params().with_params(self.learner_params), width, self.seed)
         state.unpersist()
 
         label_shares = _shares(prep.real, "lab")
@@ -391,12 +474,7 @@ class FittedSequential:
         wide = max([nb, *[len(e) + 1 for e in self.fixed_edges.values()]])
         fixed_thr = np.stack([thresholds_from_edges(self.fixed_edges[f"x{k}"], wide) for k in range(c)]) \
             if c else np.zeros((0, wide + 2))
-        xt_thr = {}
-        for (kpos, level), (mn, w) in self.xt_edges.items():
-            thr = np.full(wide + 2, INF)
-            thr[0] = -INF
-            thr[1:nb] = mn + w * np.arange(1, nb)
-            xt_thr[(kpos, level)] = thr
+        xt_thr = {at: grid.thresholds(wide + 2) for at, grid in self.xt_edges.items()}
         return dict(model_type=p.model_type, n_t=p.n_t, c=c,
                     is_cat=[k == "categorical" for k in self.prep.kinds],
                     reg_feats=self.reg_feats, clf_feats=self.clf_feats, L=len(self.prep.label_values),
@@ -474,7 +552,7 @@ def _sequential_batch(pdf, pay, solver, euler_steps):
                 Xin = X[mask, :k]
                 thr = pay["fixed_thr"][:k]
                 marg = np.stack([predict_margin(pay["clf"], (model, j), Xin, thr) for j in range(J)], axis=1)
-                cum = np.cumsum(_softmax(marg), axis=1)
+                cum = np.cumsum(marg if pay["clf"].objective == "forest" else _softmax(marg), axis=1)
                 out[mask] = np.minimum((cum <= u[mask, None]).sum(axis=1), J - 1)
             X[:, k] = out
             continue
@@ -528,6 +606,8 @@ class JointFlow:
     seed: int = 0
     n_bins: int = 64
     remove_missing: bool = False
+    n_batch: int = 0  # >0: mini-batch fit (E7): slices x K epochs, quantile bins
+    learner: str = "boosted"  # or "forest": bagged trees (E6), for tables without missing values
     t_0: float = forward.T0
     learner_params: dict = field(default_factory=dict)
     reg: BoostParams = field(default_factory=lambda: BoostParams(n_rounds=100, depth=7, eta=0.3, lam=0.0))
@@ -542,6 +622,8 @@ class JointFlow:
         d = d.na.drop("any" if self.remove_missing else "all", subset=names)
         if label:
             clean.assert_label_present(d, label)
+        if self.learner == "forest" and not d.filter(" or ".join(f"`{c}` is null" for c in names + covs)).isEmpty():
+            raise ValueError("a random forest needs a table without missing values")
         cats = [c.name for c in gen if c.kind == "categorical"]
         dicts = {cname: encode.category_values(d, cname) for cname in cats}
         label_values = encode.category_values(d, label) if label else [0]
@@ -566,13 +648,16 @@ class JointFlow:
         cov_edges = quantile_edges(real, [f"cov{i}" for i in range(len(covs))], self.n_bins, {}) if covs else {}
         L = len(label_values)
         cov_bins = F.array(*[bin_expr(F.col(f"cov{i}"), cov_edges[f"cov{i}"]) for i in range(len(covs))])
+        if self.n_batch > 0:
+            real = real.withColumn("slice", slice_of(self.n_batch, self.seed))
         state = real.select("row_id", "lab", *[f"x{j}" for j in range(p)], cov_bins.cast("array<int>").alias("cb"),
-                            *[noise_array("x0", self.seed, self.K, j).alias(f"z{j}") for j in range(p)])
+                            *[noise_array(self.seed, self.K, j, self.n_batch).alias(f"z{j}") for j in range(p)])
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         examples = JointExamples(p, len(covs), self.K, self.n_bins, level_times(self.n_t, self.t_0))
-        xt_edges = examples.edges = _path_edges(state, examples, self.n_bins)
+        xt_edges = examples.edges = _path_edges(state, examples, self.n_bins, self.n_batch > 0)
         # An example without target does not train that output
-        forest = fit_expanded(state, examples, self.reg.with_params(self.learner_params), self.n_bins)
+        forest = _fit_models(self.learner, state, examples, self.reg.with_params(self.learner_params), self.n_bins,
+                             self.seed)
         state.unpersist()
         label_shares = _shares(real, "lab")
         real.unpersist()
@@ -605,19 +690,15 @@ class FittedJoint:
         for lvl in range(self.params.n_t):
             rows = []
             for j in range(p):
-                mn, w = self.xt_edges[(j, lvl)]
-                t = np.full(nb + 2, INF)
-                t[0] = -INF
-                t[1:nb] = mn + w * np.arange(1, nb)
-                rows.append(t)
+                rows.append(self.xt_edges[(j, lvl)].thresholds(nb + 2))
             for i in range(len(self.covs)):
                 rows.append(thresholds_from_edges(self.cov_edges[f"cov{i}"], nb))
             thr[lvl] = np.stack(rows)
         return dict(n_t=self.params.n_t, p=p, L=len(self.label_values), thr=thr, forest=self.forest,
                     n_cov=len(self.covs))
 
-    def _post(self, raw: DataFrame) -> DataFrame:
-        out = raw.select("row_id", "lab", *[encode.unscale_expr(F.col(f"x{j}"), *self.bounds[m]).alias(m)
+    def _post(self, raw: DataFrame, keep: tuple = ()) -> DataFrame:
+        out = raw.select("row_id", "lab", *keep, *[encode.unscale_expr(F.col(f"x{j}"), *self.bounds[m]).alias(m)
                                             for j, m in enumerate(self.model_cols)])
         post = Postprocessor(self.spec, {m: self.bounds[m] for m in self.model_cols if m in self.names},
                              self.dictionaries, self.clip, self.types)
@@ -629,7 +710,7 @@ class FittedJoint:
                             .alias(c.name))
             else:
                 cols.append(post.finish(c, F.col(c.name)).alias(c.name))
-        res = out.select("row_id", "lab", *cols)
+        res = out.select("row_id", "lab", *keep, *cols)
         if self.label:
             vals = F.array(*[F.lit(v) for v in self.label_values])
             res = res.withColumn(self.label, F.element_at(vals, F.col("lab") + 1))
@@ -674,29 +755,31 @@ class FittedJoint:
         d = clean.nan_to_null(df, self.names + ([self.label] if self.label else []))
         if self.label:
             clean.assert_label_present(d, self.label)  # a missing label cannot be made up (B4)
-        d2 = _null_dummies(d.select(spec.row_id, *self.names, *self.covs, *([self.label] if self.label else [])),
+        # the known cells travel with their row, as one struct that no Python code reads
+        d = d.withColumn("__known", F.struct(*self.names))
+        d2 = _null_dummies(d.select(spec.row_id, "__known", *self.names, *self.covs, *([self.label] if self.label else [])),
                            self.dictionaries)
         lab = code_expr(self.label, self.label_values).cast("int") if self.label else F.lit(0)
         p = len(self.model_cols)
-        rows = d2.select(F.col(spec.row_id).cast("long").alias("row_id"), lab.alias("lab"),
+        rows = d2.select(F.col("__known"), F.col(spec.row_id).cast("long").alias("row_id"), lab.alias("lab"),
                          *[encode.scale_expr(F.col(m).cast("double"), *self.bounds[m]).alias(f"k{j}")
                            for j, m in enumerate(self.model_cols)],
                          *[F.col(cv).cast("double").alias(f"cov{i}") for i, cv in enumerate(self.covs)],
                          *[hash_normal("prior", seed, F.col(spec.row_id), j).alias(f"z{j}") for j in range(p)])
         bc = rows.sparkSession.sparkContext.broadcast(self._payload())
-        schema = "row_id long, lab int, " + ", ".join(f"x{j} double" for j in range(p))
+        schema = StructType([rows.schema["__known"], *StructType.fromDDL(
+            "row_id long, lab int, " + ", ".join(f"x{j} double" for j in range(p))).fields])
 
         def run(batches, _bc=bc, _seed=seed):
+            import pyarrow as pa
             pay = _bc.value
-            for pdf in batches:
-                yield _impute_batch(pdf, pay, _seed)
-        out = self._post(rows.mapInPandas(run, schema))
-        # known cells unchanged: take them from the input, generated ones where missing
-        orig = d.select(F.col(spec.row_id).cast("long").alias("row_id"),
-                        *[F.col(nm).alias(f"__o_{nm}") for nm in self.names])
-        j = out.join(orig, on="row_id")
-        return j.select("row_id", *[F.coalesce(F.col(f"__o_{nm}"), F.col(nm)).alias(nm) for nm in self.names],
-                        *([self.label] if self.label else []))
+            for batch in batches:
+                known, own = batch.columns[0], pa.Table.from_batches([batch]).drop_columns(["__known"])
+                new = pa.RecordBatch.from_pandas(_impute_batch(own.to_pandas(), pay, _seed), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([known, *new.columns], names=["__known", *new.schema.names])
+        out = self._post(rows.mapInArrow(run, schema), ("__known",))
+        return out.select("row_id", *[F.coalesce(F.col(f"__known.`{nm}`"), F.col(f"`{nm}`")).alias(nm)
+                                      for nm in self.names], *([self.label] if self.label else []))
 
 
 def _joint_velocity(pay, X, lab, level, cov):
