@@ -214,7 +214,7 @@ class _Pass:
             models, loc = np.unique(blk.model, return_inverse=True)
             if fresh:
                 start = np.array([[self.base.get((m, c), 0.0) for c in _class_ids(blk, self.p.objective)]
-                                  for m in models.tolist()], np.float32).reshape(len(models), k)
+                                  for m in models.tolist()]).reshape(len(models), k)
                 margin = np.broadcast_to(start[loc][:, None, :], (n, copies, k))
             else:
                 margin = flat[:, at:at + copies * k].reshape(n, copies, k)
