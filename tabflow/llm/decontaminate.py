@@ -1,20 +1,20 @@
 """Benchmark decontamination with a positional inverted index (DataFrame functions only).
 
 * Test windows: every run of ``width`` words of an item; a shorter item is one window.
-* Term counts of the training table are taken for the words of the test items, over
-  all documents.  A window whose words do not all occur has no match.
-* The index stores the postings (term, document, position) of the rarest ``rarest``
-  terms of each window, and each document's length.
-* Postings are shifted by the term's place in the item (position - place); equal shifts
-  of one item in one document mean aligned terms.  A window is a candidate where the
-  lists of all its rarest terms meet on one shift; with ``slop`` > 0 shifts may differ
-  by up to ``slop`` (proximity).
-* Candidates are compared with the document's words at that place, so phrase matches
-  are exact.
+* The index stores the postings (term, key, position) of every word of the test items in
+  all documents, and each document's length, as a Parquet table in the shared folder:
+  one reading of the corpus, no shuffle.  Term counts are counted from the index.
+* A window whose words do not all occur has no match.  The lists of a window's ``rarest``
+  rarest terms are intersected, shifted by the term's place in the item (position -
+  place): equal shifts of one item in one document mean aligned terms.  With ``slop`` > 0
+  shifts are put into overlapping bands, so that any ``slop`` + 1 neighbouring shifts
+  share one.
+* Candidates are compared with the document's words at that place, so phrase and
+  proximity matches are both exact.
 
 The test side is broadcast only if it has at most ``BROADCAST_ROWS`` rows, else joined
-by shuffle.  The corpus is read three times and shuffled once as postings of rare
-terms, plus once by row key where candidates meet their documents.
+by shuffle.  The corpus is read twice, for the index and where candidates meet their
+documents by row key; postings of rare terms are shuffled once.
 
 Defined cases: null text has no words, such an item no window; equal rows are equal
 results; an item occurring in several rows counts once by its id (a null id is '');
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.llm.common import row_hash
-from tabflow.session import materialize
+from tabflow.session import materialize, scratch_path
 
 WIDTH = 13
 RAREST = 3
@@ -65,10 +65,9 @@ def test_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col
             .withColumn("len", F.least(F.size("item_words"), F.lit(width))))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): occurrences in all of ``docs`` of each of ``terms`` that occurs."""
-    return (docs.select(F.explode(words(text_col)).alias("term")).join(_small(terms), "term")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+def term_counts(index: DataFrame) -> DataFrame:
+    """(term, n): lengths of the posting lists."""
+    return index.filter(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def plan_windows(windows: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
@@ -86,50 +85,67 @@ def plan_windows(windows: DataFrame, counts: DataFrame, rarest: int) -> DataFram
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings (term, doc_id, key, pos) of ``terms``, and one END posting per row at its length."""
+    """Stored postings (term, key, pos, doc_id) of ``terms``, in the order of the rows; one END posting per row stands
+    at its length and alone has the id."""
     wanted = _small(terms.select("term").distinct().union(
         terms.sparkSession.createDataFrame([(END,)], "term string")))
     tokens = docs.select(F.col(id_col).alias("doc_id"), row_hash(id_col, text_col).alias("key"),
                          F.posexplode(F.concat(words(text_col), F.array(F.lit(END)))).alias("pos", "term"))
-    return materialize(tokens.join(wanted, "term").select("term", "doc_id", "key", "pos"))
+    postings = tokens.join(wanted, "term").select("term", "key", "pos", F.when(F.col("term") == END, F.col("doc_id"))
+                                                  .alias("doc_id"))
+    path = scratch_path(docs.sparkSession, "postings")
+    postings.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def candidates(index: DataFrame, plan: DataFrame, slop: int = 0) -> DataFrame:
-    """(key, item, start, len, base): windows whose rare terms meet on one shift (within ``slop``);
-    ``base`` is the document place of the window's first word for the band's first shift."""
+    """(key, item, start, len, base): windows whose rare terms meet on one shift, or for ``slop`` > 0 in a band of
+    2 * (slop + 1) shifts; ``base`` is the document place of the window's first word for the band's first shift."""
     rare = plan.select("item", F.explode("rare").alias("r")).select(
         "item", F.col("r.term").alias("term"), F.col("r.place").alias("place")).distinct()
     shifted = (index.filter(F.col("term") != END).join(_small(rare), "term")
                .select("key", "item", "place", (F.col("pos") - F.col("place")).alias("shift")))
-    if slop:
-        band = F.floor(F.col("shift") / (slop + 1)).cast("long")
-        shifted = shifted.withColumn("band", F.explode(F.array(band, band - 1)))
-    else:
-        shifted = shifted.withColumn("band", F.col("shift").cast("long"))
-    met = (shifted.groupBy("key", "item", "band")
-           .agg(F.collect_set("place").alias("places"), F.min("shift").alias("shift")))
+    band = F.floor(F.col("shift") / (slop + 1)).cast("long")
+    shifted = shifted.withColumn("band", F.explode(F.array(band, band - 1)) if slop else band)
+    met = shifted.groupBy("key", "item", "band").agg(F.collect_set("place").alias("places"))
     by_item = plan.groupBy("item").agg(F.collect_list(F.struct("start", "len", "need")).alias("windows"))
     held = F.filter("windows", lambda w: F.size(F.array_except(w["need"], F.col("places"))) == 0)
     return (met.join(_small(by_item), "item").withColumn("w", F.explode(held))
             .select("key", "item", F.col("w.start").alias("start"), F.col("w.len").alias("len"),
-                    (F.col("shift") + F.col("w.start")).alias("base")))
+                    (F.col("band") * (slop + 1) + F.col("w.start")).alias("base")))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 8, width: int = WIDTH,
-                      rarest: int = RAREST, **cols) -> DataFrame:
-    """(key, item, start, len): windows whose rarest terms stand in a row in the item's order with at most
-    ``slop`` words moved, removed or put between; ``key`` is ``row_hash`` of the row."""
-    windows, plan, index = _prepare(docs, items, width, rarest, **cols)
-    return candidates(index, plan, slop).select("key", "item", "start", "len").distinct()
+def _beside(docs: DataFrame, found: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_words, item_words, item_id, f): candidates ``f`` with the words of both sides."""
+    per_row = found.groupBy("key").agg(F.collect_set(F.struct("item", "start", "len", "base")).alias("found"))
+    phrase = windows.select("item", "item_id", "item_words").dropDuplicates(["item"])
+    texts = docs.select(row_hash(id_col, text_col).alias("key"), F.col(text_col).alias("text")) \
+        .join(per_row, "key").dropDuplicates(["key"])
+    return (texts.select("key", words("text").alias("doc_words"), "found")
+            .withColumn("f", F.explode("found")).withColumn("item", F.col("f.item")).join(_small(phrase), "item"))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 8, width: int = WIDTH, rarest: int = RAREST,
+                      id_col: str = "doc_id", text_col: str = "text", **cols) -> DataFrame:
+    """(key, item_id, start, len): windows all of whose words stand in the row near their places: the shifts (place in
+    the row less place in the window) span at most ``slop``.  A word of the row may serve equal words of a window;
+    ``key`` is ``row_hash`` of the row."""
+    windows, plan, index = _prepare(docs, items, width, rarest, id_col, text_col, **cols)
+    beside = _beside(docs, candidates(index, plan, slop), windows, id_col, text_col)
+    # a match starts at one of the slop + 1 shifts of the first half of its band
+    word_at = lambda i, d: F.get("doc_words", (F.col("f.base") + i + d).cast("int")).eqNullSafe(
+        F.get("item_words", F.col("f.start") + i))
+    matched = F.exists(F.sequence(F.lit(0), F.lit(slop)), lambda b: F.forall(
+        F.sequence(F.lit(0), F.col("f.len") - 1), lambda i: F.exists(
+            F.sequence(b, b + slop), lambda d: word_at(i, d))))
+    return beside.filter(matched).select("key", "item_id", "f.start", "f.len").distinct()
 
 
 def _prepare(docs, items, width, rarest, id_col="doc_id", text_col="text",
              item_id_col="item_id", item_text_col="text"):
     windows = materialize(test_windows(items, width, item_id_col, item_text_col))
-    terms = windows.select(F.explode("item_words").alias("term")).distinct()
-    plan = materialize(plan_windows(windows, term_counts(docs, terms, text_col), rarest))
-    index = build_index(docs, plan.select(F.explode("rare.term").alias("term")), id_col, text_col)
-    return windows, plan, index
+    index = build_index(docs, windows.select(F.explode("item_words").alias("term")), id_col, text_col)
+    return windows, materialize(plan_windows(windows, term_counts(index), rarest)), index
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, rarest: int = RAREST,
@@ -137,19 +153,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, rarest
     """One row per row of ``docs``: doc_id, key, n_words, ``matches`` (array of item_id, base, len: exact
     occurrences of test windows)."""
     windows, plan, index = _prepare(docs, items, width, rarest, id_col, text_col, **cols)
-    found = candidates(index, plan)
-    phrase = windows.select("item", "item_id", "item_words").dropDuplicates(["item"])
-    per_row = (found.filter(F.col("base") >= 0).groupBy("key")
-               .agg(F.collect_set(F.struct("item", "start", "len", "base")).alias("found")))
-    texts = docs.select(row_hash(id_col, text_col).alias("key"), F.col(text_col).alias("text")) \
-        .join(per_row, "key").dropDuplicates(["key"])
-    here = F.slice("doc_words", F.col("f.base") + 1, F.col("f.len"))
+    here = F.slice("doc_words", F.col("f.base").cast("int") + 1, F.col("f.len"))
     there = F.slice("item_words", F.col("f.start") + 1, F.col("f.len"))
-    exact = (texts.select("key", words("text").alias("doc_words"), "found")
-             .withColumn("f", F.explode("found")).withColumn("item", F.col("f.item"))
-             .join(_small(phrase), "item").filter(here == there)
+    found = candidates(index, plan).filter(F.col("base") >= 0)
+    exact = (_beside(docs, found, windows, id_col, text_col).filter(here == there)
              .groupBy("key").agg(F.collect_list(
-                 F.struct("item_id", F.col("f.base").alias("base"), F.col("f.len").alias("len"))).alias("matches")))
+                 F.struct("item_id", F.col("f.base").cast("int").alias("base"), F.col("f.len").alias("len"))).alias("matches")))
     lengths = index.filter(F.col("term") == END).select("doc_id", "key", F.col("pos").cast("long").alias("n_words"))
     return lengths.join(exact, "key", "left")
 

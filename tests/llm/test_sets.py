@@ -220,3 +220,47 @@ def test_proximity_finds_moved_words(spark, make):
     ids = {r.k: r.doc_id for r in docs.select("doc_id", row_hash("doc_id", "text").alias("k")).collect()}
     near = {ids[r.key] for r in decontaminate.proximity_matches(docs, bench, slop=4).collect()}
     assert near == {1, 2}
+
+
+def brute_proximity(rows, items, slop, width=13):
+    words = lambda t: TERM.findall((t or "").translate(UPPER))
+    out = set()
+    for i, t in rows:
+        d = words(t)
+        for k, q in ((k, words(t)) for k, t in items):
+            n = min(width, len(q))
+            for s in range(len(q) - n + 1) if n else ():
+                at = [{p - j for p, w in enumerate(d) if w == q[s + j]} for j in range(n)]
+                if any(all(any(b <= x <= b + slop for x in own) for own in at) for b in set().union(*at)):
+                    out.add((i, str(k), s, n))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3, 8])
+def test_proximity_matches_brute_force(spark, make, slop):
+    """Passages with words moved, put in and left out, repeated words, and words before a document's start."""
+    rng = random.Random(31)
+    items = [(1, " ".join(f"a{i}" for i in range(16))), (2, "b1 b2 b1 b3 b2 b1"), (3, "c1"), (4, None), (5, ""),
+             (6, " ".join(f"e{rng.randrange(5)}" for _ in range(13))), (7, "c1 nowhere")]
+    rows = [(0, None), (1, ""), (2, "A3 a2 a1 a0 a5 a4 a6 a7 a8 a9 a10 a11 a12 a13 a15 a14")]
+    for i in range(3, 40):
+        t = rng.choice(items[:2] + items[5:6])[1].split()
+        for _ in range(rng.randint(0, 6)):
+            j = rng.randrange(len(t))
+            edit = rng.choice(["swap", "put", "drop"])
+            if edit == "swap" and j:
+                t[j - 1], t[j] = t[j], t[j - 1]
+            elif edit == "put":
+                t.insert(j, rng.choice(["x", "c1", t[j]]))
+            elif edit == "drop" and i % 3 == 0 and len(t) > 2:
+                del t[j]
+        rows.append((i, " ".join(["x"] * rng.randint(0, 3) + t + ["y"] * rng.randint(0, 2))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    from tabflow.llm.common import row_hash
+    docs = make(rows)
+    ids = {r.k: r.doc_id for r in docs.select("doc_id", row_hash("doc_id", "text").alias("k")).collect()}
+    found = decontaminate.proximity_matches(docs, bench, slop=slop).collect()
+    want = brute_proximity(rows, items, slop)
+    assert {(ids[r.key], r.item_id, r.start, r.len) for r in found} == want and len(found) == len(want) > 5
+    assert decontaminate.proximity_matches(make([]), bench, slop=slop).count() == 0
+    assert decontaminate.proximity_matches(docs, bench.limit(0), slop=slop).count() == 0
