@@ -9,7 +9,7 @@ fit:
 sample:
   ``spark.range(n)`` -> label / first category by range join on cumulative
   shares -> prior noise + uniforms as hash columns -> one ``mapInPandas``
-  (broadcast trees, vectorised scoring, Euler / RK4 per batch) ->
+  (trees read by page, vectorised scoring, Euler / RK4 per batch) ->
   postprocess (C2, C7, C9, C10).  One narrow stage after the draws; no shuffle
   of the generated rows.
 """
@@ -29,6 +29,7 @@ from ..operators import clean, encode, forward
 from ..sampling import draws, solvers
 from ..sampling.postprocess import Postprocessor
 from ..spec import TableSpec
+from . import paged
 from .bagging import ForestParams, fit_bagged
 from .hist_boost import Block, BoostedForest, BoostParams, fit_expanded, predict_margin
 
@@ -499,12 +500,12 @@ class FittedSequential:
         rows = rows.select("row_id", "lab", "first",
                            *[hash_normal("prior", seed, F.col("row_id"), k).alias(f"z{k}") for k in range(c)],
                            *[hash_uniform("cat", seed, F.col("row_id"), k).alias(f"u{k}") for k in range(c)])
-        bc = spark.sparkContext.broadcast(self._payload())
+        bc = spark.sparkContext.broadcast(paged.payload(spark, self, ("reg", "clf")))
         schema = "row_id long, lab int, " + ", ".join(f"x{k} double" for k in range(c))
 
         def run(batches, _bc=bc, _solver=solver, _steps=euler_steps):
             pay = _bc.value
-            for pdf in batches:
+            for pdf in paged.gathered(batches, pay, ("reg", "clf")):
                 yield _sequential_batch(pdf, pay, _solver, _steps)
         return rows.mapInPandas(run, schema)
 
@@ -732,13 +733,13 @@ class FittedJoint:
         p = len(self.model_cols)
         rows = rows.select("row_id", "lab", *[f"cov{i}" for i in range(len(self.covs))],
                            *[hash_normal("prior", seed, F.col("row_id"), j).alias(f"z{j}") for j in range(p)])
-        bc = spark.sparkContext.broadcast(self._payload())
+        bc = spark.sparkContext.broadcast(paged.payload(spark, self, ("forest",)))
         steps = n_steps or self.params.n_t
         schema = "row_id long, lab int, " + ", ".join(f"x{j} double" for j in range(p))
 
         def run(batches, _bc=bc, _steps=steps):
             pay = _bc.value
-            for pdf in batches:
+            for pdf in paged.gathered(batches, pay, ("forest",)):
                 yield _joint_batch(pdf, pay, _steps)
         return rows.mapInPandas(run, schema)
 
@@ -766,7 +767,7 @@ class FittedJoint:
                            for j, m in enumerate(self.model_cols)],
                          *[F.col(cv).cast("double").alias(f"cov{i}") for i, cv in enumerate(self.covs)],
                          *[hash_normal("prior", seed, F.col(spec.row_id), j).alias(f"z{j}") for j in range(p)])
-        bc = rows.sparkSession.sparkContext.broadcast(self._payload())
+        bc = rows.sparkSession.sparkContext.broadcast(paged.payload(rows.sparkSession, self, ("forest",)))
         schema = StructType([rows.schema["__known"], *StructType.fromDDL(
             "row_id long, lab int, " + ", ".join(f"x{j} double" for j in range(p))).fields])
 
@@ -908,7 +909,7 @@ def velocity_frame(fitted: "FittedSequential", k: int, level: int, seed: int = 0
     z = hash_normal("x0", seed, F.col("row_id"), F.lit(0), k)
     rows = real.select("row_id", "lab", (t * F.col(f"x{k}") + (F.lit(1.0) - t) * z).alias("xt"),
                        *[f"x{j}" for j in range(k)])
-    bc = real.sparkSession.sparkContext.broadcast(fitted._payload())
+    bc = real.sparkSession.sparkContext.broadcast(paged.payload(real.sparkSession, fitted, ("reg", "clf")))
     kpos = fitted.reg_feats.index(k)
 
     def run(batches, _bc=bc):

@@ -94,6 +94,11 @@ class BoostedForest:
             self.dleft[key] = np.ones((self.n_rounds, n_int), dtype=bool)
             self.leaf[key] = np.zeros((self.n_rounds, n_leaf), dtype=np.float64)
 
+    def model(self, key):
+        """Base score and (feat, sbin, dleft, leaf) of a model; None for one without trees."""
+        trees = (self.feat[key], self.sbin[key], self.dleft[key], self.leaf[key]) if key in self.feat else None
+        return self.base.get(key, 0.0), trees
+
 
 @dataclass
 class Block:
@@ -479,15 +484,16 @@ def fit_boosted(rows: DataFrame, p: BoostParams, n_class: dict | None = None,
 
 # ---- scoring inside Arrow batches ----------------------------------------------
 
-def predict_margin(forest: BoostedForest, key, X: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """Margin of model ``key`` for raw inputs ``X[n, J]``; a row goes left iff
+def predict_margin(forest, key, X: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Margin of model ``key`` of a forest (whole or paged) for raw inputs ``X[n, J]``; a row goes left iff
     ``x <= threshold`` (missing: learned direction).  ``thresholds[j, bin]``
     maps split bins of input j to raw values."""
     n = X.shape[0]
-    out = np.full(n, forest.base.get(key, 0.0))
-    if key not in forest.feat or n == 0:
+    base, trees = forest.model(key)
+    out = np.full(n, base)
+    if trees is None or n == 0:
         return out
-    feat, sb, dl, leaf = forest.feat[key], forest.sbin[key], forest.dleft[key], forest.leaf[key]
+    feat, sb, dl, leaf = trees
     R = feat.shape[0]
     node = np.zeros((n, R), dtype=np.int64)
     rix = np.arange(R)[None, :]
