@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_basic, q_checked, q_draws, q_flow_values, q_metrics, q_models, q_stream  # noqa: F401
+from . import q_basic, q_checked, q_draws, q_flow_values, q_metrics, q_models, q_sparse, q_stream  # noqa: F401
 from .registry import HEADLINE, ORACLE, QUERIES  # noqa: F401
 
 
