@@ -1,5 +1,7 @@
 """Invariants of the boosted-tree flows."""
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,8 +9,9 @@ from pyspark.sql import functions as F
 
 from datasets import SF_SMALL
 from tabflow.functions.noise import hash_uniform
-from tabflow.learners.flows import JointFlow, SequentialFlow
-from tabflow.learners.hist_boost import BoostParams, fit_boosted, predict_margin
+from tabflow.learners.bagging import ForestParams, fit_bagged
+from tabflow.learners.flows import Grid, JointExamples, JointFlow, SequentialFlow, level_times
+from tabflow.learners.hist_boost import BoostParams, PlainRows, fit_boosted, fit_expanded, packed_examples, predict_margin
 from tabflow.sources.registry import load_dataset
 from tabflow.spec import ColumnSpec, TableSpec
 
@@ -153,3 +156,37 @@ def test_quality_floor_beats_uniform_sampler(spark):
         cols = [c for c in r.columns if c != "row_id"]
         return transport.wasserstein1_lower(r, o, cols).first()[0]
     assert w(fake) < w(uni)
+
+
+@pytest.mark.parametrize("bagged", [False, True])
+def test_examples_are_made_once_per_fit(spark, tmp_path, bagged):
+    rows = spark.createDataFrame([(0, i, [i % 7 + 1, i % 3 + 1], 2, float(i % 5), 1.0) for i in range(200)],
+                                 "model long, row_id long, bins array<int>, nin int, y double, w double").coalesce(1)
+    made = str(tmp_path / "made")
+
+    class Counted(PlainRows):       # a line for every time examples are made
+        def blocks(self, pdf):
+            with open(made, "a") as f:
+                f.write("x\n")
+            yield from PlainRows.blocks(self, pdf)
+
+    if bagged:
+        fit_bagged(rows, Counted(2), ForestParams(n_trees=4, depth=3, trees_per_pass=2), 8)
+    else:
+        fit_expanded(rows, Counted(2), BoostParams(n_rounds=3, depth=3), 8)
+    assert len(open(made).read().split()) <= 2       # the examples of one row for the size of a chunk, then all of them
+
+
+def test_chunks_keep_shared_arrays_once_and_bins_in_bytes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, float(rng.uniform(-1, 1)), rng.normal(size=4).tolist(), []) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, lab int, x0 double, z0 array<double>, cb array<int>").coalesce(1)
+    ex = JointExamples(1, 0, 4, 16, level_times(5), {(0, level): Grid(-4.0, 0.5, 16) for level in range(5)})
+    got = packed_examples(df, ex).collect()
+    (ids, n, blocks), = (pickle.loads(r["examples"]) for r in got)
+    plain = list(ex.blocks(df.toPandas()))
+    assert n == 300 and ids.tolist() == list(range(300)) and len(blocks) == len(plain) == 5
+    assert len({id(b.y) for b in blocks}) == 1 and all(b.bins[0].dtype == np.uint8 for b in blocks)
+    for a, b in zip(blocks, plain):
+        models, loc = a.models()
+        assert (models[loc] == b.model).all() and (a.bins[0] == b.bins[0]).all() and (a.y == b.y).all()
