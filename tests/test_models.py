@@ -190,3 +190,11 @@ def test_chunks_keep_shared_arrays_once_and_bins_in_bytes(spark):
     for a, b in zip(blocks, plain):
         models, loc = a.models()
         assert (models[loc] == b.model).all() and (a.bins[0] == b.bins[0]).all() and (a.y == b.y).all()
+
+
+def test_utility_split_is_made_once(spark):
+    from tabflow.plans import q_models
+    tr, te = q_models._split(spark, SF_SMALL)
+    again, _ = q_models._split(spark, SF_SMALL)
+    assert all("InMemory" in d._jdf.queryExecution().executedPlan().toString() for d in (tr, te, again))
+    assert tr.count() + te.count() == q_models._n_rows(spark, SF_SMALL)
