@@ -182,3 +182,25 @@ def test_transport_lies_between_its_bounds(spark):
         assert lower <= exact + 1e-9 and exact <= upper + 1e-9 and upper < 6 * exact
     assert transport.wasserstein1_upper(p, p, ["a", "b"]).first()[0] == 0
     assert transport.wasserstein1_upper(p, q.limit(0), ["a", "b"]).first()[0] is None
+
+
+@pytest.mark.parametrize("pairs", [1 << 21, 64])
+def test_near_boxes_are_those_of_all_leaves_and_far_subtrees_are_skipped(monkeypatch, pairs):
+    monkeypatch.setattr(neighbors, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.uniform(0, 1, 4000), np.where(rng.random(4000) < 0.3, 0.5, 0.0), rng.normal(size=4000)])
+    tree = neighbors.Tree(x[::3], 7)
+    leaf = tree.leaf(x[1::3])
+    leaves = np.unique(leaf)[::2]                   # some leaves hold nothing
+    low, high = (np.array([f(x[1::3][leaf == v], axis=0) for v in leaves]) for f in (np.min, np.max))
+    boxes = neighbors.Boxes(7, leaves, low, high)
+    q, limit = x[2::3], rng.uniform(0, 0.3, len(x[2::3]))
+    limit[:3] = np.inf
+    gap = np.maximum(np.maximum(low[None] - q[:, None], q[:, None] - high[None]), 0.0)
+    dist = gap[..., 0] + gap[..., 1] + gap[..., 2]
+    row, cell = np.nonzero(dist < limit[:, None])
+    got = boxes.near(q, limit)
+    assert sorted(zip(*(v.tolist() for v in got))) == sorted(zip(row.tolist(), leaves[cell].tolist()))
+    gone = neighbors.Boxes(7, leaves, low, high)
+    gone.low[1], gone.high[1] = np.inf, -np.inf     # the left half is far: nothing below it may come
+    assert (gone.near(q, limit)[1] >= 64).all()
