@@ -109,7 +109,7 @@ def _planes(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
 
 
-def _unplane(raw: bytes, n: int, kind, at: int) -> tuple[np.ndarray, int]:
+def _unplane(raw: pa.Buffer, n: int, kind, at: int) -> tuple[np.ndarray, int]:
     width = np.dtype(kind).itemsize
     flat = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
     return np.ascontiguousarray(flat).view(kind)[:, 0], at + n * width
@@ -123,14 +123,14 @@ def pack(points: np.ndarray, sizes: np.ndarray, owner: np.ndarray, h: np.ndarray
     return np.array([len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), "zstd", asbytes=True)
+def unpack(blob: pa.Buffer) -> list[np.ndarray]:
+    raw = pa.decompress(blob.slice(8), int(np.frombuffer(blob, np.int64, 1)[0]), "zstd")
     k, n, extra = np.frombuffer(raw, np.int64, 3).tolist()
     points, at = _unplane(raw, k, np.uint64, 24)
     sizes, at = _unplane(raw, k, np.uint32, at)
     owner, at = _unplane(raw, n, np.uint32, at)
     h, at = _unplane(raw, n, np.uint64, at)
-    out = [points, sizes, owner.astype(np.int64), np.cumsum(h, dtype=np.uint64)]
+    out = [points, sizes, owner, np.cumsum(h, dtype=np.uint64)]
     for _ in range(extra):
         m, at = _unplane(raw, n, np.uint32, at)
         out.append(m)
@@ -159,29 +159,23 @@ def _blob_rows(items: Iterator[tuple[int, bytes]]) -> pa.RecordBatch | None:
     return _batch("bucket blob", [b, x], [pa.int32(), pa.binary()])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    now, blobs = None, []
-    for batch in batches:
-        for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != now and blobs:
-                yield blobs
-                blobs = []
-            now = b
-            blobs.append(x)
-    if blobs:
-        yield blobs
-
-
-def _merge(blobs: list[bytes]):
-    """All postings of a bucket: points, sizes, owner, hash and further columns."""
-    parts = [unpack(x) for x in blobs]
-    points, at, where = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    sizes = np.concatenate([p[1] for p in parts])[at]
-    base, owner = 0, []
-    for p in parts:
-        owner.append(where[base + p[2]])
-        base += len(p[0])
-    return points, sizes, np.concatenate(owner), *[np.concatenate([p[k] for p in parts]) for k in range(3, len(parts[0]))]
+def _merge(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """All postings of one bucket: points, sizes, owner, hash and further columns.  Blobs are read where Arrow holds
+    them, and each list of pieces goes as soon as it is joined."""
+    parts = [unpack(x.as_buffer()) for batch in batches for x in batch.column(1)]
+    columns = [list(c) for c in zip(*parts, strict=True)]
+    del parts
+    points, at, where = np.unique(np.concatenate(columns[0]), return_index=True, return_inverse=True)
+    sizes = np.concatenate(columns[1])[at]
+    where, base = where.astype(np.int32), 0
+    for i, (p, own) in enumerate(zip(columns[0], columns[2], strict=True)):
+        columns[2][i] = where[base + own.astype(np.int64)]
+        base += len(p)
+    out = [points, sizes]
+    for k in range(2, len(columns)):
+        out.append(np.concatenate(columns[k]))
+        columns[k] = []
+    return out
 
 
 def _send_shingles(size: int, buckets: int):
@@ -190,9 +184,10 @@ def _send_shingles(size: int, buckets: int):
         sizes = np.concatenate([x[1] for x in held])
         base, owner = 0, []
         for x in held:
-            owner.append(x[2] + base)
+            owner.append(x[2] + np.int32(base))
             base += len(x[0])
         owner, h = np.concatenate(owner), np.concatenate([x[3] for x in held])
+        held.clear()
         first = np.zeros(len(points), bool)                 # equal sets in this flush are sent once
         first[np.unique(points, return_index=True)[1]] = True
         keep = first[owner]
@@ -207,7 +202,7 @@ def _send_shingles(size: int, buckets: int):
         for batch in batches:
             for _, _, words in word_slices(batch.column(0), lower=True):
                 row, h, n = shingle_sets(words, size)
-                held.append((set_digest(row, h, n), n, row, h))
+                held.append((set_digest(row, h, n), n, row.astype(np.int32), h))
                 n_held += len(h)
                 if n_held >= FLUSH:
                     out = flush(held)
@@ -224,46 +219,45 @@ def _send_shingles(size: int, buckets: int):
 def _count_points(buckets: int):
     """Postings of a hash bucket -> postings of shared shingles with their number of points, dealt by point."""
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _by_bucket(batches):
-            points, sizes, owner, h = _merge(blobs)
-            order = np.lexsort((owner, h))
-            owner, h = owner[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            owner, h = owner[new], h[new]
-            start = np.flatnonzero(np.diff(h, prepend=h[:1] ^ _U(1)))
-            count = np.diff(np.append(start, len(h)))
-            df = np.repeat(count, count)
-            shared = df > 1
-            if shared.any():
-                owner, h, df = owner[shared], h[shared], df[shared]
-                to = (points[owner] % _U(buckets)).astype(np.int64)
-                yield _blob_rows(_deal(to, points, sizes, owner, h, df))
+        points, sizes, owner, h = _merge(batches)
+        order = np.lexsort((owner, h))
+        owner, h = owner[order], h[order]
+        del order
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        owner, h = owner[new], h[new]
+        start = np.flatnonzero(np.diff(h, prepend=h[:1] ^ _U(1)))
+        count = np.diff(np.append(start, len(h))).astype(np.int32)
+        df = np.repeat(count, count)
+        shared = df > 1
+        if shared.any():
+            owner, h, df = owner[shared], h[shared], df[shared]
+            to = (points[owner] % _U(buckets)).astype(np.int64)
+            yield _blob_rows(_deal(to, points, sizes, owner, h, df))
     return stream
 
 
 def _gather(percent: int):
     """Shared shingles by point -> points that may have links: their shared set and their rare shingles."""
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _by_bucket(batches):
-            points, sizes, owner, h, df = _merge(blobs)
-            shared = np.bincount(owner, minlength=len(points))
-            sizes = sizes.astype(np.int64)
-            least = -(-percent * sizes // 100)
-            rare = sizes - least + 1 - (sizes - shared)     # shingles of its own come first in the order
-            order = np.lexsort((h, df, owner))
-            owner, h = owner[order], h[order]
-            first = np.searchsorted(owner, np.arange(len(points) + 1))
-            out = []
-            for p in np.flatnonzero(rare > 0).tolist():
-                own = h[first[p]:first[p + 1]]
-                out.append((int(points[p].astype(np.int64)), int(sizes[p]), float((sizes[p] - shared[p]) / sizes[p]),
-                            np.sort(own).tobytes(), own[:rare[p]].astype(np.int64)))
-                if len(out) == 512:
-                    yield _points(out)
-                    out = []
-            if out:
+        points, sizes, owner, h, df = _merge(batches)
+        shared = np.bincount(owner, minlength=len(points))
+        sizes = sizes.astype(np.int64)
+        least = -(-percent * sizes // 100)
+        rare = sizes - least + 1 - (sizes - shared)         # shingles of its own come first in the order
+        order = np.lexsort((h, df, owner))
+        owner, h = owner[order], h[order]
+        first = np.searchsorted(owner, np.arange(len(points) + 1))
+        out = []
+        for p in np.flatnonzero(rare > 0).tolist():
+            own = h[first[p]:first[p + 1]]
+            out.append((int(points[p].astype(np.int64)), int(sizes[p]), float((sizes[p] - shared[p]) / sizes[p]),
+                        np.sort(own).tobytes(), own[:rare[p]].astype(np.int64)))
+            if len(out) == 512:
                 yield _points(out)
+                out = []
+        if out:
+            yield _points(out)
     return stream
 
 
@@ -278,12 +272,13 @@ def candidate_points(docs: DataFrame, size: int, percent: int) -> DataFrame:
     parts = n_partitions(docs.sparkSession)
     buckets = 2 * parts
 
-    def dealt(df):
-        return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    def by_bucket(df):
+        # a Python worker gets one bucket at a time, however many of them a partition has
+        return df.repartition(parts, "bucket").groupBy("bucket")
 
-    sent = dealt(docs.select("text").mapInArrow(_send_shingles(size, buckets), _BLOBS))
-    back = dealt(sent.mapInArrow(_count_points(buckets), _BLOBS))
-    return materialize(back.mapInArrow(
+    sent = by_bucket(docs.select("text").mapInArrow(_send_shingles(size, buckets), _BLOBS))
+    back = by_bucket(sent.applyInArrow(_count_points(buckets), _BLOBS))
+    return materialize(back.applyInArrow(
         _gather(percent), "point long, n long, own double, shared binary, rare array<long>"))
 
 
@@ -305,7 +300,7 @@ def cells(points: DataFrame, percent: int) -> DataFrame:
             .select("point", "pivot").distinct())
 
 
-def _common(a: bytes, b: bytes) -> int:
+def _common(a: pa.Buffer, b: pa.Buffer) -> int:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
@@ -321,8 +316,8 @@ def measure(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common = np.array([_common(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(),
-                                                             strict=True)], np.int64)
+            common = np.array([_common(x.as_buffer(), y.as_buffer())
+                               for x, y in zip(b.column(4), b.column(5), strict=True)], np.int64)
             n = b.column(2).to_numpy() + b.column(3).to_numpy()
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n - common), pa.array(common)],
                                   names=["point", "pivot", "union", "common"])

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabflow.llm import decontaminate, jaccard, superkmers
@@ -165,6 +168,27 @@ def test_components_with_small_flushes_and_tiles(make, monkeypatch):
     assert found_components(make(rows)) == brute_components(rows)
 
 
+def test_a_bucket_is_counted_in_little_memory():
+    """Merging and counting the postings of a hash bucket holds less than 50 bytes for each of them."""
+    rng = np.random.default_rng(1)
+
+    def blob(k):
+        h = np.concatenate([rng.integers(0, 2 ** 62, 1500), rng.integers(0, 3000, 1500)]).astype(np.uint64)
+        return jaccard.pack(np.arange(500 * k, 500 * k + 500, dtype=np.uint64), np.full(500, 60),
+                            rng.integers(0, 500, 3000), np.sort(h))
+
+    batch = pa.record_batch([pa.array([3] * 60, pa.int32()), pa.array([blob(k) for k in range(60)], pa.binary())],
+                            names=["bucket", "blob"])
+    tracemalloc.start()
+    try:
+        found = list(jaccard._count_points(8)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 8
+    assert peak < 50 * 60 * 3000
+
+
 def test_components_on_odd_rows(make, odd_rows):
     assert found_components(make(odd_rows)) == brute_components(odd_rows)
     assert jaccard.jaccard_components(make([])).count() == 0
