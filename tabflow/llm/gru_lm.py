@@ -28,6 +28,7 @@ scores; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ from tabflow.llm.text import Words, word_slices
 from tabflow.session import materialize, scratch_path
 
 SHORTLIST, CLASS_SIZE, EMBED, HIDDEN, STEPS, LANES = 2048, 32, 16, 24, 32, 32
+STACK, SIDE, SETTLE = 8, 1024, 1 << 14   # trainers that learn and documents that are scored side by side, tokens at a time
 CHUNK_BYTES = 16 << 20
 FORMS = 6
 _U = np.uint64
@@ -82,10 +84,24 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax of each row at one column.  One common shift serves all rows unless a row lies far below it."""
-    x = x - x.max(initial=0.0)
-    total = np.exp(x) @ np.ones(x.shape[1], x.dtype)
+class Room:
+    """Work arrays by name that calls use again and again: a fresh large array costs a page fault for every 4 kB."""
+
+    def __init__(self, kind=F32):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size + size // 4, self.kind)
+        return self.held[name][:size].reshape(shape)
+
+
+def _log_share(x: np.ndarray, at: np.ndarray, room: Room) -> np.ndarray:
+    """log softmax of each row at one column; ``x`` is used up.  One common shift serves all rows unless a row lies far
+    below it."""
+    x -= x.max(initial=0.0)
+    total = np.exp(x, out=room("exp", *x.shape)) @ np.ones(x.shape[1], x.dtype)
     if len(total) and total.min() < 1e-30:
         return _log_softmax(x)[np.arange(len(at)), at]
     return x[np.arange(len(at)), at] - np.log(total)
@@ -102,24 +118,34 @@ class Layout:
         return np.where(ids < self.end, ids // CLASS_SIZE, ids - self.end + self.n_class)
 
 
-def output_log_prob(w, lay: Layout, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def output_log_prob(w, lay: Layout, h: np.ndarray, ids: np.ndarray, room: Room | None = None) -> np.ndarray:
     """log P(token) of ids given the states before them (a form class counts as its class only)."""
-    cls = lay.target_class(ids)
-    lp = _log_share(h @ w["wc"] + w["bc"], cls).astype(np.float64)
+    cls, room = lay.target_class(ids), room or Room(np.result_type(h, w["wc"]))
+    lp = np.empty(len(ids))
+    for a in range(0, len(ids), 2048):
+        part = h[a:a + 2048]
+        x = np.matmul(part, w["wc"], out=room("logits", len(part), w["wc"].shape[1]))
+        x += w["bc"]
+        lp[a:a + 2048] = _log_share(x, cls[a:a + 2048], room)
     words = np.flatnonzero(ids < lay.end)
     if not len(words):
         return lp
     c, place = cls[words], ids[words] % CLASS_SIZE
     if len(words) < 2000:
         logits = np.matmul(h[words][:, None, :], w["ww"][c])[:, 0] + w["bw"][c]
-        lp[words] += _log_share(logits, place)
+        lp[words] += _log_share(logits, place, room)
         return lp
     order = np.argsort(c, kind="stable")
     edges = np.searchsorted(c[order], np.arange(lay.n_class + 1))
+    state, share = np.take(h, words[order], axis=0, out=room("state", len(words), h.shape[1]), mode="clip"), np.empty(len(words))
+    place = place[order]
     for k in range(lay.n_class):
-        own = order[edges[k]:edges[k + 1]]
-        if len(own):
-            lp[words[own]] += _log_share(h[words[own]] @ w["ww"][k] + w["bw"][k], place[own])
+        for a in range(edges[k], edges[k + 1], 2048):
+            own = slice(a, min(a + 2048, edges[k + 1]))
+            x = np.matmul(state[own], w["ww"][k], out=room("logits", own.stop - a, CLASS_SIZE))
+            x += w["bw"][k]
+            share[own] = _log_share(x, place[own], room)
+    lp[words[order]] += share
     return lp
 
 
@@ -128,124 +154,289 @@ def score_documents(w: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray
     ``extra`` is each token's log share inside its form class (0 for other tokens)."""
     lay = Layout(w)
     table = w["emb"] @ w["wx"] + w["b"]
+    table[:, :2 * HIDDEN] *= -1                              # gates are 1 / (1 + exp(-x))
+    minus = -w["uzr"]
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
-    length, begin = length[order], first[:-1][order]
-    out = np.zeros(len(order))
-    h = np.zeros((len(order), HIDDEN), F32)
-    states, targets, owners, held = [], [], [], 0
+    result = np.zeros(len(order))
+    for at in range(0, len(order), SIDE):
+        own = order[at:at + SIDE]
+        result[own] = _score_side_by_side(w, lay, table, minus, ids, first[:-1][own], length[own])
+    if len(extra):
+        result += np.add.reduceat(extra, first[:-1]) if len(first) > 1 else 0
+    return result
 
-    def settle():
-        if targets:
-            lp = output_log_prob(w, lay, np.concatenate(states), np.concatenate(targets))
-            np.add.at(out, np.concatenate(owners), lp)
-            states.clear(), targets.clear(), owners.clear()
 
+def _score_side_by_side(w, lay, table, minus, ids, begin, length) -> np.ndarray:
+    """log P of documents in descending order of length, by the model alone."""
+    out, room = np.zeros(len(begin)), Room()
+    h, states = np.zeros((len(begin), HIDDEN), F32), np.empty((SETTLE + len(begin), HIDDEN), F32)
+    targets, owners, held = [], [], 0
     for t in range(int(length[0]) if len(length) else 0):
         n = int(np.searchsorted(-length, -t, side="left"))        # documents longer than t
         at = begin[:n] + t
-        prev = ids[at - 1] if t else np.full(n, lay.end)
-        h = h[:n]
+        h, new = h[:n], states[held:held + n]
         if t:
-            x = table[prev]
-            zr = _sigmoid(x[:, :2 * HIDDEN] + h @ w["uzr"])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            h = h + z * (np.tanh(x[:, 2 * HIDDEN:] + (r * h) @ w["uh"]) - h)
-        states.append(h)
+            x = np.take(table, ids[at - 1], axis=0, out=room("x", n, 3 * HIDDEN), mode="clip")
+            zr = np.matmul(h, minus, out=room("zr", n, 2 * HIDDEN))
+            zr += x[:, :2 * HIDDEN]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            rh = np.multiply(zr[:, HIDDEN:], h, out=room("rh", n, HIDDEN))
+            np.matmul(rh, w["uh"], out=new)
+            new += x[:, 2 * HIDDEN:]
+            np.tanh(new, out=new)
+            new -= h
+            new *= zr[:, :HIDDEN]
+            new += h
+        else:
+            new[:] = h
+        h = new
         targets.append(ids[at])
         owners.append(np.arange(n))
         held += n
-        if held >= 1 << 15:
-            settle()
-            held = 0
-    settle()
-    result = np.zeros(len(order))
-    result[order] = out
-    if len(extra):
-        result += np.add.reduceat(extra, first[:-1]) if len(first) > 1 else 0
-    return result
+        if held >= SETTLE or t + 1 == length[0]:
+            lp = output_log_prob(w, lay, states[:held], np.concatenate(targets), room)
+            out += np.bincount(np.concatenate(owners), lp, len(out))
+            targets, owners, held = [], [], 0
+            h = h.copy()                                          # its place is written again
+    return out
 
 
 def train(w: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, seed: int = 0) -> dict[str, np.ndarray]:
     """One pass of truncated backpropagation with Adam over documents (arrays of model ids, end mark last)."""
-    w, lay = {k: v.copy() for k, v in w.items()}, Layout(w)
+    return train_many(w, [docs], rate, seed)[0]
+
+
+def _lanes(docs: list[np.ndarray], end: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a trainer and the tokens before them, (lane, time)."""
     order = np.random.default_rng(seed).permutation(len(docs))
     tokens = np.concatenate([docs[i] for i in order])
     lanes = min(LANES, max(len(tokens) // STEPS, 1))
     per = -(-len(tokens) // lanes)
-    target = np.resize(tokens, per * lanes).reshape(lanes, per).T           # (time, lane), filled up from the start
-    source = np.vstack([np.full((1, lanes), lay.end), target[:-1]])
-    m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
-    h = np.zeros((lanes, HIDDEN), F32)
-    for t0 in range(0, per, STEPS):
-        x_id, y = source[t0:t0 + STEPS], target[t0:t0 + STEPS]
-        grad, h = _window(w, lay, x_id, y, h)
-        step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        clip = min(1.0, 1.0 / max(norm, 1e-9))
-        for k, g in grad.items():
-            g = g * F32(clip)
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
-            w[k] -= F32(rate) * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + F32(1e-6))
-    return w
+    target = np.resize(tokens, per * lanes).reshape(lanes, per)             # filled up from the start
+    return target, np.hstack([np.full((lanes, 1), end), target[:, :-1]])
+
+
+def train_many(w: dict[str, np.ndarray], groups: list[list[np.ndarray]], rate: float,
+               seed: int = 0) -> list[dict[str, np.ndarray]]:
+    """``train`` for several trainers that start from the same weights, side by side: each has its own weights, windows
+    and Adam steps; stacked arrays only share the calls."""
+    lay, names = Layout(w), list(w)
+    data = [_lanes(docs, lay.end, seed) for docs in groups]
+    flat = np.concatenate([w[k].ravel() for k in names])
+    edges = np.cumsum([0] + [w[k].size for k in names])
+    done, room = [None] * len(groups), Room()
+    for lanes in sorted({len(target) for target, _ in data}):
+        own = sorted((i for i, (target, _) in enumerate(data) if len(target) == lanes),
+                     key=lambda i: -data[i][0].shape[1])
+        weight = np.tile(flat, (len(own), 1))
+        grad, m, v = np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(weight)
+        h = np.zeros((len(own), lanes, HIDDEN), weight.dtype)
+        length = [data[i][0].shape[1] for i in own]
+
+        def parts(a, lo, hi, edges=edges):
+            return {k: a[lo:hi, edges[j]:edges[j + 1]].reshape(hi - lo, *w[k].shape) for j, k in enumerate(names)}
+
+        for step, t0 in enumerate(range(0, length[0], STEPS), 1):
+            whole = sum(n - t0 >= STEPS for n in length)
+            live = sum(n > t0 for n in length)
+            # a last, shorter window is a trainer's own
+            for lo, hi in ([(0, whole)] if whole else []) + [(i, i + 1) for i in range(whole, live)]:
+                x_id, y = (np.stack([data[i][k][:, t0:t0 + STEPS].T for i in own[lo:hi]]) for k in (1, 0))
+                _, h[lo:hi] = _windows(parts(weight, lo, hi), lay, x_id, y, h[lo:hi], parts(grad, lo, hi), room)
+                for i in range(lo, hi):
+                    _adam(weight[i], grad[i], m[i], v[i], rate, step)
+        for row, i in enumerate(own):
+            done[i] = {k: a[0] for k, a in parts(weight, row, row + 1).items()}
+    return done
+
+
+def _adam(w, g, m, v, rate: float, step: int) -> None:
+    """One Adam step in place with the gradient's norm cut at 1; ``g`` is used up."""
+    clip = min(1.0, 1.0 / max(float(np.sqrt(np.dot(g, g))), 1e-9))
+    up, root = 1 - 0.9 ** step, np.sqrt(1 - 0.99 ** step)
+    for a in range(0, len(w), BLOCK):                        # stays in the cache from first to last
+        at = slice(a, a + BLOCK)
+        _adam_block(w[at], g[at], m[at], v[at], F32(0.1 * clip), F32(1e-6 * root), F32(rate * root / up))
+
+
+def _adam_block(w, g, m, v, cut, least, pace) -> None:
+    g *= cut
+    m *= F32(0.9)
+    m += g
+    g *= g                                                   # 0.01 times the square of the cut gradient
+    v *= F32(0.99)
+    v += g
+    np.sqrt(v, out=g)
+    g += least
+    np.divide(m, g, out=g)
+    g *= pace
+    w -= g
+
+
+def _softmax(x: np.ndarray, scale, e: np.ndarray) -> np.ndarray:
+    """softmax of the last axis times ``scale`` (one number, or one a row) in ``e``; ``x`` is used up.  One common shift
+    serves all rows unless a row lies far below it."""
+    x -= x.max(initial=0.0)
+    ones = np.ones(x.shape[-1], x.dtype)
+    np.exp(x, out=e)
+    total = (e.reshape(-1, x.shape[-1]) @ ones).reshape(x.shape[:-1])
+    if total.size and total.min() < 1e-30:
+        x -= x.max(-1, keepdims=True)
+        np.exp(x, out=e)
+        total = e.sum(-1)
+    e *= (scale / total).astype(x.dtype)[..., None]
+    return e
 
 
 def _window(w, lay, x_id, y, h):
-    """Gradients of the mean token loss over one window, and the state after it."""
-    steps, lanes = x_id.shape
-    n, hid = steps * lanes, HIDDEN
-    x = (w["emb"][x_id] @ w["wx"] + w["b"]).astype(F32)
-    fresh = (x_id == lay.end)[..., None]                     # a new document starts from the zero state
-    hp, z, r, c = (np.zeros((steps, lanes, hid), F32) for _ in range(4))
-    hs = np.zeros((steps, lanes, hid), F32)
+    """Gradients of the mean token loss over one window (time, lane), and the state after it."""
+    grad = {k: np.zeros_like(a)[None] for k, a in w.items()}
+    grad, h = _windows({k: a[None] for k, a in w.items()}, lay, x_id[None], y[None], h[None], grad,
+                       Room(w["wx"].dtype))
+    return {k: a[0] for k, a in grad.items()}, h[0]
+
+
+def _apart(a: np.ndarray, k: int) -> np.ndarray:
+    """``k`` equal parts of the last axis as a first axis."""
+    return np.ascontiguousarray(np.moveaxis(a.reshape(*a.shape[:-1], k, -1), -2, 0))
+
+
+def _sorted_order(key: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order of whole numbers below ``limit``; two bytes are sorted by digit."""
+    return np.argsort(key.astype(np.uint16) if limit <= 1 << 16 else key, kind="stable")
+
+
+def _windows(w, lay, x_id, y, h, g, room):
+    """Gradients (into ``g``) of the mean token loss over one window of each trainer, and the states after it; all arrays
+    have the trainer first, ids are (trainer, time, lane)."""
+    many, steps, lanes = x_id.shape
+    n, hid, kind = steps * lanes, HIDDEN, w["wx"].dtype
+    who, flat_x = np.arange(many)[:, None], x_id.reshape(many, n)
+    e = w["emb"][who, flat_x]
+    # gates z, r and the candidate c lie apart, so that the arrays of a step are whole
+    wx, b, uzr = _apart(w["wx"], 3), _apart(w["b"][:, None], 3), _apart(w["uzr"], 2)
+    x = np.matmul(e, wx, out=room("x", 3, many, n, hid))
+    x += b
+    gates, c = x[:2].reshape(2, many, steps, lanes, hid), x[2].reshape(many, steps, lanes, hid)
+    np.negative(gates, out=gates)                            # becomes z and r
+    minus, fresh = np.negative(uzr), x_id == lay.end
+    keep, begins = (~fresh).astype(kind)[..., None], fresh.any((0, 2)).tolist()
+    hp, rh, step, hs, stay, to_c, to_z, to_r = (room(k, many, steps, lanes, hid) for k in
+                                                ("hp", "rh", "step", "hs", "stay", "to_c", "to_z", "to_r"))
+    add, drh = room("add", 2, many, lanes, hid), room("drh", many, lanes, hid)
     for t in range(steps):
-        hp[t] = np.where(fresh[t], 0, h)
-        zr = _sigmoid(x[t, :, :2 * hid] + hp[t] @ w["uzr"])
-        z[t], r[t] = zr[:, :hid], zr[:, hid:]
-        c[t] = np.tanh(x[t, :, 2 * hid:] + (r[t] * hp[t]) @ w["uh"])
-        h = np.where(fresh[t], 0, hp[t] + z[t] * (c[t] - hp[t]))   # scoring starts from zero, unmoved by the mark
-        hs[t] = h
-    flat, ids = hs.reshape(n, hid), y.reshape(n)
+        p, zr, ct = hp[:, t], gates[:, :, t], c[:, t]
+        p[...] = h
+        if begins[t]:
+            p *= keep[:, t]                                  # a new document starts from the zero state
+        zr += np.matmul(p, minus, out=add)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        ct += np.matmul(np.multiply(zr[1], p, out=rh[:, t]), w["uh"], out=drh)
+        np.tanh(ct, out=ct)
+        h = np.multiply(zr[0], np.subtract(ct, p, out=step[:, t]), out=hs[:, t])
+        h += p
+        if begins[t]:
+            h *= keep[:, t]                                  # scoring starts from zero, unmoved by the mark
+    flat, ids = hs.reshape(many, n, hid), y.reshape(many, n)
     cls = lay.target_class(ids)
-    g = {k: np.zeros_like(a) for k, a in w.items()}
-    d = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
-    d[np.arange(n), cls] -= 1
-    d /= n
-    g["wc"], g["bc"] = flat.T @ d, d.sum(0)
-    dh_out = d @ w["wc"].T
-    words = np.flatnonzero(ids < lay.end)
-    if len(words):
-        words = words[np.argsort(cls[words], kind="stable")]
-        edges = np.searchsorted(cls[words], np.arange(lay.n_class + 1))
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            own = words[edges[k]:edges[k + 1]]
-            state = flat[own]
-            e = np.exp(_log_softmax(state @ w["ww"][k] + w["bw"][k]))
-            e[np.arange(len(own)), ids[own] % CLASS_SIZE] -= 1
-            e /= n
-            g["ww"][k] = state.T @ e
-            g["bw"][k] = e.sum(0)
-            dh_out[own] += e @ w["ww"][k].T
-    dh_out = dh_out.reshape(steps, lanes, hid)
-    dx, back = np.zeros_like(x), np.zeros((lanes, hid), F32)
+    dh_out, ones = room("dh", many, n, hid), np.ones(n, kind)
+    for i in range(many):
+        d = np.matmul(flat[i], w["wc"][i], out=room("logits", n, w["wc"].shape[2]))
+        d += w["bc"][i]
+        d = _softmax(d, 1 / n, room("d", *d.shape))
+        d[np.arange(n), cls[i]] -= kind.type(1 / n)
+        np.matmul(flat[i].T, d, out=g["wc"][i])
+        np.matmul(ones, d, out=g["bc"][i])
+        np.matmul(d, w["wc"][i].T, out=dh_out[i])
+    _class_gradients(w, lay, flat, ids, cls, dh_out, g, room)
+    dh_out = dh_out.reshape(many, steps, lanes, hid)
+    z, r = gates
+    np.subtract(1, z, out=stay)
+    np.multiply(c, c, out=to_c)
+    np.subtract(1, to_c, out=to_c)
+    to_c *= z
+    np.multiply(step, z, out=to_z)
+    to_z *= stay
+    np.subtract(1, r, out=to_r)
+    to_r *= rh
+    dx, back = room("dx", 3, many, steps, lanes, hid), np.zeros((many, lanes, hid), kind)
+    uh, uzr = w["uh"].swapaxes(1, 2), uzr.swapaxes(2, 3)
     for t in range(steps - 1, -1, -1):
-        dh = np.where(fresh[t], 0, dh_out[t] + back)
-        dc = dh * z[t] * (1 - c[t] ** 2)
-        dz = dh * (c[t] - hp[t]) * z[t] * (1 - z[t])
-        drh = dc @ w["uh"].T
-        dr = drh * hp[t] * r[t] * (1 - r[t])
-        dzr = np.hstack([dz, dr])
-        g["uh"] += (r[t] * hp[t]).T @ dc
-        g["uzr"] += hp[t].T @ dzr
-        dx[t] = np.hstack([dzr, dc])
-        back = np.where(fresh[t], 0, dh * (1 - z[t]) + drh * r[t] + dzr @ w["uzr"].T)
-    e, d2 = w["emb"][x_id].reshape(n, -1), dx.reshape(n, -1)
-    g["wx"], g["b"] = e.T @ d2, d2.sum(0)
-    np.add.at(g["emb"], x_id.reshape(n), d2 @ w["wx"].T)
+        dh, to = dh_out[:, t], dx[:, :, t]
+        dh += back
+        if begins[t]:
+            dh *= keep[:, t]
+        np.matmul(np.multiply(dh, to_c[:, t], out=to[2]), uh, out=drh)
+        np.multiply(dh, to_z[:, t], out=to[0])
+        np.multiply(drh, to_r[:, t], out=to[1])
+        np.matmul(to[:2], uzr, out=add)
+        drh *= r[:, t]
+        dh *= stay[:, t]
+        np.add(add[0], add[1], out=back)
+        back += drh
+        back += dh
+    dx = dx.reshape(3, many, n, hid)
+    g["uh"][...] = np.matmul(rh.reshape(many, n, hid).swapaxes(1, 2), dx[2])
+    hp, e_t = hp.reshape(many, n, hid).swapaxes(1, 2), e.swapaxes(1, 2)
+    for k in range(3):
+        at = slice(k * hid, (k + 1) * hid)
+        g["wx"][..., at], g["b"][..., at] = np.matmul(e_t, dx[k]), np.matmul(ones, dx[k])
+        if k < 2:
+            g["uzr"][..., at] = np.matmul(hp, dx[k])
+    inputs = w["emb"].shape[1]
+    key = (who * inputs + flat_x).ravel()
+    order = _sorted_order(key, many * inputs)
+    key = key[order]
+    head = np.flatnonzero(np.diff(key, prepend=-1))
+    d_emb, wx = np.matmul(dx[0], wx[0].swapaxes(1, 2), out=room("d_emb", *e.shape)), wx.swapaxes(2, 3)
+    for k in (1, 2):
+        d_emb += np.matmul(dx[k], wx[k], out=room("more", *e.shape))
+    d_emb = d_emb.reshape(many * n, -1)[order]
+    g["emb"][...] = 0
+    g["emb"][key[head] // inputs, key[head] % inputs] = np.add.reduceat(d_emb, head)
     return g, h
 
 
+def _class_gradients(w, lay, flat, ids, cls, dh_out, g, room) -> None:
+    """Adds the words' part inside their class.  The (trainer, class) pairs of a window that have about as many words are
+    one padded batch: up to twice the words, a few calls instead of some for each class."""
+    many, n, hid = flat.shape
+    g["ww"][...], g["bw"][...] = 0, 0
+    ids = ids.ravel()
+    word = np.flatnonzero(ids < lay.end)
+    if not len(word):
+        return
+    pair = (word // n) * lay.n_class + cls.ravel()[word]
+    word = word[_sorted_order(pair, many * lay.n_class)]
+    count = np.bincount(pair, minlength=many * lay.n_class)
+    start = np.cumsum(count) - count
+    present = np.flatnonzero(count)
+    size = np.ceil(np.log2(count[present])).astype(np.int64)
+    state, dh = flat.reshape(many * n, hid), dh_out.reshape(many * n, hid)
+    for k in np.unique(size).tolist():
+        own = present[size == k]
+        slot = np.arange(count[own].max())
+        real = slot < count[own][:, None]
+        at = word[np.minimum(start[own][:, None] + slot, len(word) - 1)]
+        who, c = own // lay.n_class, own % lay.n_class
+        u = w["ww"][who, c]
+        x = np.take(state, at, axis=0, out=room("state", *at.shape, hid), mode="clip")
+        e = np.matmul(x, u, out=room("logits", *at.shape, CLASS_SIZE))
+        e += w["bw"][who, c][:, None]
+        e = _softmax(e, real / n, room("d", *e.shape))
+        mine, place = at[real], np.flatnonzero(real)
+        e.ravel()[place * CLASS_SIZE + ids[mine] % CLASS_SIZE] -= e.dtype.type(1 / n)
+        g["ww"][who, c] = np.matmul(x.swapaxes(1, 2), e)
+        g["bw"][who, c] = np.matmul(np.ones(len(slot), e.dtype), e)
+        back = np.matmul(e, u.swapaxes(1, 2), out=room("back", *x.shape))
+        dh[mine] += back.reshape(-1, hid)[place]
+
+
 # ---------------------------------------------------------------- words of chunks
 
 def _forms(words: Words) -> np.ndarray:
@@ -406,6 +597,7 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
     trainers = max(int(tokens // (200_000 * rounds)), 1)
     # a trainer is a group of documents by row hash, not a partition: its result does not depend on where it runs
     placed = sample.withColumn("trainer", F.pmod("key", F.lit(trainers)).cast("int")) \
+        .withColumn("stack", F.floor(F.col("trainer") / STACK)) \
         .withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), F.col("key")), F.lit(rounds)).cast("int"))
     names = sorted(weights)
     shapes = {k: weights[k].shape for k in names}
@@ -414,18 +606,24 @@ def fit_weights(rows: DataFrame, vocab: Vocabulary, train_share: float, rounds:
         sent = spark.sparkContext.broadcast(weights)
 
         def work(batches, sent=sent, r=r):
-            now, docs = None, []
+            def learned(groups):
+                found = train_many(sent.value, groups, rate / (1 + r), seed=r)
+                return [_weight_blocks(w, names, docs) for w, docs in zip(found, groups, strict=True)]
+
+            now, groups = None, []
             for batch in batches:
-                for g, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if g != now and docs:
-                        yield _weight_blocks(train(sent.value, docs, rate / (1 + r), seed=r), names, docs)
-                        docs = []
-                    now = g
-                    docs.append(np.frombuffer(ids, np.int32))
-            if docs:
-                yield _weight_blocks(train(sent.value, docs, rate / (1 + r), seed=r), names, docs)
-
-        dealt = placed.filter(F.col("slice") == r).repartition(trainers, "trainer") \
+                for trainer, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if trainer != now:
+                        if groups and (len(groups) == STACK or trainer // STACK != now // STACK):
+                            yield from learned(groups)
+                            groups = []
+                        now = trainer
+                        groups.append([])
+                    groups[-1].append(np.frombuffer(ids, np.int32))
+            if groups:
+                yield from learned(groups)
+
+        dealt = placed.filter(F.col("slice") == r).repartition(-(-trainers // STACK), "stack") \
             .sortWithinPartitions("trainer", "key", "ids")
         made = dealt.select("trainer", "ids").mapInArrow(work, "block int, share double, x binary")
         mean = (made.repartition(n_partitions(spark), "block").sortWithinPartitions("block")

@@ -70,6 +70,53 @@ def test_probabilities_add_up_and_state_is_carried():
         assert np.isclose(alone[0], got, rtol=1e-5)
 
 
+def plain_training(w, docs, rate, seed):
+    """Window after window, each weight by the formula of Adam."""
+    w, lay = {k: v.copy() for k, v in w.items()}, gru_lm.Layout(w)
+    tokens = np.concatenate([docs[i] for i in np.random.default_rng(seed).permutation(len(docs))])
+    lanes = min(gru_lm.LANES, max(len(tokens) // gru_lm.STEPS, 1))
+    per = -(-len(tokens) // lanes)
+    target = np.resize(tokens, per * lanes).reshape(lanes, per).T
+    source = np.vstack([np.full((1, lanes), lay.end), target[:-1]])
+    m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+    h = np.zeros((lanes, gru_lm.HIDDEN), np.float32)
+    for step, t0 in enumerate(range(0, per, gru_lm.STEPS), 1):
+        grad, h = gru_lm._window(w, lay, source[t0:t0 + gru_lm.STEPS], target[t0:t0 + gru_lm.STEPS], h)
+        clip = min(1.0, 1.0 / np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grad.values())))
+        for k, g in grad.items():
+            m[k] = 0.9 * m[k] + 0.1 * clip * g
+            v[k] = 0.99 * v[k] + 0.01 * (clip * g) ** 2
+            w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-6)
+    return w
+
+
+def test_trainers_side_by_side_learn_as_each_alone_with_few_calls():
+    """Trainers of several lengths (one with fewer lanes) get the weights of a plain training; ten share their calls."""
+    import sys
+    rng = np.random.default_rng(4)
+    w = gru_lm.start_weights(np.arange(170, 0, -1), np.full(gru_lm.FORMS, 5.0), 9.0)
+    end = gru_lm.Layout(w).end
+    common = np.minimum(rng.geometric(0.05, (10, 40, 90)), 170) - 1
+    groups = [[np.append(d, end).astype(np.int32) for d in docs] for docs in common]
+    groups[1], groups[2] = groups[1][:30], groups[2][:3]
+    for docs, got in zip(groups, gru_lm.train_many(w, groups, 0.01, seed=1)):
+        want = plain_training(w, docs, 0.01, 1)
+        assert all(np.allclose(got[k], want[k], rtol=1e-3, atol=2e-4) for k in w)
+    calls = []
+    for some in (groups[3:4], groups[3:] + groups[3:6]):
+        calls.append(0)
+
+        def count(frame, event, arg):
+            calls[-1] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            gru_lm.train_many(w, some, 0.01)
+        finally:
+            sys.setprofile(None)
+    assert calls[1] < 5 * calls[0]
+
+
 def brute_base(rows, learn):
     import re
     up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
