@@ -439,13 +439,20 @@ def _class_gradients(w, lay, flat, ids, cls, dh_out, g, room) -> None:
 
 # ---------------------------------------------------------------- words of chunks
 
+#: Final mark by last byte: none (letter, digit or non-ASCII), full stop, other.
+_MARK = np.full(256, 2, np.uint8)
+_MARK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 0
+_MARK[46] = 1
+
+
 def _forms(words: Words) -> np.ndarray:
     """Form class of each word: non-ASCII or not, and final mark (none, full stop, other)."""
-    foreign = np.concatenate([[0], np.cumsum(words.buf >= 128)])
-    last = words.buf[words.end - 1]
-    letter = ((last >= 97) & (last <= 122)) | (last >= 128) | ((last >= 48) & (last <= 57))
-    mark = np.where(letter, 0, np.where(last == 46, 1, 2))
-    return (3 * (foreign[words.end] > foreign[words.start]) + mark).astype(np.uint8)
+    mark = _MARK[words.buf[words.end - 1]]
+    if words.buf.max(initial=0) < 128:
+        return mark
+    foreign = np.zeros(len(words.buf) + 1, np.int32)
+    np.cumsum(words.buf >= 128, out=foreign[1:])
+    return mark + np.uint8(3) * (foreign[words.end] > foreign[words.start])
 
 
 def _chunk_words(text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -519,14 +526,25 @@ class Vocabulary:
         self.form_mass = n_f
         self.form_total = n_f + 0.1 * v_f + 0.1
         self.order = np.argsort(self.hash)
+        self.sorted = self.hash[self.order]
+        # by the leading 16 bits of a hash: the first word that has them, and how many have
+        self.slot = np.searchsorted(self.sorted >> _U(48), np.arange(1 << 16, dtype=np.uint64)).astype(np.int32)
+        self.held = np.bincount((self.sorted >> _U(48)).astype(np.int64), minlength=1 << 16).astype(np.int32)
+        self.slot[self.held == 0] = 0
         self.end = max(-(-len(self.hash) // CLASS_SIZE), 1) * CLASS_SIZE
 
     def ids(self, uniq: np.ndarray, form: np.ndarray) -> np.ndarray:
         out = self.end + 1 + form.astype(np.int64)
         if len(self.hash):
-            sorted_hash = self.hash[self.order]
-            at = np.minimum(np.searchsorted(sorted_hash, uniq), len(sorted_hash) - 1)
-            out = np.where(sorted_hash[at] == uniq, self.order[at], out)
+            lead = (uniq >> _U(48)).astype(np.int32)
+            at = self.slot[lead]
+            found = self.sorted[at] == uniq
+            for k in range(1, int(self.held.max())):
+                rest = np.flatnonzero(self.held[lead] > k)
+                rest = rest[~found[rest]]
+                at[rest] += 1
+                found[rest] = self.sorted[at[rest]] == uniq[rest]
+            out = np.where(found, self.order[at], out)
         return np.where(uniq == END_HASH, self.end, out)
 
     def shares(self, ids: np.ndarray, form: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -117,6 +117,28 @@ def test_trainers_side_by_side_learn_as_each_alone_with_few_calls():
     assert calls[1] < 5 * calls[0]
 
 
+def test_forms_and_ids_of_words_match_plain_ones():
+    import pyarrow as pa
+
+    from tabflow.llm.text import word_slices
+    rng = np.random.default_rng(6)
+    known = np.unique(np.concatenate([rng.integers(0, 2 ** 63, 300), rng.integers(0, 50, 40) + (5 << 48)])).astype(np.uint64)
+    top = [{"hash": int(h.astype(np.int64)), "n": 9, "form": 1} for h in rng.permutation(known)]
+    vocab = gru_lm.Vocabulary(top, [{"form": 1, "n": 9 * len(top), "v": len(top)}])
+    place = {h["hash"]: i for i, h in enumerate(top)}
+    asked = rng.permutation(np.concatenate([known, rng.integers(0, 2 ** 63, 500).astype(np.uint64), known + np.uint64(1),
+                                            [gru_lm.END_HASH]]))
+    form = rng.integers(0, gru_lm.FORMS, len(asked)).astype(np.uint8)
+    want = [vocab.end if h == gru_lm.END_HASH else place.get(int(h.astype(np.int64)), vocab.end + 1 + int(f))
+            for h, f in zip(asked, form)]
+    assert vocab.ids(asked, form).tolist() == want
+    text = "plain full. other! 9 x-1 Ünd über. naïve, 日本 :"
+    (_, _, words), = word_slices(pa.chunked_array([pa.array([text, None, "z."])]), lower=True)
+    assert gru_lm._forms(words).tolist() == [0, 1, 2, 0, 0, 3, 4, 5, 3, 2, 1]
+    (_, _, words), = word_slices(pa.chunked_array([pa.array(["one two. ;", ""])]), lower=True)
+    assert gru_lm._forms(words).tolist() == [0, 1, 2]
+
+
 def brute_base(rows, learn):
     import re
     up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
