@@ -1,16 +1,81 @@
-"""Fits at size: what is cached."""
+"""Fits at size: whole category models, equal rows once, caches, small example sets in one task."""
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from datasets import SF_SMALL
-from tabflow.learners import flows
-from tabflow.learners.hist_boost import BoostParams
+from tabflow.learners import flows, hist_boost
+from tabflow.learners.hist_boost import BoostParams, fit_boosted
+from tabflow.plans import q_models
 from tabflow.sources.registry import load_dataset
 
 SMALL = dict(n_t=3, K=2, n_bins=16)
 CLF = BoostParams(n_rounds=3, depth=3, eta=0.1, objective="softmax")
 
 
+def _sorted(df):
+    return df.toPandas().sort_values(["kind", "feature", "label", "level", "output", "round"], ignore_index=True)
+
+
+def test_category_models_are_fitted_at_the_reference_settings(spark):
+    t = q_models.q_fit_category(spark, SF_SMALL)
+    got = t.agg(F.countDistinct("round").alias("rounds"), F.min(F.size("leaf")).alias("leaves"),
+                F.min("kind").alias("a"), F.max("kind").alias("b")).first()
+    assert (got["rounds"], got["leaves"], got["a"], got["b"]) == (115, 128, "category", "category")
+
+
+@pytest.mark.parametrize("n", [60, 900])
+def test_equal_rows_train_the_same_classifiers(spark, monkeypatch, n):
+    df, spec = load_dataset(spark, SF_SMALL, "orders")
+    df = df.limit(n).unionByName(df.limit(30))
+    fit = lambda: flows.SequentialFlow(clf=CLF, **SMALL).fit(df, spec, kinds=("category",))
+    seen, plain = [], flows.CategoryExamples.equal_rows
+    monkeypatch.setattr(flows.CategoryExamples, "equal_rows", lambda self, d: seen.append((d.count(), plain(self, d).count())) or plain(self, d))
+    a = _sorted(flows.sequential_model_table(fit()))
+    monkeypatch.setattr(flows.CategoryExamples, "equal_rows", lambda self, d: d)
+    b = _sorted(flows.sequential_model_table(fit()))
+    assert seen and seen[0][1] < seen[0][0]
+    for c in ("split_input", "threshold", "default_left"):
+        assert np.array_equal(np.stack(a[c]).astype(float), np.stack(b[c]).astype(float), equal_nan=True)
+    assert np.allclose(np.stack(a["leaf"]), np.stack(b["leaf"]), atol=1e-6)
+
+
+@pytest.mark.parametrize("params", [BoostParams(n_rounds=3, depth=3, subsample=0.7),
+                                    BoostParams(n_rounds=6, depth=2, objective="softmax", eta=0.2)])
+def test_one_task_boosts_like_many(spark, monkeypatch, params):
+    rng = np.random.default_rng(1)
+    n = 500
+    y = rng.integers(0, 3, n) if params.objective == "softmax" else rng.normal(size=n)
+    pdf = pd.DataFrame({"model": rng.integers(0, 3, n), "rid": np.arange(n), "nin": 2, "y": y.astype(float),
+                        "bins": rng.integers(0, 9, (n, 2)).tolist()})
+    rows = spark.createDataFrame(pdf, "model int, rid long, nin int, y double, bins array<int>").repartition(3, "rid")
+    kinds = {m: 3 for m in range(3)} if params.objective == "softmax" else None
+    a = fit_boosted(rows, params, kinds, 2, 8)
+    monkeypatch.setattr(hist_boost, "SMALL", -1)
+    b = fit_boosted(rows, params, kinds, 2, 8)
+    assert a.feat.keys() == b.feat.keys() and len(a.feat) == (9 if kinds else 3)
+    for k in a.feat:
+        assert (a.feat[k] == b.feat[k]).all() and (a.sbin[k] == b.sbin[k]).all() and (a.dleft[k] == b.dleft[k]).all()
+        assert np.allclose(a.leaf[k], b.leaf[k], atol=1e-6) and (a.feat[k] >= 0).any()
+
+
+def test_a_round_has_no_more_tasks_than_trees(spark, monkeypatch):
+    df, spec = load_dataset(spark, SF_SMALL, "orders")
+    monkeypatch.setattr(hist_boost, "SMALL", -1)
+    kind = type(df)
+    seen, plain = [], kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *c: seen.append((n, *c)) or plain(self, n, *c))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        flows.SequentialFlow(reg=BoostParams(n_rounds=1, depth=1), clf=CLF, **SMALL).fit(df, spec)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {n for n, *c in seen if c == ["model", "cls"]} == {18, 15}       # 2 columns x 3 labels x 3 levels; 3 labels x 5 classes
+
+
 @pytest.mark.parametrize("kind", ["sequential", "joint", "forest"])
 def test_caches_are_kept_as_objects_or_on_disk(spark, monkeypatch, kind):
     df, spec = load_dataset(spark, SF_SMALL, "orders")
