@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,29 @@ def test_caches_are_kept_as_objects_or_on_disk(spark, monkeypatch, kind):
         flows.JointFlow(reg=reg, learner="boosted" if kind == "joint" else "forest", **SMALL).fit(df, spec)
     assert seen and all(a and a[0].useDisk and (a[0].deserialized or not a[0].useMemory) for a in seen)
     assert any(not a[0].useMemory for a in seen)
+
+
+def test_bagging_counts_drawn_examples_only(spark, monkeypatch):
+    from tabflow.learners import bagging
+    rng = np.random.default_rng(4)
+    n = 400
+    pdf = pd.DataFrame({"row_id": np.arange(n), "model": 0, "bins": rng.integers(0, 9, (n, 3)).tolist(), "nin": 3,
+                        "y": rng.normal(size=n), "w": 1.0})
+    rows = spark.createDataFrame(pdf, "row_id long, model long, bins array<int>, nin int, y double, w double").coalesce(1)
+    packed = hist_boost.packed_examples(rows, hist_boost.PlainRows(3)).toPandas()
+    batch = pa.RecordBatch.from_pandas(packed, pa.schema([("examples", pa.binary()), ("F", pa.binary())]), preserve_index=False)
+    sizes, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, w=None, minlength=0: sizes.append(len(x)) or plain(x, w, minlength))
+    tree = (np.array([1, 2, -1]), np.array([4, 0, 0]), np.array([True, False, True]))
+    out = list(bagging._Pass(bagging.ForestParams(2, 3), 8, 0, {(0, t): tree for t in range(2)}, 2).histograms(iter([batch])))
+    drawn = [bagging.bootstrap(np.arange(n), 1, t, 0)[:, 0] for t in range(2)]
+    assert sum(sizes) == 3 * 2 * sum((w > 0).sum() for w in drawn)
+    got = {(t, j): np.frombuffer(s).reshape(2, 4, 9) for b in out for _, t, j, s in b.to_pandas().itertuples(index=False)}
+    bins, y = np.stack(pdf["bins"]), pdf["y"].to_numpy()
+    node = np.where(bins[:, 1] > 4, 2, 1)       # of depth 2; the left child of the root sends all to the right, the right one to the left
+    for t, w in enumerate(drawn):
+        for j in range(3):
+            for k, total in enumerate((w * y, w)):
+                want = np.zeros((4, 9))
+                np.add.at(want, (node, bins[:, j]), total)
+                assert np.allclose(got[t, j][k], want)
