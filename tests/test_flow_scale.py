@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from datasets import SF_SMALL
 from tabflow.learners import flows, hist_boost
 from tabflow.learners.hist_boost import BoostParams, fit_boosted
+from tabflow.metrics import utility
 from tabflow.plans import q_models
 from tabflow.sources.registry import load_dataset
 
@@ -115,3 +116,23 @@ def test_bagging_counts_drawn_examples_only(spark, monkeypatch):
                 want = np.zeros((4, 9))
                 np.add.at(want, (node, bins[:, j]), total)
                 assert np.allclose(got[t, j][k], want)
+
+
+def test_plain_rows_of_different_lengths():
+    pdf = pd.DataFrame({"model": 0, "nin": [2, 0, 1, 2], "bins": [[3, 4], [], [5, 6, 7], [8]], "y": 0.0, "w": 1.0})
+    (b,) = hist_boost.PlainRows(3).blocks(pdf)
+    assert np.hstack(b.bins).tolist() == [[3, 4, -1], [-1, -1, -1], [5, -1, -1], [8, -1, -1]]
+
+
+def test_learners_train_side_by_side(spark, monkeypatch):
+    import threading
+    gate, plain = threading.Barrier(4), utility.predictions
+
+    def predictions(*a):
+        gate.wait(60)       # passes once all four have begun
+        return plain(*a)
+    monkeypatch.setattr(utility, "predictions", predictions)
+    df = load_dataset(spark, SF_SMALL, "orders")[0]
+    p = utility.UtilityParams(max_iter=5, ada_rounds=1, forest_trees=2, forest_depth=2, boost_rounds=1, boost_depth=1, seeds=1)
+    got = utility.score_four_models(df, df.limit(200), ["o_totalprice"], [], "o_orderstatus", True, p)
+    assert list(got) == [*utility.LEARNERS, "mean"]
