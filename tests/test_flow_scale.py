@@ -136,3 +136,38 @@ def test_learners_train_side_by_side(spark, monkeypatch):
     p = utility.UtilityParams(max_iter=5, ada_rounds=1, forest_trees=2, forest_depth=2, boost_rounds=1, boost_depth=1, seeds=1)
     got = utility.score_four_models(df, df.limit(200), ["o_totalprice"], [], "o_orderstatus", True, p)
     assert list(got) == [*utility.LEARNERS, "mean"]
+
+
+def test_classifiers_alone_need_no_tasks_for_copies(spark, monkeypatch):
+    df, spec = load_dataset(spark, SF_SMALL, "orders")
+    seen, plain = [], flows.spread
+    monkeypatch.setattr(flows, "spread", lambda d, n, expansion: seen.append(expansion) or plain(d, n, expansion))
+    flows.SequentialFlow(clf=CLF, **SMALL).fit(df, spec, kinds=("category",))
+    flows.SequentialFlow(clf=CLF, reg=BoostParams(n_rounds=1, depth=1), **SMALL).fit(df, spec)
+    assert seen == [1, 2 * 3 * 2]
+
+
+def test_small_chunks_are_joined(spark):
+    df = _orders_state(spark).repartition(7, "row_id")
+    ex = flows.CategoryExamples([1], 2, [4], 2.0)
+    got = hist_boost.packed_examples(df, ex, True).toPandas()
+    schema = pa.schema([("examples", pa.binary()), ("F", pa.binary())])
+    parts = [pa.RecordBatch.from_pandas(got[i:i + 1], schema, preserve_index=False) for i in range(len(got))]
+    joined = hist_boost._joined(iter(parts))
+    assert len(parts) > 3 and len(joined) == 1 and hist_boost._joined(iter([])) == []
+    work = hist_boost._Pass(CLF, 8, {})
+
+    def sums(batches):
+        out = {}
+        for b in work.histograms(iter(batches), {}, 0, 0):
+            for m, c, j, gh in b.to_pandas().itertuples(index=False):
+                out[m, c, j] = out.get((m, c, j), 0) + np.frombuffer(gh)
+        return out
+    a, b = sums(parts), sums(joined)
+    assert a.keys() == b.keys() and len(a) == 8 and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def _orders_state(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 2, [int(rng.integers(1, 9)), 0], float(rng.integers(0, 4)), int(rng.integers(1, 5))) for i in range(60)]
+    return spark.createDataFrame(rows, "row_id long, lab int, fb array<int>, x1 double, n long")
