@@ -17,10 +17,6 @@ SMALL = dict(n_t=3, K=2, n_bins=16)
 CLF = BoostParams(n_rounds=3, depth=3, eta=0.1, objective="softmax")
 
 
-def _sorted(df):
-    return df.toPandas().sort_values(["kind", "feature", "label", "level", "output", "round"], ignore_index=True)
-
-
 def test_category_models_are_fitted_at_the_reference_settings(spark):
     t = q_models.q_fit_category(spark, SF_SMALL)
     got = t.agg(F.countDistinct("round").alias("rounds"), F.min(F.size("leaf")).alias("leaves"),
@@ -28,20 +24,21 @@ def test_category_models_are_fitted_at_the_reference_settings(spark):
     assert (got["rounds"], got["leaves"], got["a"], got["b"]) == (115, 128, "category", "category")
 
 
-@pytest.mark.parametrize("n", [60, 900])
-def test_equal_rows_train_the_same_classifiers(spark, monkeypatch, n):
-    df, spec = load_dataset(spark, SF_SMALL, "orders")
-    df = df.limit(n).unionByName(df.limit(30))
-    fit = lambda: flows.SequentialFlow(clf=CLF, **SMALL).fit(df, spec, kinds=("category",))
-    seen, plain = [], flows.CategoryExamples.equal_rows
-    monkeypatch.setattr(flows.CategoryExamples, "equal_rows", lambda self, d: seen.append((d.count(), plain(self, d).count())) or plain(self, d))
-    a = _sorted(flows.sequential_model_table(fit()))
-    monkeypatch.setattr(flows.CategoryExamples, "equal_rows", lambda self, d: d)
-    b = _sorted(flows.sequential_model_table(fit()))
-    assert seen and seen[0][1] < seen[0][0]
-    for c in ("split_input", "threshold", "default_left"):
-        assert np.array_equal(np.stack(a[c]).astype(float), np.stack(b[c]).astype(float), equal_nan=True)
-    assert np.allclose(np.stack(a["leaf"]), np.stack(b["leaf"]), atol=1e-6)
+@pytest.mark.parametrize("depth", [0, 1])
+def test_equal_rows_give_the_same_sums(spark, depth):
+    df = _orders_state(spark).drop("n")
+    df, ex = df.unionByName(df), flows.CategoryExamples([1], 2, [4], 2.0)
+    few = ex.equal_rows(df)
+    assert few.count() < df.count() == few.agg(F.sum("n")).first()[0]
+    trees = {(m, c): (np.array([0]), np.array([4]), np.array([True]), None) for m in range(2) for c in range(4)} if depth else {}
+    work, schema, got = hist_boost._Pass(CLF, 8, {}), pa.schema([("examples", pa.binary()), ("F", pa.binary())]), []
+    for d in (df, few):
+        packed = hist_boost.packed_examples(d, ex, True).toPandas()
+        out = {}
+        for b in work.histograms(iter([pa.RecordBatch.from_pandas(packed, schema, preserve_index=False)]), trees, depth, 0):
+            out |= {(m, c, j): np.frombuffer(gh) for m, c, j, gh in b.to_pandas().itertuples(index=False)}
+        got.append(out)
+    assert got[0].keys() == got[1].keys() and len(got[0]) == 8 and all(np.allclose(got[0][k], got[1][k]) for k in got[0])
 
 
 @pytest.mark.parametrize("params", [BoostParams(n_rounds=3, depth=3, subsample=0.7),
